@@ -54,7 +54,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", None, 100),
     Rule("shouting", "n_upper", "word_chars", None, 400),
     Rule("stop_words", "n_stop", "n_words", 20, None),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 300),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 500),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 900),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 300),
 )
