@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import SPACE, let, lower_ascii
+from lexloom.llm.common import SPACE, durable, let, lower_ascii
 
 MIN_DOCUMENTS = 10
 MIN_KEY = 1
@@ -45,7 +45,9 @@ def mark_lines(
 ) -> DataFrame:
     """The input with ``__gone``: the sorted positions of the lines that go (null if none)."""
     identity = [F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th")]
-    common = common_keys(df, text, min_documents, min_key)
+    # A finished table: the join below then has two plain shuffles, of which adaptive execution can split the
+    # partition of a very common line.
+    common = durable(common_keys(df, text, min_documents, min_key))
     placed = df.select(*identity, F.posexplode(_keys(F.col(text), min_key)).alias("pos", "k")).filter("k is not null")
     placed = placed.select("__id", "__th", "pos", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
     hits = placed.join(common, ["h1", "h2"], "left_semi")
