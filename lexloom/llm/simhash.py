@@ -108,10 +108,10 @@ def _embed_array(fp: np.ndarray) -> np.ndarray:
 
 
 def _near(points: np.ndarray, prints: np.ndarray, i, j, limit: int) -> np.ndarray:
-    """For index arrays i and j: which pairs pass the bound and then the exact test."""
+    """For an index array i and an array or one index j: which pairs pass the bound and then the exact test."""
     near = _manhattan(points[i], points[j]) <= limit
     if near.any():
-        near[near] = _popcount(prints[i][near] ^ prints[j][near]) <= limit
+        near[near] = _popcount((prints[i] ^ prints[j])[near]) <= limit
     return near
 
 
