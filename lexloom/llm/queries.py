@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import bpe, line_dedup, media, mixing, quality_rules, simhash, warc
+from lexloom.llm import bpe, chat, langid, line_dedup, media, mixing, quality_rules, simhash, warc
 from lexloom.session import table
 
 
@@ -14,6 +14,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_chat": op2_chat,
+    "op4_langid": op4_langid,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_media": op7_media,
@@ -50,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
+    "op2_chat": chat.ORACLE,
     "op6_quality_rules": quality_rules.oracle(),
     "op10_line_dedup": line_dedup.ORACLE,
 }
