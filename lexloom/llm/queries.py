@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import bpe, chat, langid, line_dedup, media, mixing, quality_rules, simhash, warc
+from lexloom.llm import bpe, chat, html_extract, langid, line_dedup, media, mixing, quality_rules, simhash, warc
 from lexloom.session import table
 
 
@@ -18,6 +18,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(table(spark, sf_dir, "pages"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat": op2_chat,
+    "op3_html": op3_html,
     "op4_langid": op4_langid,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
