@@ -28,14 +28,15 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage that every executor can read again.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a session that names none (tests on one
-    machine) gets a folder of its own.
-    """
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a session that names none (tests) gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through reliable storage that every executor can read again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
