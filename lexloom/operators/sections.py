@@ -20,7 +20,7 @@ def section_blocks(text: Column) -> Column:
 
     def block(body: Column) -> Column:
         heading = F.regexp_extract(body, r"^## (.+)", 1)
-        later = F.filter(F.slice(F.split(body, "\n", -1), 2, 2**31 - 1), lambda x: (strip(x) != "") & ~x.startswith("#"))
+        later = F.filter(F.split(body, "\n", -1), lambda x, i: (i > 0) & (strip(x) != "") & ~x.startswith("#"))
         follow = F.coalesce(strip(F.get(later, F.lit(0))), F.lit(""))
         bare = normalize_heading(heading) == ""
         used = F.when(bare & classify_heading(follow).isNotNull(), follow).otherwise(heading)
