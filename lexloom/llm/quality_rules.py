@@ -105,8 +105,8 @@ def _without(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """The input with one struct column ``quality`` of counts; built-in expressions only, no shuffle."""
+def measure(df: DataFrame, text: str = "text", output: str = "quality") -> DataFrame:
+    """The input with one struct column of counts, replacing any of its name; built-in expressions, no shuffle."""
     t = F.coalesce(F.col(text), F.lit(""))
     forms = stop_forms()
 
@@ -145,13 +145,13 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     names = ["word_chars", "n_symbols", "n_upper", "n_words", "n_stop", "n_repeat_words"]
     lines = ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")
     quality = F.struct(*(f.alias(n) for f, n in zip(fields, names, strict=True)), *(s["l"][x].alias(x) for x in lines))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), quality.alias("quality"))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != output), quality.alias(output))
 
 
-def _on_struct(sql: str) -> str:
+def _on_struct(sql: str, output: str = "quality") -> str:
     names = {r.numerator for r in RULES} | {r.denominator for r in RULES} | {"n_words", "n_repeat_words"}
     for name in sorted(names):
-        sql = sql.replace(name, f"quality.{name}")
+        sql = sql.replace(name, f"{output}.{name}")
     return sql
 
 
@@ -164,7 +164,8 @@ def score(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 
 def filter_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows of the input that pass, with the input's columns."""
-    return score(df, text, rules).filter("kept").select(*(F.col(f"`{c}`") for c in df.columns))
+    measured = measure(df, text, "__quality")
+    return measured.filter(_on_struct(verdict_sql(rules), "__quality")).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
