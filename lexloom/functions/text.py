@@ -104,12 +104,15 @@ def fix_ocr_chars(text: Column) -> Column:
 
 
 def remove_footnote_numbers(text: Column) -> Column:
-    """Six passes; look-behinds bounded by the look-back keep numbers after words of citation."""
+    """Six passes; look-behinds bounded by the look-back keep numbers after words of citation.
+
+    A look-ahead for the number comes first, so that only words before numbers pay for the look-behind.
+    """
     letter, words = f"[{fixed.LETTERS}]", "|".join(fixed.CITATION_WORDS)
     cited = rf"(?<!(?i:{words})\s{{0,{fixed.FOOTNOTE_LOOKBACK - 14}}})"
-    run = rf"(?<!{letter}){cited}(?!(?i:{words})(?!{letter}))({letter}{{2,}})"
-    text = F.regexp_replace(text, rx(rf"{run}\d{{1,2}}\b(?!\d)"), "$1")
-    text = F.regexp_replace(text, rx(rf"{run}\s+(?:[0-4]?\d|5[0-5])(?=\s|[.,;:!?\)\]\"']|$)"), "$1")
+    run = lambda ahead: rf"(?<!{letter})(?={letter}{{2,}}+{ahead}){cited}(?!(?i:{words})(?!{letter}))({letter}{{2,}}+)"
+    text = F.regexp_replace(text, rx(rf"{run('\\d')}\d{{1,2}}\b(?!\d)"), "$1")
+    text = F.regexp_replace(text, rx(rf"{run('\\s+\\d')}\s+(?:[0-4]?\d|5[0-5])(?=\s|[.,;:!?\)\]\"']|$)"), "$1")
     text = F.regexp_replace(text, rx(r"([)\]’”'\"])\s+\d{1,2}(?=\s|[.,;:!?\)\]]|$)"), "$1")
     text = F.regexp_replace(text, rx(r"\b(1[89]\d\d|20\d\d)\d\b(?!\d)"), "$1")
     text = F.regexp_replace(text, rx(rf"(\b(?:1[89]\d\d|20\d\d))\s+\d{{1,2}}(?=\s*[.,;:!?\)\]]|\s+[{fixed.LOWER_LETTERS}]|\s*$)"), "$1")

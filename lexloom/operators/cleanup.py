@@ -42,8 +42,10 @@ def strip_frontmatter_noise(text: Column) -> Column:
         return (s == "") | (~s.rlike(rx(fixed.FRONT_JUNK)) & (_share(letters, F.length(s)) >= fixed.FRONT_LETTER_RATIO))
 
     def after(ls: Column) -> Column:
-        first = F.array_position(F.transform(ls, lambda x: strip(x).startswith("## ")), True) - 1
-        return F.when(first < 2, text).otherwise(_joined(F.filter(ls, lambda x, i: (i >= first) | kept(x))))
+        def before(first: Column) -> Column:
+            return F.when(first < 2, text).otherwise(_joined(F.filter(ls, lambda x, i: (i >= first) | kept(x))))
+
+        return let(F.array_position(F.transform(ls, lambda x: strip(x).startswith("## ")), True) - 1, before)
 
     return let(lines(text), after)
 
@@ -62,14 +64,21 @@ def remove_figure_legends(text: Column) -> Column:
     return _joined(F.filter(paragraphs(text), kept), "\n\n")
 
 
+#: Every rule needs one of these, so a line without any has no points and is spared the rules.
+REFERENCE_HINT = r"(?i)ver\s|folio|cuaderno|archivo|expediente|http|drive|sharepoint|pdf|radicaci|demanda|ponente|magistrad|secretari|por\s+medio|p[aá]g|^\s*\d"
+
+
 def reference_score(line: Column) -> Column:
     """Points of the rules table, and one more for a short line that has any."""
-    s = strip(line)
-    points = F.lit(0)
-    for pattern, value, stripped, below in fixed.REFERENCE_RULES:
-        hit = (s if stripped else line).rlike(rx(pattern))
-        points = points + F.when(hit & (F.length(s) < below) if below else hit, value).otherwise(0)
-    return let(points, lambda p: p + F.when((p > 0) & (F.length(s) < fixed.REFERENCE_SHORT_LINE), 1).otherwise(0))
+
+    def scored(s: Column) -> Column:
+        points = F.lit(0)
+        for pattern, value, stripped, below in fixed.REFERENCE_RULES:
+            hit = (s if stripped else line).rlike(rx(pattern))
+            points = points + F.when(hit & (F.length(s) < below) if below else hit, value).otherwise(0)
+        return let(points, lambda p: p + F.when((p > 0) & (F.length(s) < fixed.REFERENCE_SHORT_LINE), 1).otherwise(0))
+
+    return F.when(line.rlike(rx(REFERENCE_HINT)), let(strip(line), scored)).otherwise(F.lit(0))
 
 
 def is_internal_reference(line: Column) -> Column:
@@ -138,6 +147,10 @@ def _starts_lower(text: Column) -> Column:
     return text.rlike(r"^\p{javaLowerCase}")
 
 
+def _last(text: Column) -> Column:
+    return F.right(text, F.lit(1))
+
+
 def is_enumeration(line: Column) -> Column:
     return line.rlike(rx(fixed.ENUMERATION))
 
@@ -150,25 +163,30 @@ def repair_layout_breaks(text: Column) -> Column:
     def should(line: Column, after: Column) -> Column:
         a, b = strip(line), strip(after)
         special = a.rlike(r"^[#\-*•]") | is_enumeration(a) | is_decision_start(a)
-        return (a != "") & ~special & (b != "") & ~is_enumeration(b) & ~is_decision_start(b) & ~a.rlike(r"[.;:!?\"')]$") & _starts_lower(b)
+        # The cheap tests come first; few lines reach the patterns.
+        return _starts_lower(b) & (a != "") & ~_last(a).isin(*".;:!?\"')") & ~special & ~is_enumeration(b) & ~is_decision_start(b)
 
     return _joined(_merge_pairs(lines(text), should, lambda a, b: F.concat(strip(a), F.lit(" "), strip(b))))
 
 
+#: Longer than any word that leaves a paragraph dangling, so its start is seen within the window.
+DANGLING_WINDOW = 16
+
+
 def reconstruct_paragraphs(text: Column, passes: int = 3) -> Column:
     def should(first: Column, second: Column) -> Column:
         a, b = strip(first), strip(second)
         barred = a.startswith("#") | b.startswith("#") | b.rlike(rf"^(- \?|[*\-]\s+[{fixed.UPPER_LETTERS}]|\p{{Nd}}[.)])")
         closed = F.substring(a, -3, 3).rlike(rx(r"[.;:?!]['’”\"]\s*$"))
-        unended = ~a.rlike(r"[.;:?!\"')»]$")
+        unended = ~_last(a).isin(*".;:?!\"')»")
         lower = _starts_lower(b)
         joins = (
             (unended & lower)
-            | (b.rlike(rx(rf"^-\s+[{fixed.LOWER_LETTERS}]")) & unended)
-            | a.rlike(rx(fixed.DANGLING_TAIL))
+            | (unended & b.rlike(rx(rf"^-\s+[{fixed.LOWER_LETTERS}]")))
             | (a.endswith(",") & lower)
+            | F.right(a, F.lit(DANGLING_WINDOW)).rlike(rx(fixed.DANGLING_TAIL))
         )
-        return ~barred & ~closed & joins
+        return joins & ~barred & ~closed
 
     text = F.regexp_replace(text, rf"([{fixed.LETTERS}])-\n([{fixed.LOWER_LETTERS}])", "$1$2")
     parts = F.filter(paragraphs(text), lambda p: strip(p) != "")

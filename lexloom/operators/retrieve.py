@@ -60,7 +60,7 @@ def knn_topk(queries: DataFrame, vectors: DataFrame, k: int, decimals: int = 9,
     else:
         blocks = -(-count // most_queries)
         small = small.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        dealt = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        dealt = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         pairs = dealt.join(small, "block")
     near = pairs.select("query_id", "doc_id", F.round(squared_l2(F.col("embedding"), F.col("q")), decimals).alias("score"))
     return top(near, [F.col("score").asc(), F.col("doc_id").asc()], k, ["query_id"])

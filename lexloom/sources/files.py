@@ -27,7 +27,7 @@ def key_exists(spark: SparkSession, path: str) -> bool:
 
 def read_texts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """``path, text``: whole files."""
-    found = spark.read.option("wholetext", "true").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").text(path)
+    found = spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").text(path, wholetext=True)
     return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
