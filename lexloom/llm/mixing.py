@@ -164,11 +164,12 @@ def take(sized: DataFrame, targets: DataFrame, seed: int = SEED, chunk: int = CH
 
     ``targets`` comes from :func:`plan`. Chunks hold about ``chunk`` rows whatever a source's share of the corpus.
     """
-    facts = targets.withColumn("times", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    joined = sized.join(F.broadcast(facts) if _few(facts) else facts, sized["source"].eqNullSafe(facts["source"]))
+    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    facts = targets.select(F.col("source").alias("__source"), "source_size", "n_docs", "target", times.alias("times"))
+    joined = sized.join(F.broadcast(facts) if _few(facts) else facts, F.col("source").eqNullSafe(F.col("__source")))
     base = F.floor("times").cast("long")
     rows = joined.select(
-        "doc_id", sized["source"], "size", "source_size", "target", "n_docs", base.alias("base"),
+        "doc_id", "source", "size", "source_size", "target", "n_docs", base.alias("base"),
         (F.col("times") - base).alias("prob"), F.xxhash64(F.lit(seed), "doc_id").alias("rank"),
     )
     schema = rows.schema.simpleString()[len("struct<") : -1]
