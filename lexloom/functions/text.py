@@ -79,14 +79,17 @@ def normalize_heading(text: Column) -> Column:
 
 def classify_heading(heading: Column) -> Column:
     """Number of the section whose variant starts the normalised heading, the first section winning."""
-    norm = normalize_heading(heading)
-    found = F.lit(None).cast("int")
-    for number in reversed(fixed.SECTION_VARIANTS):
-        hit = F.lit(False)
-        for variant in fixed.SECTION_VARIANTS[number]:
-            hit = hit | norm.startswith(variant)
-        found = F.when(hit, F.lit(number)).otherwise(found)
-    return found
+
+    def among(norm: Column) -> Column:
+        found = F.lit(None).cast("int")
+        for number in reversed(fixed.SECTION_VARIANTS):
+            hit = F.lit(False)
+            for variant in fixed.SECTION_VARIANTS[number]:
+                hit = hit | norm.startswith(variant)
+            found = F.when(hit, F.lit(number)).otherwise(found)
+        return found
+
+    return let(normalize_heading(heading), among)
 
 
 def fix_ocr_chars(text: Column) -> Column:

@@ -24,26 +24,24 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def remove_noisy_lines(text: Column, ratio: float = fixed.NOISE_RATIO) -> Column:
-    def kept(line: Column) -> Column:
-        s = strip(line)
+    def kept(s: Column) -> Column:
         symbols = F.regexp_count(s, F.lit(rx(r"[^\p{L}\p{N}\s]")))
         prose = ~s.rlike(rx(fixed.INSTITUTIONAL_NOISE)) & (_share(symbols, F.length(s)) < ratio)
         return (s == "") | s.rlike(rx(fixed.MARKDOWN_STRUCTURE)) | prose
 
-    return _joined(F.filter(lines(text), kept))
+    return _joined(F.filter(lines(text), lambda line: let(strip(line), kept)))
 
 
 def strip_frontmatter_noise(text: Column) -> Column:
     """Junk lines go before the first second-level heading, if that is the third line or later."""
 
-    def kept(line: Column) -> Column:
-        s = strip(line)
+    def kept(s: Column) -> Column:
         letters = F.regexp_count(s, F.lit(r"\p{L}"))
         return (s == "") | (~s.rlike(rx(fixed.FRONT_JUNK)) & (_share(letters, F.length(s)) >= fixed.FRONT_LETTER_RATIO))
 
     def after(ls: Column) -> Column:
         def before(first: Column) -> Column:
-            return F.when(first < 2, text).otherwise(_joined(F.filter(ls, lambda x, i: (i >= first) | kept(x))))
+            return F.when(first < 2, text).otherwise(_joined(F.filter(ls, lambda x, i: (i >= first) | let(strip(x), kept))))
 
         return let(F.array_position(F.transform(ls, lambda x: strip(x).startswith("## ")), True) - 1, before)
 
@@ -97,8 +95,7 @@ def remove_citation_blocks(text: Column, reach: int = fixed.CITATION_REACH) -> C
     them, end in an anchor, then only N and E, then itself as N.
     """
 
-    def code(paragraph: Column) -> Column:
-        s = strip(paragraph)
+    def code(s: Column) -> Column:
         marked = s.startswith("#") | s.startswith("|")
         numbered = s.rlike(rx(r"^\d{1,3}\.\s"))
         short = F.length(s) < fixed.CITATION_SHORT
@@ -117,7 +114,7 @@ def remove_citation_blocks(text: Column, reach: int = fixed.CITATION_REACH) -> C
 
             return F.filter(ps, lambda p, i: ~goes(i))
 
-        return _joined(let(_joined(F.transform(ps, code), ""), by), "\n\n")
+        return _joined(let(_joined(F.transform(ps, lambda p: let(strip(p), code)), ""), by), "\n\n")
 
     return let(paragraphs(text), kept)
 
@@ -125,13 +122,16 @@ def remove_citation_blocks(text: Column, reach: int = fixed.CITATION_REACH) -> C
 def _merge_pairs(parts: Column, should: "callable", merged: "callable") -> Column:
     """Greedy merging of neighbours, a merged pair not looked at again.
 
-    The code string has 1 where part i should take part i + 1; replacing ``1.`` by ``MS`` walks it as the greedy
+    ``should`` sees stripped parts. The code string has 1 where part i should take part i + 1; replacing ``1.`` by ``MS`` walks it as the greedy
     rule does: M takes its successor, S is the one taken.
     """
 
     def by(ps: Column) -> Column:
-        wanted = F.transform(ps, lambda p, i: F.when(F.coalesce(should(p, F.get(ps, i + 1)), F.lit(False)), "1").otherwise("0"))
-        acts = F.regexp_replace(_joined(wanted, ""), "1.", "MS")
+        def codes(bare: Column) -> Column:
+            pair = lambda a, i: let(F.get(bare, i + 1), lambda b: F.coalesce(should(a, b), F.lit(False)))
+            return _joined(F.transform(bare, lambda a, i: F.when(pair(a, i), "1").otherwise("0")), "")
+
+        acts = F.regexp_replace(let(F.transform(ps, strip), codes), "1.", "MS")
 
         def act(a: Column) -> Column:
             at = lambda i: F.substring(a, i + 1, F.lit(1))
@@ -160,8 +160,7 @@ def is_decision_start(line: Column) -> Column:
 
 
 def repair_layout_breaks(text: Column) -> Column:
-    def should(line: Column, after: Column) -> Column:
-        a, b = strip(line), strip(after)
+    def should(a: Column, b: Column) -> Column:
         special = a.rlike(r"^[#\-*•]") | is_enumeration(a) | is_decision_start(a)
         # The cheap tests come first; few lines reach the patterns.
         return _starts_lower(b) & (a != "") & ~_last(a).isin(*".;:!?\"')") & ~special & ~is_enumeration(b) & ~is_decision_start(b)
@@ -174,8 +173,7 @@ DANGLING_WINDOW = 16
 
 
 def reconstruct_paragraphs(text: Column, passes: int = 3) -> Column:
-    def should(first: Column, second: Column) -> Column:
-        a, b = strip(first), strip(second)
+    def should(a: Column, b: Column) -> Column:
         barred = a.startswith("#") | b.startswith("#") | b.rlike(rf"^(- \?|[*\-]\s+[{fixed.UPPER_LETTERS}]|\p{{Nd}}[.)])")
         closed = F.substring(a, -3, 3).rlike(rx(r"[.;:?!]['’”\"]\s*$"))
         unended = ~_last(a).isin(*".;:?!\"')»")

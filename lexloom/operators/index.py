@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +21,35 @@ def tokens(text):
 class Bm25Index:
     """``postings(token, doc_id, tf, dl)``, ``terms(token, df, idf)``, ``stats(n, avgdl)``, ``docs(doc_id, dl)``.
 
-    Postings are what a cluster would write bucketed by token, so that a query reads its tokens' buckets only.
+    Postings are what a cluster would write bucketed by token, so that a query reads its tokens' buckets only. An
+    index that is not stored has ``occurrences(token, doc_id, dl)`` as well, from which a query takes its tokens
+    before anything is counted.
     """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     docs: DataFrame
+    occurrences: DataFrame | None = None
+
+    def hits(self, asked: DataFrame) -> DataFrame:
+        """``asked(query_id, token, w)`` with the postings of its tokens."""
+        if self.occurrences is None:
+            return self.postings.join(asked, "token")
+        found = self.occurrences.join(asked, "token").groupBy("query_id", "doc_id", "token", "w", "dl")
+        return found.agg(F.count("*").alias("tf"))
+
+    def write(self, path: str, buckets: int = 256) -> None:
+        """The four tables under ``path``; postings in folders by a hash of the token."""
+        bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket")
+        self.postings.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        for name in ("terms", "stats", "docs"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_bm25(spark: SparkSession, path: str) -> Bm25Index:
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("terms", "stats", "docs")}
+    return Bm25Index(spark.read.parquet(f"{path}/postings").drop("bucket"), **tables)
 
 
 def bm25_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", epsilon: float = fixed.BM25_EPSILON, decimals: int = 9) -> Bm25Index:
@@ -47,7 +69,7 @@ def bm25_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", epsi
     mean = raw.agg(F.round(F.avg("raw"), decimals).alias("mean"))  # a single row
     idf = F.when(F.col("raw") < 0, F.round(F.lit(epsilon) * F.col("mean"), decimals)).otherwise(F.col("raw"))
     terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))
-    return Bm25Index(postings, terms, stats, lengths)
+    return Bm25Index(postings, terms, stats, lengths, exploded)
 
 
 GOLD = T.StructType(

@@ -22,8 +22,14 @@ def section_blocks(text: Column) -> Column:
         heading = F.regexp_extract(body, r"^## (.+)", 1)
         later = F.filter(F.split(body, "\n", -1), lambda x, i: (i > 0) & (strip(x) != "") & ~x.startswith("#"))
         follow = F.coalesce(strip(F.get(later, F.lit(0))), F.lit(""))
-        bare = normalize_heading(heading) == ""
-        used = F.when(bare & classify_heading(follow).isNotNull(), follow).otherwise(heading)
+
+        def named(own: Column) -> Column:
+            """The follow-up line stands in for a heading that is only a number, if it is known."""
+            bare = normalize_heading(own) == ""
+            taken = lambda f: F.when(classify_heading(f).isNotNull(), f).otherwise(own)
+            return F.when(bare, let(follow, taken)).otherwise(own)
+
+        used = let(heading, named)
         return let(used, lambda u: F.struct(body.alias("body"), strip(u).alias("heading"), classify_heading(u).alias("section")))
 
     pieces = F.split(text, r"(?dm)(?=^## .)", -1)

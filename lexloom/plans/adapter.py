@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.session import table
+from lexloom.session import spread, table
 
 #: What stands before and after line i of document d, chosen by (d + i) modulo the number of entries.
 DECORATIONS = (
@@ -49,7 +49,7 @@ def decorated(separator: str = "\n\n") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str, separator: str = "\n\n") -> DataFrame:
     """``doc_id, text``: decorated, computed once per row."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.explode(F.array(decorated(separator))).alias("text"))
 
 

@@ -36,3 +36,13 @@ def get_spark(app: str = "lexloom", master: str | None = None, shuffle_partition
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder, read by Spark so any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
+    """A small input dealt over all cores.
+
+    A file of one row group is read by one task, which leaves a row-wise program on one core. Inputs from ``below``
+    bytes on come in many splits already and are left alone, so that nothing large is shuffled for this.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
