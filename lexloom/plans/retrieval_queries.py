@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import fixed
 from lexloom.operators import answer as A, enrich as E, evaluate as V, index as I, retrieve as R
 from lexloom.plans.text_queries import strip
-from lexloom.session import table
+from lexloom.session import spread, table
 from lexloom.sources import files
 from lexloom.streaming import ingest
 
@@ -55,7 +55,7 @@ def with_vectors(spark, sf_dir) -> DataFrame:
 
 
 def bm25(spark, sf_dir) -> I.Bm25Index:
-    return I.bm25_index(table(spark, sf_dir, "documents"))
+    return I.bm25_index(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 _ASKED = "(VALUES " + ", ".join(f"({q}, '{t}', {v})" for q, t, v in QUESTIONS) + ") AS v(query_id, question, vec_id)"
