@@ -2,9 +2,11 @@
 
 A fingerprint's 64 bits are cut into 32 segments of two bits; the per-segment bit counts form a point of
 {0, 1, 2}^32. The Manhattan distance of two points never exceeds the Hamming distance of their fingerprints.
-The 32 coordinates are dealt into ``limit + 2`` subspaces: points within Manhattan distance ``limit`` agree on at
-least two subspaces entirely, so the cells of a unit grid over every pair of subspaces hold every link (a range
-join without misses). Within a cell the Manhattan bound prunes and the exact Hamming distance decides.
+The 32 coordinates are dealt into ``limit + agree`` subspaces: points within Manhattan distance ``limit`` agree on at
+least ``agree`` subspaces entirely, so the cells of a unit grid over every choice of ``agree`` subspaces hold every
+link (a range join without misses). Within a cell the Manhattan bound prunes and the exact Hamming distance decides.
+Any ``agree`` finds the same links; a larger one makes more and emptier cells, and :func:`grid_for` picks it by the
+number of points, so that a point meets a bounded number of chance neighbours.
 
 Distinct fingerprints are the nodes, so copies cost nothing. A cell yields a spanning forest of its links, never
 all pairs; cells above ``cell_rows`` points are cut into chunks whose pairs are visited by separate tasks.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -83,13 +86,25 @@ def embed(fp):
     return F.shiftleft(a.bitwiseAND(b), 1).bitwiseOR(a.bitwiseXOR(b))
 
 
-def subspace_masks(limit: int) -> list[int]:
-    """Masks of the packed coordinates of every pair of the limit + 2 subspaces, as signed longs."""
-    groups = [sum(3 << (2 * i) for i in range(32) if i % (limit + 2) == g) for g in range(limit + 2)]
-    masks = [a | b for a, b in combinations(groups, 2)]
+def subspace_masks(limit: int, agree: int = 2) -> list[int]:
+    """Masks of the packed coordinates of every choice of ``agree`` subspaces, as signed longs."""
+    groups = [sum(3 << (2 * i) for i in range(32) if i % (limit + agree) == g) for g in range(limit + agree)]
+    masks = [sum(chosen) for chosen in combinations(groups, agree)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def grid_for(points: int, limit: int, neighbours: int = 256) -> int:
+    """The least ``agree`` at which a point shares cells with about ``neighbours`` random others at most.
+
+    Two random two-bit counts are equal with probability 3/8.
+    """
+    for agree in range(2, 8):
+        chance = comb(limit + agree, agree) * (3 / 8) ** (32 * agree / (limit + agree))
+        if points * chance <= neighbours:
+            break
+    return agree
+
+
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int16)
 
@@ -213,9 +228,9 @@ def _link_batches(limit: int):
     return run
 
 
-def links(prints: DataFrame, limit: int = LIMIT, cell_rows: int = CELL_ROWS) -> DataFrame:
+def links(prints: DataFrame, limit: int = LIMIT, cell_rows: int = CELL_ROWS, agree: int | None = None) -> DataFrame:
     """``(u, v)``: links between distinct fingerprints ``fp`` that span every component."""
-    masks = subspace_masks(limit)
+    masks = subspace_masks(limit, agree or grid_for(prints.count(), limit))
     point = prints.select("fp", embed(F.col("fp")).alias("p"))
     cells = F.array(*(F.struct(F.lit(k).alias("k"), F.col("p").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)))
     placed = point.select("fp", F.explode(cells).alias("c")).select("c.k", "c.cell", "fp")

@@ -91,13 +91,13 @@ def near_prints(n: int, seed: int) -> list[int]:
     return sorted(out)[:n]
 
 
-@pytest.mark.parametrize("cell_rows", [4096, 16])
-def test_links_span_all_components(spark, cell_rows):
-    """Also where cells are cut into chunks."""
+@pytest.mark.parametrize(("cell_rows", "agree"), [(4096, 2), (16, 2), (4096, 3), (4096, 5)])
+def test_links_span_all_components(spark, cell_rows, agree):
+    """Also where cells are cut into chunks, and on finer grids."""
     prints = near_prints(700, 9)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    stars = {r.node: r.root for r in components.connected_components(simhash.links(df, cell_rows=cell_rows)).collect()}
+    stars = {r.node: r.root for r in components.connected_components(simhash.links(df, cell_rows=cell_rows, agree=agree)).collect()}
     got: dict = {}
     for s in signed:
         got.setdefault(stars.get(s, s), set()).add(s)
@@ -108,6 +108,11 @@ def test_links_span_all_components(spark, cell_rows):
     assert any(len(g) > 20 for g in got.values())
 
 
+def test_grid_grows_with_the_points():
+    assert [simhash.grid_for(n, 4) for n in (0, 10**5, 2 * 10**6, 10**8)] == [2, 2, 3, 6]
+    assert len(simhash.subspace_masks(4, 2)) == 15 and len(set(simhash.subspace_masks(4, 3))) == 35
+
+
 def test_lower_bound():
     a, b = (np.array(near_prints(300, s), dtype=np.uint64) for s in (1, 2))
     near = b ^ (a & np.uint64(0xF0F))
