@@ -59,6 +59,14 @@ class OfflineProvider:
         return out
 
 
+def choose_provider(candidates: Sequence[tuple[str, Callable[[], Provider | None]]]) -> Provider:
+    """The first candidate that is configured; its maker gives None where it is not."""
+    for _, make in candidates:
+        if (made := make()) is not None:
+            return made
+    raise LookupError("no provider is configured; tried " + (", ".join(name for name, _ in candidates) or "none"))
+
+
 @dataclass
 class RateLimiter:
     """At most ``calls`` in any ``period`` seconds, with a little slack; the clock can be replaced for tests."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexloom.functions import fixed
-from lexloom.functions.text import let, rx
+from lexloom.functions.text import base_name, let, resolve_image_path, rx, strip_accents
 
 
 def image_refs(text: Column) -> Column:
@@ -31,6 +31,16 @@ def image_refs(text: Column) -> Column:
     return let(F.split(text, token, -1), placed)
 
 
+def locate(refs: DataFrame, files: DataFrame, ref: str = "ref", path: str = "path") -> DataFrame:
+    """References with the file they mean, matched on the decoded name in composed form; null where there is none.
+
+    Names differ in composition (one code point or letter and accent); both sides lose their accents for the match.
+    """
+    key = lambda c: strip_accents(F.lower(base_name(c)))
+    known = files.select(F.col(path).alias("file"), key(F.col(path)).alias("__key")).groupBy("__key").agg(F.min("file").alias("file"))
+    return refs.withColumn("__key", key(resolve_image_path(F.col(ref)))).join(known, "__key", "left").drop("__key")
+
+
 def has_context(context: Column) -> Column:
     return context.rlike(rx(fixed.IMAGE_CONTEXT_WORDS))
 

@@ -129,6 +129,14 @@ def skip_existing(silver: DataFrame, gold: DataFrame, file: str = "source") -> D
     return silver.join(gold.select(file).distinct(), file, "left_anti")
 
 
+def progress(gold: DataFrame, index: DataFrame, key: str = "chunk_id", file: str = "source") -> DataFrame:
+    """Per file: its rows, those the index has, and those that are new; what a load would report."""
+    known = index.select(key).distinct().withColumn("__known", F.lit(1))
+    joined = gold.select(key, file).join(known, key, "left")
+    counts = joined.groupBy(file).agg(F.count("*").alias("n_rows"), F.count("__known").alias("n_known"))
+    return counts.withColumn("n_new", F.col("n_rows") - F.col("n_known"))
+
+
 def append_index(rows: DataFrame, path: str, batch: int = fixed.INDEX_BATCH) -> None:
     rows.write.mode("append").option("maxRecordsPerFile", max(batch, 1) * 1000).parquet(path)
 

@@ -294,4 +294,24 @@ def image_refs(spark, sf_dir):
     return docs.select("doc_id", "pos", F.col("r.ref").alias("ref"))
 
 
+@query(
+    "image_files",
+    f"""SELECT doc_id, unnest(range(len(ts)))::INTEGER AS pos, '/store/PLANO UNO.png' AS file FROM (SELECT doc_id, regexp_extract_all(text, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1) AS ts FROM ({documents_sql()}))""",
+)
+def image_files(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", F.posexplode(images.image_refs(F.regexp_replace("text", "plano uno", "plano%20uno"))).alias("pos", "r"))
+    stored = spark.createDataFrame([("/store/PLANO UNO.png",), ("/store/otro.png",)], "path string")
+    return images.locate(docs.select("doc_id", "pos", F.col("r.ref").alias("ref")), stored).select("doc_id", "pos", "file")
+
+
+_PARTS = "SELECT doc_id, (doc_id % 101)::DOUBLE AS p, (doc_id % 97)::DOUBLE AS f, (doc_id % 89)::DOUBLE AS o, (doc_id % 83)::DOUBLE AS c, (doc_id % 79)::DOUBLE AS s, (doc_id % 73)::DOUBLE AS e FROM documents"
+
+
+@query("final_quality", f"SELECT doc_id, round(p * 0.2 + f * 0.15 + o * 0.15 + c * 0.1 + s * 0.2 + e * 0.2, 6) AS final_quality FROM ({_PARTS})")
+def final_quality(spark, sf_dir):
+    parts = {"paragraph": 101, "footer": 97, "ocr": 89, "citation": 83, "segmentation": 79, "entity": 73}
+    total = P.final_quality({n: (F.col("doc_id") % m).cast("double") for n, m in parts.items()})
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(total, 6).alias("final_quality"))
+
+
 __all__ = ["ORACLES", "QUERIES", "_PARA_ROWS"]

@@ -309,6 +309,27 @@ def metadata_left_join(spark, sf_dir):
     return files.with_metadata(docs, files.last_by_key(raw, "Archivo", "at")).select("doc_id", "lang", "tema")
 
 
+@query(
+    "ingest_progress",
+    "SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE doc_id % 3 = 0) AS n_known, count(*) FILTER (WHERE doc_id % 3 <> 0) AS n_new FROM documents GROUP BY source",
+)
+def ingest_progress(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return I.progress(docs, docs.filter("doc_id % 3 = 0"), "doc_id")
+
+
+@query(
+    "prompt_build",
+    f"""WITH {_RANKED}, c AS (SELECT query_id, string_agg(concat_ws(chr(10), '[doc' || rank || ' | source=' || source || ' | chunk_id=' || chunk_id || ']', 'Sección: ' || section_name, 'Resumen: ' || summary, page_content),
+        chr(10) || chr(10) ORDER BY rank) AS context FROM r GROUP BY query_id)
+    SELECT query_id, CASE WHEN query_id % 2 = 0 THEN '' ELSE '{A.SYSTEM}' || chr(10) || chr(10) END || 'Contexto:' || chr(10) || context || chr(10) || chr(10) || 'Pregunta: ' || question AS prompt FROM c JOIN {_ASKED} USING (query_id)""",
+)
+def prompt_build(spark, sf_dir):
+    rows = A.context(_ranked(spark, sf_dir)).join(questions(spark), "query_id")
+    with_system, folded = (A.prompt(F.col("question"), F.col("context"), s) for s in (True, False))
+    return rows.select("query_id", F.when(F.col("query_id") % 2 == 0, with_system).otherwise(folded).alias("prompt"))
+
+
 _GOLD = """'{"' || CASE turn % 3 WHEN 0 THEN 'page_content' WHEN 1 THEN 'text' ELSE 'content' END || '": "t' || conv_id || '_' || turn || '", "metadata": {"keywords": ["a", "b' || turn || '"]' ||
     CASE WHEN turn % 2 = 0 THEN ', "chunk_id": "k' || conv_id || '_' || turn || '"' ELSE '' END || '}}'"""
 

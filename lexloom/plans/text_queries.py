@@ -156,8 +156,16 @@ def _ocr_sql() -> str:
 
 register("ocr_fix", T.fix_ocr_chars, _ocr_sql())
 register("footnote_strip", T.remove_footnote_numbers, None)
-register("heading_body_split", T.split_heading_body, None)
-register("markdown_clean", T.clean_markdown, None)
+_NUMBER = "list_filter(list_transform(ls[i + 1:i + 15], lambda y: regexp_extract(y, '^(\\d{1,3})\\.\\s', 1)), lambda y: y <> '')[1]::INTEGER"
+_BODY = f"regexp_extract(x, {q(fixed.HEADING_BODY)}, 2)"
+_SPLIT = f"""array_to_string(flatten(list_transform(ls, lambda x, i: CASE WHEN NOT regexp_matches(x, {q(fixed.HEADING_BODY)}) THEN [x]
+    ELSE [regexp_extract(x, {q(fixed.HEADING_BODY)}, 1), CASE WHEN {_NUMBER} >= 2 AND NOT regexp_matches({_BODY}, '^\\d+\\.\\s') THEN ({_NUMBER} - 1) || '. ' || {_BODY} ELSE {_BODY} END] END)), chr(10))"""
+_SPLIT_SQL = f"SELECT doc_id, {_SPLIT} AS result FROM (SELECT doc_id, {lines('text')} AS ls FROM ({documents_sql()}))"
+query("heading_body_split", _SPLIT_SQL)(over(T.split_heading_body))
+query(
+    "markdown_clean",
+    f"""SELECT doc_id, {strip(r"regexp_replace(regexp_replace(regexp_replace(result, '\n{3,}', chr(10) || chr(10), 'g'), '([^\n])\n(#{1,6}\s)', '\1' || chr(10) || chr(10) || '\2', 'g'), '(?m)[ \t]+$', '', 'g')")} || chr(10) AS result FROM ({_SPLIT_SQL})""",
+)(over(T.clean_markdown))
 register("image_refs_relative", lambda t: T.relativize_image_refs(t, "/data"), r"regexp_replace(text, '(!\[[^\]]*\]\()/data/([^)]+)\)', '\1./\2)', 'g')")
 register(
     "furniture_normalize",

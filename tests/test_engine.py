@@ -114,6 +114,20 @@ def test_rate_limiter_and_retries():
         E.with_retries(lambda: int("x"), tries=2, sleep=slept.append)
 
 
+def test_provider_choice():
+    assert E.choose_provider([("a", lambda: None), ("b", E.OfflineProvider)]).name == "offline"
+    with pytest.raises(LookupError):
+        E.choose_provider([("a", lambda: None)])
+
+
+def test_stored_bm25_index_answers_alike(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} common") for i in range(30)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "w1 w4 common"), (2, "w2")], "query_id int, question string")
+    index = I.bm25_index(docs)
+    index.write(f"file://{tmp_path}/bm25", buckets=4)
+    assert sorted(R.bm25_topk(queries, I.read_bm25(spark, f"file://{tmp_path}/bm25"), 5).collect()) == sorted(R.bm25_topk(queries, index, 5).collect())
+
+
 def test_failed_calls_spare_others(spark):
     class Fails(E.OfflineProvider):
         def generate(self, prompts):
