@@ -155,7 +155,31 @@ def _ocr_sql() -> str:
 
 
 register("ocr_fix", T.fix_ocr_chars, _ocr_sql())
-register("footnote_strip", T.remove_footnote_numbers, None)
+
+
+def _footnotes_sql() -> str:
+    """Numbers after words of citation are fenced off with a mark first; neighbours shared by matches need two runs."""
+    letter, words = f"[{fixed.LETTERS}]", "|".join(fixed.CITATION_WORDS)
+    mark, edge, after = "\x02", r"([^\pL\pN_]|$)", r"([\s.,;:!?\)\]]|$)"
+    quoted = after.replace(r"\]]", "\\]\"']")
+    year = r"((?:^|[^\pL\pN_])(?:1[89]\d\d|20\d\d))"
+    rules = [
+        (rf"(?i)((?:{words})\s+{letter}{{2,}})(\d)", rf"\1{mark}\2"), (rf"(?i)((?:^|[^{fixed.LETTERS}])(?:{words}))(\d)", rf"\1{mark}\2"),
+        (rf"({letter}{{2,}})\d{{1,2}}{edge}", r"\1\2"), (mark, ""),
+        (rf"(?i)((?:{words})\s+{letter}{{2,}}\s+)(\d)", rf"\1{mark}\2"), (rf"(?i)((?:^|[^{fixed.LETTERS}])(?:{words})\s+)(\d)", rf"\1{mark}\2"),
+        (rf"({letter}{{2,}})\s+(?:[0-4]?\d|5[0-5]){quoted}", r"\1\2"), (mark, ""),
+        (rf"([)\]’”'\"])\s+\d{{1,2}}{after}", r"\1\2"), (rf"{year}\d{edge}", r"\1\2"),
+        (rf"{year}\s+\d{{1,2}}(\s*[.,;:!?\)\]]|\s+[{fixed.LOWER_LETTERS}]|\s*$)", r"\1\2"),
+        (rf"((?:^|[^\pL\pN_])[A-Z][\pL\pN_-]*-\d{{2,4}})\s+\d{{1,2}}{after}", r"\1\2"),
+    ]
+    x = "text"
+    for pattern, replacement in rules:
+        for _ in range(2):
+            x = f"regexp_replace({x}, {q(pattern)}, {q(replacement)}, 'g')"
+    return x
+
+
+register("footnote_strip", T.remove_footnote_numbers, _footnotes_sql())
 _NUMBER = "list_filter(list_transform(ls[i + 1:i + 15], lambda y: regexp_extract(y, '^(\\d{1,3})\\.\\s', 1)), lambda y: y <> '')[1]::INTEGER"
 _BODY = f"regexp_extract(x, {q(fixed.HEADING_BODY)}, 2)"
 _SPLIT = f"""array_to_string(flatten(list_transform(ls, lambda x, i: CASE WHEN NOT regexp_matches(x, {q(fixed.HEADING_BODY)}) THEN [x]
