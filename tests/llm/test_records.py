@@ -121,6 +121,14 @@ def test_html_regions():
     assert html_extract.extract("<a b='" * 2000 + "x") is not None
 
 
+def test_html_wrappers_named_after_neighbours():
+    inner = "<article><p>The text.</p><p class=ad>Buy</p></article><div class=sidebar><p>Side</p></div><section id=comments><article><p>First!</p></article></section>"
+    assert html_extract.extract(page(f"<div class='content-with-sidebar'>{inner}</div>")) == "The text."
+    assert html_extract.extract(page("<article class=ad>Buy</article><article><p>Text</p></article>")) == "Text"
+    assert html_extract.extract(page("<div class='layout-sidebar'><p>Only text here</p></div>")) == "Only text here"
+    assert html_extract.extract(page("<div class=notice>Notice</div><div id=post><h2>T</h2><p>Body</p></div><div class=comments><p>No</p></div>")) == "T\n\nBody"
+
+
 def test_tree_matching():
     a = ("#", (("div", ()), ("p", (("b", ()),)), ("ul", (("li", ()),))))
     b = ("#", (("p", (("b", ()),)), ("ol", ()), ("ul", (("li", ()), ("li", ())))))
