@@ -247,3 +247,14 @@ RRF_C, BM25_WEIGHT, VECTOR_WEIGHT = 160, 0.3, 0.7
 RERANK_CHARS, RERANK_LEAST, RERANK_MOST = 1500, 0.0, 10.0
 PREVIEW_CHARS = 500
 CALLS_PER_MINUTE = 9
+
+# --- Answers and context.
+NO_ANSWER = "No se encontraron fragmentos relevantes en la base de conocimiento."
+UNKNOWN_SOURCE = "desconocido"
+CONTEXT_LINES = (
+    ("Corporación", ("Corporación", "CorporaciÃ³n", "Corporacion")),
+    ("Magistrado ponente", ("Magistrado ponente",)),
+    ("Tema principal", ("Tema principal",)),
+    ("Sección", ("section_name",)),
+    ("Resumen", ("summary",)),
+)

@@ -12,15 +12,7 @@ from lexloom.functions import fixed
 from lexloom.functions.text import clean_answer, source_preview, title
 from lexloom.operators import enrich
 
-#: Header lines of a context block: label and the columns that may hold it, the first filled one winning.
-CONTEXT_LINES = (
-    ("Corporación", ("Corporación", "CorporaciÃ³n", "Corporacion")),
-    ("Magistrado ponente", ("Magistrado ponente",)),
-    ("Tema principal", ("Tema principal",)),
-    ("Sección", ("section_name",)),
-    ("Resumen", ("summary",)),
-)
-NO_ANSWER = "No se encontró información en los documentos indexados."
+NO_ANSWER = fixed.NO_ANSWER
 SYSTEM = "Responde solo con el contexto dado y cita cada afirmación como [docN]."
 
 
@@ -32,10 +24,10 @@ def _filled(df: DataFrame, names: tuple[str, ...]) -> Column:
 def context_blocks(ranked: DataFrame, text: str = "page_content") -> DataFrame:
     """Adds ``block``: ``[docN | source=... | chunk_id=...]``, the filled header lines, and the text."""
     number = F.col("rank").cast("string")
-    source = F.coalesce(F.col("source"), F.lit("desconocido")) if "source" in ranked.columns else F.lit("desconocido")
+    source = F.coalesce(F.col("source"), F.lit(fixed.UNKNOWN_SOURCE)) if "source" in ranked.columns else F.lit(fixed.UNKNOWN_SOURCE)
     chunk = F.coalesce(_filled(ranked, ("chunk_id", "id")), F.concat(F.lit("doc_"), number))
     head = F.concat(F.lit("[doc"), number, F.lit(" | source="), source, F.lit(" | chunk_id="), chunk, F.lit("]"))
-    labelled = [F.when(_filled(ranked, names).isNotNull(), F.concat(F.lit(f"{label}: "), _filled(ranked, names))) for label, names in CONTEXT_LINES]
+    labelled = [F.when(_filled(ranked, names).isNotNull(), F.concat(F.lit(f"{label}: "), _filled(ranked, names))) for label, names in fixed.CONTEXT_LINES]
     return ranked.withColumn("block", F.concat_ws("\n", head, *labelled, F.col(text)))
 
 
@@ -135,9 +127,3 @@ def chat_state(events_table: DataFrame) -> DataFrame:
     shown = events_table.filter(F.coalesce("text", F.lit("")) != "")
     rows = shown.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
     return rows.withColumn("n_messages", F.size("messages"))
-
-
-__all__ = [
-    "chat_state", "citations", "context", "context_blocks", "events", "fixed", "generate_answers", "link_citations", "prompt",
-    "sources", "valid_requests",
-]

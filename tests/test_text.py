@@ -99,14 +99,17 @@ def test_layout_merging_is_greedy(apply):
 
 
 def test_paragraph_merging_is_greedy_thrice(apply):
+    barred = (lambda a, b: "#" in (a[0], b[0]), lambda a, b: re.match(rf"- \?|[*\-]\s+[{fixed.UPPER_LETTERS}]|\d[.)]", b), lambda a, b: re.search(r"[.;:?!]['’”\"]\s*$", a[-3:]))
+    open_end = lambda a: a[-1] not in ".;:?!\"')»"
+    joins = (
+        lambda a, b: b[0].islower() and (open_end(a) or a[-1] == ","),
+        lambda a, b: open_end(a) and re.match(rf"-\s+[{fixed.LOWER_LETTERS}]", b),
+        lambda a, b: re.search(fixed.DANGLING_TAIL, a),
+    )
+
     def should(a, b):
         a, b = a.strip(), b.strip()
-        if a.startswith("#") or b.startswith("#") or re.match(r"^- \?", b) or re.match(r"^[*\-]\s+[A-ZÁÉÍÓÚÜÑ]", b) or re.match(r"\d[.)]", b):
-            return False
-        if re.search(r"[.;:?!]['’”\"]\s*$", a[-3:]):
-            return False
-        open_end, lower = a[-1] not in ".;:?!\"')»", b[0].islower()
-        return bool((open_end and lower) or (open_end and re.match(r"^-\s+[a-záéíóúüñ]", b)) or re.search(fixed.DANGLING_TAIL, a) or (a[-1] == "," and lower))
+        return any(j(a, b) for j in joins) and not any(x(a, b) for x in barred)
 
     cases = texts("\n\n", ["abc", "Def.", "", "El caso de la", "sigue, ", "# h", "2. x", "- otro", "- Otro", 'dijo."', "podrá", "  ñu  "])
     wanted = []
@@ -120,20 +123,22 @@ def test_paragraph_merging_is_greedy_thrice(apply):
 
 def test_citation_blocks(apply):
     def removed(c):
-        parts, gone = c.split("\n\n"), set()
-        for i, p in enumerate(parts):
-            p = p.strip()
-            if not re.search(fixed.CITATION_ANCHOR, p) or p[:1] in "#|":
+        """One pass forward with the paragraphs still in reach of the last anchor."""
+        kept, reach = [], 0
+        for paragraph in c.split("\n\n"):
+            s = paragraph.strip()
+            marked = s.startswith(("#", "|"))
+            if not marked and re.search(fixed.CITATION_ANCHOR, s):
+                reach = fixed.CITATION_REACH
                 continue
-            gone.add(i)
-            for j in range(i + 1, min(i + 1 + fixed.CITATION_REACH, len(parts))):
-                q = parts[j].strip()
-                if not q:
+            within, reach = reach > 0, reach - 1
+            if within and s:
+                belongs = re.match(fixed.CITATION_FRAGMENT, s) or len(s) < fixed.CITATION_SHORT
+                if belongs and not marked and not re.match(r"\d{1,3}\.\s", s):
                     continue
-                if q[0] in "#|" or re.match(r"\d{1,3}\.\s", q) or not (re.match(fixed.CITATION_FRAGMENT, q) or len(q) < fixed.CITATION_SHORT):
-                    break
-                gone.add(j)
-        return "\n\n".join(p for i, p in enumerate(parts) if i not in gone)
+                reach = 0
+            kept.append(paragraph)
+        return "\n\n".join(kept)
 
     cases = texts("\n\n", ["Radicación: 123", "corto", "largo " * 20, "", "# T", "3. punto", "General de la " + "x" * 80, "# Radicación: 99", "otro"], longest=40)
     assert apply(C.remove_citation_blocks, cases) == [removed(c) for c in cases]
