@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +49,20 @@ def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
     """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package: once per application, unless PYTHONPATH carries it already.
+
+    The driver serves the archive to the executors, as ``--py-files`` would.
+    """
+    root, context = Path(__file__).resolve().parent.parent, spark.sparkContext
+    carried = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in carried or getattr(context, "_lexloom_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lexloom-")) / "lexloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "lexloom").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._lexloom_shipped = True
