@@ -22,7 +22,7 @@ import random
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -145,16 +145,16 @@ def _land(sizes: Sequence[int], probs: list[float], draw: random.Random) -> list
 
 
 def _fly(last: bool, level: int, seed: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         # Long documents first: neighbours are then alike, and what stays open for the landing is short.
-        rows = rows.sort_values(["size", "rank", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
-        draw = random.Random(f"{seed}/{key[0]!r}/{level}/{int(key[1])}")
-        sizes = rows["size"].tolist()
-        probs = _flight(sizes, rows["prob"].tolist(), draw)
+        rows = rows.sort_by([("size", "descending"), ("rank", "ascending"), ("doc_id", "ascending")])
+        source, bucket = (k.as_py() for k in key)
+        draw = random.Random(f"{seed}/{source!r}/{level}/{bucket}")
+        sizes = rows["size"].to_pylist()
+        probs = _flight(sizes, rows["prob"].to_pylist(), draw)
         if last:
             probs = _land(sizes, probs, draw)
-        rows["prob"] = probs
-        return rows
+        return rows.set_column(rows.schema.get_field_index("prob"), "prob", pa.array(probs, pa.float64()))
 
     return run
 
@@ -179,7 +179,7 @@ def take(sized: DataFrame, targets: DataFrame, seed: int = SEED, chunk: int = CH
         chunks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / (chunk * (chunk // 4) ** level)).cast("int"))
         last = largest <= chunk * (chunk // 4) ** level
         bucket = F.pmod(F.xxhash64(F.lit(level), "rank"), chunks.cast("long"))
-        flown = rows.groupBy("source", bucket.alias("bucket")).applyInPandas(_fly(last, level, seed), schema)
+        flown = rows.groupBy("source", bucket.alias("bucket")).applyInArrow(_fly(last, level, seed), schema)
         if last:
             closed.append(flown)
             break

@@ -194,6 +194,12 @@ def test_mix_odd_rows(make_docs):
     assert {r.target for r in mixing.digest(make_docs([None, ""])).collect()} == {0.0}
 
 
+def test_mix_keeps_large_ids_beside_nulls(make_docs):
+    big = (1 << 62) + 1
+    docs = make_docs(["a b c"] * 4, sources=["s"] * 4, ids=[None, big, big + 2, None])
+    assert {r.doc_id for r in mixing.digest(docs).collect()} == {None, big, big + 2}
+
+
 def test_mix_repeats_rows_as_drawn(spark):
     docs = table(spark, SMALL, "documents")
     drawn = {r.doc_id: r.taken // r["size"] for r in mixing.digest(docs).collect() if r["size"]}
