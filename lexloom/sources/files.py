@@ -59,7 +59,7 @@ def read_jsonl(spark: SparkSession, path: str, source_stem: str | None = None) -
 
 
 def read_metadata_csv(spark: SparkSession, path: str, key: str = "Archivo") -> DataFrame:
-    """A row per key: values trimmed, blanks null, the last of repeated keys winning column by column of its row."""
+    """A row per key: values trimmed, blanks null; of repeated keys the last row wins."""
     raw = spark.read.option("header", "true").option("sep", ";").option("encoding", "UTF-8").csv(path)
     return last_by_key(raw.withColumn("__at", F.monotonically_increasing_id()), key, "__at")
 
