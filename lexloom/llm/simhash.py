@@ -264,11 +264,15 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limi
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """One row of each component stays: that with the smallest doc_id (one of them, should it repeat)."""
     found = components(docs, text, doc_id, limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = durable(found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x")))
+    equal = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = durable(equal.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("x")))
+    repeats = not first.filter("x.n > 1").isEmpty()
     first = first.select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th"))
     keyed = docs.withColumn("__h", text_hash(text))
     match = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
-    kept = keyed.join(first, match).dropDuplicates(["__id", "__h"])
+    kept = keyed.join(first, match)
+    if repeats:  # else every chosen row is alone, and the texts need no second shuffle
+        kept = kept.dropDuplicates(["__id", "__h"])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
