@@ -192,3 +192,10 @@ def test_adaptive_cleanup_is_one_stage(spark):
     plan = C.adaptive_cleanup(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert C.adaptive_cleanup(df).first().clean.endswith("\n")
+
+
+def test_quick_lists_match_alike():
+    cases = texts(" ", ["ley", "Ley 3", "leyes", "LEY", "artículo 7", "playa", "PLAYAS", "bahía", "xplaya", "corte suprema"])
+    for pattern in (*fixed.LEGAL_CITATIONS, r"(?i)\b(playa|playas|bahía)\b", r"\b(ley|artículo)\b", r"\d[a-z]"):
+        for case in cases:
+            assert re.findall(T.quick(pattern), case) == re.findall(pattern, case)
