@@ -16,8 +16,8 @@ def top(df: DataFrame, order: list[Column], k: int, by: list[str], rank: str = "
     return df.withColumn(rank, place).filter(F.col(rank) <= k)
 
 
-def bm25_scores(queries: DataFrame, index: Bm25Index, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, decimals: int = 9) -> DataFrame:
-    """``query_id, doc_id, score`` of documents that share a token with the query; repeated query tokens repeat.
+def bm25_parts(queries: DataFrame, index: Bm25Index, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
+    """``query_id, doc_id, part``: what each common token adds; repeated query tokens repeat.
 
     Query tokens are few and reach the postings first, so all but their postings are left out before the scores.
     """
@@ -26,21 +26,31 @@ def bm25_scores(queries: DataFrame, index: Bm25Index, k1: float = fixed.BM25_K1,
     hits = index.hits(weighed).crossJoin(F.broadcast(index.stats))  # stats: one row
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("w") * (tf * (k1 + 1)) / (tf + k1 * (F.lit(1 - b) + F.lit(b) * dl / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), decimals).alias("score"))
+    return hits.select("query_id", "doc_id", part.alias("part"))
 
 
-def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, **weights) -> DataFrame:
-    """``query_id, doc_id, score, rank``; documents without a common token fill up with score 0.
+def _summed(parts: DataFrame, decimals: int) -> DataFrame:
+    return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), decimals).alias("score"))
 
-    Ties go by doc_id. Fillers come from the 2k smallest ids: if fewer than k documents score, k of those do not.
+
+def bm25_scores(queries: DataFrame, index: Bm25Index, decimals: int = 9, **weights) -> DataFrame:
+    """``query_id, doc_id, score`` of documents that share a token with the query."""
+    return _summed(bm25_parts(queries, index, **weights), decimals)
+
+
+def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, decimals: int = 9, negative: bool = False, **weights) -> DataFrame:
+    """``query_id, doc_id, score, rank``; documents without a common token have score 0 and are eligible.
+
+    Ties go by doc_id. Of the many at 0 only the 2k smallest ids need to compete: if fewer than k documents score
+    above 0, at least k of those are at 0. They add nothing to the sums, so one pass scores all. This takes that no
+    score is below 0, which holds while the mean idf is not (a handful of documents that share nearly all their words
+    can break it); with ``negative`` all documents compete.
     """
-    scored = bm25_scores(queries, index, **weights)
-    best = top(scored, [F.col("score").desc(), F.col("doc_id").asc()], k, ["query_id"]).drop("rank")
-    # A score below 0 ranks after the fillers, so those compete with all of a query's scores.
-    first = index.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-    empty = queries.select("query_id").crossJoin(F.broadcast(first)).join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    both = best.unionByName(empty.withColumn("score", F.lit(0.0)))
-    return top(both, [F.col("score").desc(), F.col("doc_id").asc()], k, ["query_id"])
+    first = index.docs.select("doc_id") if negative else index.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
+    few = queries.select("query_id")
+    plain = (first.crossJoin(F.broadcast(few)) if negative else few.crossJoin(F.broadcast(first))).withColumn("part", F.lit(0.0))
+    scored = _summed(bm25_parts(queries, index, **weights).unionByName(plain), decimals)
+    return top(scored, [F.col("score").desc(), F.col("doc_id").asc()], k, ["query_id"])
 
 
 def squared_l2(a: Column, b: Column) -> Column:

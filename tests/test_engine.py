@@ -41,6 +41,14 @@ def test_bm25_by_hand(spark):
         assert [(i, round(s, 6)) for _, i, s in mine] == [(i, pytest.approx(-n, abs=1e-6)) for n, i in want]
 
 
+def test_bm25_below_zero(spark):
+    """Where the mean idf is negative, documents without a common token rank before those that score."""
+    docs = spark.createDataFrame([(i, "a b" if i < 8 else "a") for i in range(10)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "b")], "query_id int, question string")
+    got = R.bm25_topk(queries, I.bm25_index(docs), 3, negative=True).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [8, 9, 0] and got[2].score < 0
+
+
 def test_knn_blocks_agree(spark):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "doc_id long, embedding array<float>")
     queries = spark.createDataFrame([(q, [float(q), 1.0]) for q in range(6)], "query_id int, embedding array<float>")
