@@ -155,6 +155,20 @@ def test_wrapper_induction(spark):
     assert html_extract.digest(pages.limit(0)).count() == 0
 
 
+def _induced(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_induction_of_large_and_deep_pages(spark):
+    """Pages of thousands of slots or levels take part in induction like any other."""
+    large = "".join(f"<h2>a{{0}} {j}</h2><p>b{{0}} {j}</p>" for j in range(1500))
+    deep = "<section>" * 400 + "<p>" + "c{0} " * 30 + "</p>" + "</section>" * 400
+    for host, inner in (("large", large), ("deep", deep)):
+        rows = [(i, f"http://{host}.example/{i}", page("<p>Standing line of this site</p>" + inner.format(i))) for i in range(8)]
+        found = _induced(spark, rows)
+        assert all("Standing line" not in found[i] and str(i) in found[i] for i in range(8)), host
+
+
 def test_html_against_plain_parser(spark):
     from html import unescape
 
