@@ -169,6 +169,16 @@ def test_induction_of_large_and_deep_pages(spark):
         assert all("Standing line" not in found[i] and str(i) in found[i] for i in range(8)), host
 
 
+def test_long_standing_text_makes_no_copies(spark):
+    """A notice longer than the articles is template; pages with the same article count once."""
+    notice = "Standing notice of the house about its terms and its hours. " * 7
+    rows = [(i, f"http://terms.example/{i}", page(f"<article><p>{notice}</p><p>{f'own{i} ' * 30}</p></article>")) for i in range(8)]
+    rows += [(100 + i, f"http://same.example/{i}", page(f"<article><p>{notice}</p><p>{f'own{i % 3} ' * 30}</p></article>")) for i in range(30)]
+    found = _induced(spark, rows)
+    assert [found[i] for i in range(8)] == [f"own{i} " * 29 + f"own{i}" for i in range(8)]
+    assert all(found[100 + i].startswith("Standing notice") for i in range(30))  # three articles are too few
+
+
 def test_html_against_plain_parser(spark):
     from html import unescape
 
