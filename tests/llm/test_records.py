@@ -179,6 +179,29 @@ def test_long_standing_text_makes_no_copies(spark):
     assert all(found[100 + i].startswith("Standing notice") for i in range(30))  # three articles are too few
 
 
+def test_template_of_each_layout(spark):
+    """Two layouts in equal shares have templates of their own; one text for both is the host's."""
+    rows = []
+    for i in range(12):
+        own = f"<p>{f'own{i} ' * 30}</p>"
+        inner = f"<div class=story><p>Story house line</p>{own}</div>" if i % 2 else f"<section class=brief><div>{own}<p>Brief house line</p></div></section>"
+        rows.append((i, f"http://two.example/{i}", page(inner)))
+    # A word that is standing text in one layout is content where it is not.
+    rows.append((12, "http://two.example/12", page(f"<main><p>Story house line</p><p>{'own12 ' * 30}</p></main>")))
+    found = _induced(spark, rows)
+    assert [found[i] for i in range(12)] == [" ".join([f"own{i}"] * 30) for i in range(12)]
+    assert found[12].startswith("Story house line")
+
+
+@pytest.mark.parametrize("without", range(8))
+def test_template_text_may_miss_on_any_page(spark, without):
+    """Standing text is removed whichever one page lacks it or has no text; five empty pages are no evidence."""
+    rows = [(i, f"http://h.example/{i}", page(f"<div class=c>{'' if i == without else '<p>House line</p>'}<p>{f'own{i} ' * 30}</p></div>")) for i in range(8)]
+    rows += [(20 + i, f"http://h.example/e{i}", "" if i % 2 else None) for i in range(5)]
+    found = _induced(spark, rows)
+    assert [found[i] for i in range(8)] == [" ".join([f"own{i}"] * 30) for i in range(8)]
+
+
 def test_html_against_plain_parser(spark):
     from html import unescape
 
