@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -57,21 +61,72 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def _least(found: tuple[np.ndarray, ...], k: int, margin: float) -> tuple[np.ndarray, ...]:
+    """Of (query, distance, id) what can be among the first k by rounded distance and id, in order."""
+    q, d, ids = found
+    order = np.lexsort((ids, d, q))
+    q, d, ids = q[order], d[order], ids[order]
+    place = np.arange(len(q))
+    start = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], place, 0))
+    last = np.minimum(start + k - 1, len(q) - 1)
+    bound = np.where(q[last] == q, d[last] + margin, np.inf)
+    run = np.maximum.accumulate(np.where(np.r_[True, (q[1:] != q[:-1]) | (d[1:] != d[:-1])], place, 0))
+    keep = (d <= bound) & (place - run < k)
+    return q[keep], d[keep], ids[keep]
+
+
+def _nearest(asked: np.ndarray, k: int, margin: float):
+    """Batches of ``doc_id, embedding`` to query number, id and exact distance of what can be among the first k.
+
+    A matrix product finds what comes near enough; distances are then summed in the order of the native expression.
+    """
+    norms = (asked * asked).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        step = max(1, 2_000_000 // len(asked))
+        for batch in batches:
+            rows = [(i, x) for i, x in zip(batch.column("doc_id").to_pylist(), batch.column("embedding").to_numpy(zero_copy_only=False), strict=True) if x is not None]
+            for at in range(0, len(rows), step):
+                ids = np.array([i for i, _ in rows[at : at + step]], np.int64)
+                block = np.stack([x for _, x in rows[at : at + step]]).astype(np.float64)
+                own = (block * block).sum(axis=1)
+                near = norms[:, None] + own - 2 * (asked @ block.T)
+                bound = np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                slack = margin + 1e-10 * (norms + own.max())
+                q, v = np.nonzero(near <= (bound + slack)[:, None])
+                d = np.zeros(len(q))
+                for x in range(asked.shape[1]):
+                    apart = block[v, x] - asked[q, x]
+                    d += apart * apart
+                best = _least(tuple(np.concatenate(x) for x in zip(best, (q, d, ids[v]), strict=True)), k, margin)
+        yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[2]), pa.array(best[1])], ["number", "doc_id", "score"])
+
+    return run
+
+
 def knn_topk(queries: DataFrame, vectors: DataFrame, k: int, decimals: int = 9, most_queries: int = 10_000) -> DataFrame:
     """``query_id, doc_id, score`` (squared distance) and ``rank``, exact; ties by doc_id.
 
-    A stated set of queries meets all vectors: queries are broadcast after their number is checked, and larger sets
-    are dealt out in blocks that each visit all vectors.
+    A stated set of queries meets all vectors. Up to ``most_queries``, checked first, go to every task, which returns
+    only what can be among the first k; larger sets are dealt out in blocks that each visit all vectors. Rows and
+    queries without a vector have no neighbours. All vectors have one length.
     """
+    queries, vectors = (df.filter(F.col("embedding").isNotNull()) for df in (queries, vectors))
     count = queries.count()
     small = queries.select("query_id", F.col("embedding").alias("q"))
-    if count <= most_queries:
-        pairs = vectors.crossJoin(F.broadcast(small))
-    else:
-        blocks = -(-count // most_queries)
-        small = small.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        dealt = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = dealt.join(small, "block")
+    if 0 < count <= most_queries and vectors.schema["doc_id"].dataType.typeName() in ("long", "integer"):
+        asked = small.collect()
+        run = _nearest(np.array([r["q"] for r in asked], np.float64), k, 2 * 10.0**-decimals)
+        found = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").mapInArrow(run, "number long, doc_id long, score double")
+        named = queries.sparkSession.createDataFrame([(n, r["query_id"]) for n, r in enumerate(asked)], f"number long, query_id {queries.schema['query_id'].dataType.simpleString()}")
+        kind = vectors.schema["doc_id"].dataType
+        near = found.join(F.broadcast(named), "number").select("query_id", F.col("doc_id").cast(kind).alias("doc_id"), F.round("score", decimals).alias("score"))
+        return top(near, [F.col("score").asc(), F.col("doc_id").asc()], k, ["query_id"])
+    blocks = max(1, -(-count // most_queries))
+    small = small.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    dealt = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = dealt.join(small, "block")
     near = pairs.select("query_id", "doc_id", F.round(squared_l2(F.col("embedding"), F.col("q")), decimals).alias("score"))
     return top(near, [F.col("score").asc(), F.col("doc_id").asc()], k, ["query_id"])
 

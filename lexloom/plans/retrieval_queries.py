@@ -118,6 +118,55 @@ def hybrid_search(spark, sf_dir):
     return found.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
+# --- The same searches for every row whose id is divisible by 50, so that the query set grows with the tables.
+
+EVERY, WORDS = 50, 8
+
+
+def vector_queries(spark, sf_dir) -> DataFrame:
+    """Every 50th vector as a query."""
+    return vectors(spark, sf_dir).filter(F.col("doc_id") % EVERY == 0).withColumnRenamed("doc_id", "query_id")
+
+
+def document_queries(spark, sf_dir) -> DataFrame:
+    """The first words of every 50th document as a question; its vector is that of the row with its id, if there is one."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") % EVERY == 0)
+    asked = docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(I.tokens(F.col("text")), 1, WORDS), " ").alias("question"))
+    return asked.join(vector_queries(spark, sf_dir), "query_id", "left")
+
+
+_ASKED_VECTORS = f"(SELECT vec_id, '', vec_id FROM embeddings WHERE vec_id % {EVERY} = 0) AS v(query_id, question, vec_id)"
+_ASKED_DOCUMENTS = f"(SELECT doc_id, array_to_string({_TOKENS.format('text')}[1:{WORDS}], ' '), doc_id FROM documents WHERE doc_id % {EVERY} = 0) AS v(query_id, question, vec_id)"
+
+
+def _asking(sql: str, asked: str) -> str:
+    """The SQL of a search with another query set."""
+    return sql.replace(_ASKED, asked).replace(_ASKED.replace(" AS v(", " AS q("), asked.replace(" AS v(", " AS q("))
+
+
+@query("knn_topk_every50", _asking(ORACLES["knn_topk"], _ASKED_VECTORS))
+def knn_topk_every50(spark, sf_dir):
+    return R.knn_topk(vector_queries(spark, sf_dir), spread(vectors(spark, sf_dir)), K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("bm25_topk_every50", _asking(ORACLES["bm25_topk"], _ASKED_DOCUMENTS))
+def bm25_topk_every50(spark, sf_dir):
+    return R.bm25_topk(document_queries(spark, sf_dir), bm25(spark, sf_dir), K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("rrf_fusion_every50", _asking(ORACLES["rrf_fusion"], _ASKED_VECTORS))
+def rrf_fusion_every50(spark, sf_dir):
+    near = R.knn_topk(vector_queries(spark, sf_dir), spread(vectors(spark, sf_dir)), K)
+    other = R.top(near.filter("rank <= 5").select("query_id", "doc_id"), [F.col("doc_id").desc()], K, ["query_id"])
+    return R.fuse([("other", other, fixed.BM25_WEIGHT), ("vector", near, fixed.VECTOR_WEIGHT)]).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query("hybrid_search_every50", _asking(ORACLES["hybrid_search"], _ASKED_DOCUMENTS))
+def hybrid_search_every50(spark, sf_dir):
+    found = R.hybrid(document_queries(spark, sf_dir), bm25(spark, sf_dir), spread(vectors(spark, sf_dir)), K)
+    return found.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
 def _ranked(spark, sf_dir) -> DataFrame:
     """The first five of the BM25 lists with the columns that context and sources read."""
     best = R.bm25_topk(questions(spark), bm25(spark, sf_dir), 5).select("query_id", "doc_id", "rank")
@@ -188,6 +237,13 @@ def answer_pipeline(spark, sf_dir):
     return A.generate_answers(with_vectors(spark, sf_dir), lambda asked, k: R.hybrid(asked, lexical, stored, k), chunks, k_candidates=5)
 
 
+@query("answer_pipeline_every50")
+def answer_pipeline_every50(spark, sf_dir):
+    lexical, stored = bm25(spark, sf_dir), vectors(spark, sf_dir)
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.col("source"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("page_content"))
+    return A.generate_answers(document_queries(spark, sf_dir), lambda asked, k: R.hybrid(asked, lexical, stored, k), chunks, k_candidates=5)
+
+
 @query(
     "request_validation",
     """SELECT conv_id AS query_id, CASE WHEN turn % 3 = 0 THEN 4 ELSE turn::INTEGER * 3 END AS k, (turn * 4)::INTEGER AS k_candidates,

@@ -17,6 +17,7 @@ from lexloom.operators import answer as A, enrich as E, evaluate as V, index as
 from lexloom.sources import files
 from lexloom.streaming import ingest
 
+SMALL = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -49,6 +50,24 @@ def test_bm25_below_zero(spark):
     assert [r.doc_id for r in got] == [8, 9, 0] and got[2].score < 0
 
 
+def test_knn_matches_brute_force_for_every_50th(spark):
+    """All rows whose id is divisible by 50 are queries; ties beyond k go by id."""
+    from lexloom.plans import retrieval_queries as Q
+
+    rows = [(r.doc_id, r.embedding) for r in Q.vectors(spark, SMALL).collect()]
+    got = [(r.query_id, r["rank"], r.doc_id) for r in Q.knn_topk_every50(spark, SMALL).collect()]
+    want = []
+    for query_id, q in rows:
+        if query_id % 50 == 0:
+            near = sorted((round(sum((x - y) * (x - y) for x, y in zip(v, q, strict=True)), 9), i) for i, v in rows)
+            want += [(query_id, n + 1, i) for n, (_, i) in enumerate(near[: Q.K])]
+    assert sorted(got) == sorted(want) and len(want) == 10 * Q.K
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300, 0, -1)] + [(1000, None)], "doc_id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.0, 0.0]), ("c", None)], "query_id string, embedding array<float>")
+    found = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in R.knn_topk(asked, same, 3).collect())
+    assert found == [(q, n, n, d) for q, d in (("a", 0.0), ("b", 5.0)) for n in (1, 2, 3)]
+
+
 def test_knn_blocks_agree(spark):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "doc_id long, embedding array<float>")
     queries = spark.createDataFrame([(q, [float(q), 1.0]) for q in range(6)], "query_id int, embedding array<float>")
