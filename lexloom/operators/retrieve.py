@@ -45,15 +45,19 @@ def bm25_scores(queries: DataFrame, index: Bm25Index, decimals: int = 9, **weigh
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, decimals: int = 9, negative: bool = False, **weights) -> DataFrame:
     """``query_id, doc_id, score, rank``; documents without a common token have score 0 and are eligible.
 
-    Ties go by doc_id. Of the many at 0 only the 2k smallest ids need to compete: if fewer than k documents score
-    above 0, at least k of those are at 0. They add nothing to the sums, so one pass scores all. This takes that no
-    score is below 0, which holds while the mean idf is not (a handful of documents that share nearly all their words
-    can break it); with ``negative`` all documents compete.
+    Ties go by doc_id. Of the many at 0 only the 2k smallest distinct ids need to compete: if fewer than k documents
+    score above 0, at least k of those are at 0. They add nothing to the sums, so one pass scores all. Where a query
+    holds a token of negative idf (the mean is below 0), its scores may be below 0 and all documents compete; with
+    ``negative`` they do for every query.
     """
-    first = index.docs.select("doc_id") if negative else index.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-    few = queries.select("query_id")
-    plain = (first.crossJoin(F.broadcast(few)) if negative else few.crossJoin(F.broadcast(first))).withColumn("part", F.lit(0.0))
-    scored = _summed(bm25_parts(queries, index, **weights).unionByName(plain), decimals)
+    ids, few = index.docs.select("doc_id"), queries.select("query_id")
+    if negative:
+        plain = ids.crossJoin(F.broadcast(few))
+    else:
+        asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token"))
+        below = asked.join(index.terms.filter("idf < 0"), "token").select("query_id").distinct()
+        plain = few.crossJoin(F.broadcast(ids.distinct().orderBy("doc_id").limit(2 * k))).unionByName(ids.crossJoin(F.broadcast(below)).select("query_id", "doc_id"))
+    scored = _summed(bm25_parts(queries, index, **weights).unionByName(plain.withColumn("part", F.lit(0.0))), decimals)
     return top(scored, [F.col("score").desc(), F.col("doc_id").asc()], k, ["query_id"])
 
 

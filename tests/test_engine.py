@@ -50,6 +50,16 @@ def test_bm25_below_zero(spark):
     assert [r.doc_id for r in got] == [8, 9, 0] and got[2].score < 0
 
 
+def test_bm25_fillers_are_complete(spark):
+    """Repeated small ids do not crowd out others, and a negative mean idf is noticed without an option."""
+    docs = spark.createDataFrame([(0, "a b")] * 10 + [(i, f"c{i} d") for i in range(1, 5)], "doc_id long, text string")
+    got = R.bm25_topk(spark.createDataFrame([(1, "zzz")], "query_id int, question string"), I.bm25_index(docs), 3).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [0, 1, 2]
+    docs = spark.createDataFrame([(i, "a b" if i < 8 else "a") for i in range(10)], "doc_id long, text string")
+    got = R.bm25_topk(spark.createDataFrame([(1, "b")], "query_id int, question string"), I.bm25_index(docs), 3).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [8, 9, 0] and got[2].score < 0
+
+
 def test_knn_matches_brute_force_for_every_50th(spark):
     """All rows whose id is divisible by 50 are queries; ties beyond k go by id."""
     from lexloom.plans import retrieval_queries as Q
