@@ -230,6 +230,28 @@ def citation_link(spark, sf_dir):
     return A.link_citations(answers, _ranked(spark, sf_dir)).select("query_id", "n", "doc_id", "missing")
 
 
+_CITED_WHOLE = _CITED.replace("left(text, 40)", "text")
+
+
+@query(
+    "citation_link_whole",
+    f"""WITH {_RANKED}, a AS (SELECT conv_id, string_agg({_CITED_WHOLE}, chr(10) ORDER BY turn) AS answer FROM conversations GROUP BY conv_id),
+    d AS (SELECT DISTINCT conv_id AS query_id, conv_id % {len(QUESTIONS)} + 1 AS question, n::INTEGER AS n FROM (SELECT conv_id, unnest(regexp_extract_all(answer, '\[doc(\d+)\]', 1)) AS n FROM a))
+    SELECT d.query_id, d.n, r.doc_id, r.doc_id IS NULL AS missing FROM d LEFT JOIN r ON r.query_id = d.question AND r.rank = d.n""",
+)
+def citation_link_whole(spark, sf_dir):
+    """Whole texts of all conversations, each asked the question that its id gives.
+
+    A turn is searched by itself and its conversation's citations are then taken once, so that no conversation's text
+    is gathered in one row.
+    """
+    rows = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    cited = A.citations(rows.select("conv_id", F.expr(_CITED_WHOLE).alias("answer")), key="conv_id").select("conv_id", "n").distinct()
+    best = F.broadcast(_ranked(spark, sf_dir).select("query_id", F.col("rank").alias("n"), "doc_id"))  # five rows a question
+    told = cited.withColumn("query_id", F.col("conv_id") % len(QUESTIONS) + 1).join(best, ["query_id", "n"], "left")
+    return told.select(F.col("conv_id").alias("query_id"), "n", "doc_id", F.col("doc_id").isNull().alias("missing"))
+
+
 @query("answer_pipeline")
 def answer_pipeline(spark, sf_dir):
     lexical, stored = bm25(spark, sf_dir), vectors(spark, sf_dir)

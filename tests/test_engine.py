@@ -60,6 +60,18 @@ def test_bm25_fillers_are_complete(spark):
     assert [r.doc_id for r in got] == [8, 9, 0] and got[2].score < 0
 
 
+def test_citations_of_whole_conversations(spark, tmp_path):
+    """Citations beyond the 40th character, in later turns and in any conversation are found."""
+    from lexloom.plans import retrieval_queries as Q
+
+    for name in ("documents", "labels"):
+        os.symlink(f"{SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+    rows = [(900, 0, "user", "x" * 60 + " [doc77]"), (900, 3, "assistant", "[doc78]"), (7, 1, "user", "none")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.query_id, r.n): r.missing for r in Q.QUERIES["citation_link_whole"](spark, str(tmp_path)).collect()}
+    assert got[900, 77] and got[900, 78] and {n for q, n in got if q == 900} == {77, 78, 1, 4} and {n for q, n in got if q == 7} == {2, 8}
+
+
 def test_knn_matches_brute_force_for_every_50th(spark):
     """All rows whose id is divisible by 50 are queries; ties beyond k go by id."""
     from lexloom.plans import retrieval_queries as Q
