@@ -8,9 +8,9 @@ Greedy parsing restarts at the root, so automaton and restart fold into one tabl
 phrases ended). Texts are cut into rows of ``ROW`` symbols, whole texts always, and numpy walks thousands of rows
 through all languages at once.
 
-Learning sees a bounded sample (the only bound here): per language the ``DOCUMENTS`` labelled documents with the
-least hash of their id, of at most ``LONGEST`` code points each, until ``REFERENCE`` symbols. Only text and label
-are used. Driver and workers hold the sample, a few hundred kilobytes per language; workers build the tables.
+Learning sees a bounded sample: per language the ``DOCUMENTS`` labelled documents with the least hash of their id, the
+first ``LONGEST`` code points of each, until ``REFERENCE`` symbols. Every letter of the sample is a symbol of its own;
+the table is dense for the ``ALPHABET`` most frequent and sparse for the others. Only text and label are used. Driver and workers hold the sample, a few hundred kilobytes per language; workers build the tables.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; without labelled text every
 language is ``und``; with one language known its score is 1; ties go to the first language by code point; rows
@@ -50,10 +50,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """Sample texts per language, from labelled rows that are not held out."""
     told = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     told = told.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    told = told.filter(F.length("text").between(1, LONGEST)).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id"))
+    told = told.filter(F.length("text") >= 1).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
     picked = told.select("lang", "doc_id", "h").withColumn("n", place).filter(F.col("n") <= DOCUMENTS).select("lang", "doc_id")
-    rows = told.join(F.broadcast(picked.distinct()), ["lang", "doc_id"]).select("lang", "h", "text").collect()
+    rows = told.join(F.broadcast(picked.distinct()), ["lang", "doc_id"]).select("lang", "h", F.substring("text", 1, LONGEST).alias("text")).collect()
     found: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
         if row["text"] not in (own := found.setdefault(row["lang"], [])):
@@ -99,22 +99,27 @@ class Parser:
             own = Counter(c for t in texts for c in t.lower() if c.isalpha())
             n = sum(own.values()) or 1
             letters.update({c: k / n for c, k in own.items()})
-        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.size = ALPHABET + 3
-        self.symbol = _letters().copy()
-        for k, c in enumerate(sorted(known)):
+        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))]
+        self.size = ALPHABET + 3  # symbols from here on are in the sparse table
+        self.most = len(known) + self.size
+        self.symbol = _letters().astype(np.int32)
+        for k, c in enumerate(known):
             self.symbol[ord(c)] = 3 + k
         tables, self.root, self.bits = [], [], []
+        sparse: dict[int, int] = {}
         base = 0
         for _, texts in samples:
-            reference = np.concatenate([self.symbols(t) for t in texts] or [np.empty(0, np.uint8)])[:REFERENCE]
+            reference = np.concatenate([self.symbols(t) for t in texts] or [np.empty(0, np.int32)])[:REFERENCE]
             steps = _automaton(reference.tolist())
             table = self._fold(steps, base)
+            sparse.update(((base + state) * self.most + s, 4 * (base + to)) for state, moves in enumerate(steps) for s, to in moves.items() if s >= self.size)
             self.root.append(base)
             self.bits.append(math.log2(max(2, len(reference))))
             base += len(table)
             tables.append(table)
         self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+        self.keys = np.array(sorted(sparse), np.int64)
+        self.moves = np.array([sparse[k] for k in self.keys.tolist()], np.int32)
 
     def _fold(self, steps: list[dict[int, int]], base: int) -> np.ndarray:
         """4 * next state + phrases ended, for every state and symbol."""
@@ -122,14 +127,32 @@ class Parser:
         first = np.full(self.size, 4 * base + 1, np.int32)  # a symbol unknown here is a phrase of its own
         first[CLOSE] = 4 * base
         for s, to in steps[0].items():
-            first[s] = 4 * (base + to)
+            if s < self.size:
+                first[s] = 4 * (base + to)
         table[:] = first + 1  # the phrase so far ends and another begins
         table[0] = first
         for state, moves in enumerate(steps):
             for s, to in moves.items():
-                table[state, s] = 4 * (base + to)
+                if s < self.size:
+                    table[state, s] = 4 * (base + to)
         return table
 
+    def _find(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The sparse table's moves; -1 where there is none."""
+        if not len(self.keys):
+            return np.full(state.shape, -1, np.int32)
+        wanted = state.astype(np.int64) * self.most + symbols
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.moves[at], np.int32(-1))
+
+    def _rare_moves(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """As the dense table gives them, for symbols beyond it; states are languages x symbols."""
+        root = np.array(self.root, np.int32)[:, None]
+        first = self._find(np.broadcast_to(root, state.shape), symbols)
+        first = np.where(first < 0, 4 * root + 1, first) + (state != root)
+        own = self._find(state, symbols)
+        return np.where(own < 0, first, own).astype(np.int32)
+
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of a text, each run of non-letters as one."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -143,7 +166,7 @@ class Parser:
         rows, owner = [], []
         for k, symbols in enumerate(texts):
             n = -(-len(symbols) // ROW)
-            padded = np.zeros(n * ROW, np.uint8)
+            padded = np.zeros(n * ROW, np.int32)
             padded[: len(symbols)] = symbols
             rows.append(padded.reshape(n, ROW))
             owner.append(np.full(n, k))
@@ -154,8 +177,14 @@ class Parser:
             part = np.ascontiguousarray(every[at : at + ROWS_AT_ONCE].T)
             state = np.repeat(np.array(self.root, np.int32)[:, None], part.shape[1], axis=1)
             ended = np.zeros(state.shape, np.int32)
-            for symbols in part:
-                moved = self.table[state * self.size + symbols]
+            beyond = (part >= self.size).any(axis=1)
+            for symbols, some in zip(part, beyond, strict=True):
+                if some:
+                    high = symbols >= self.size
+                    moved = self.table[state * self.size + np.where(high, RARE, symbols)]
+                    moved[:, high] = self._rare_moves(state[:, high], symbols[high])
+                else:
+                    moved = self.table[state * self.size + symbols]
                 ended += moved & 3
                 state = moved >> 2
             ended += state != np.array(self.root, np.int32)[:, None]  # the row closes
@@ -164,7 +193,7 @@ class Parser:
         return counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        symbols = [self.symbols(t) if t else np.empty(0, np.uint8) for t in texts]
+        symbols = [self.symbols(t) if t else np.empty(0, np.int32) for t in texts]
         lettered = [bool((s != GAP).any()) for s in symbols]
         cost = self.phrases(symbols) * np.array(self.bits)[:, None] if self.languages else np.zeros((0, len(texts)))
         names, scores = [], []

@@ -238,6 +238,28 @@ def test_phrases_match_greedy_parsing():
         assert got == [greedy_phrases(s[0], text) for _, s in samples], text
 
 
+def test_scripts_of_many_letters():
+    """Languages that differ in letters beyond the frequent ones only; phrases as in the plain greedy parsing."""
+    import random
+
+    letters = [[chr(0x4E00 + 200 * n + j) for j in range(200)] for n in range(3)]
+    rng = random.Random(5)
+    write = lambda own, n: "".join(rng.choice(own) + rng.choice(("", "", " ")) for _ in range(n))
+    samples = tuple((f"l{n}", (write(own, 3000),)) for n, own in enumerate(letters))
+    parser = langid.Parser(samples)
+    texts = [write(own, 80) for own in letters] + [write(letters[0] + letters[2], 80)]
+    assert parser.predict(texts[:3])[0] == ["l0", "l1", "l2"]
+    for text in texts:
+        got = parser.phrases([parser.symbols(text)])[:, 0].tolist()
+        assert got == [greedy_phrases(" ".join(s[0].split()), text) for _, s in samples]
+
+
+def test_language_of_long_documents_only(make_docs):
+    docs = make_docs(["der hund und die katze " * 4000, "der hund und die maus " * 4000, "the dog and the cat"] * 4, langs=["de", "de", "en"] * 4)
+    samples = langid.learn(docs)
+    assert set(samples) == {"de", "en"} and all(len(t) == langid.LONGEST for t in samples["de"])
+
+
 def test_language_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     told = {r.doc_id: r for r in langid.digest(docs).collect()}
