@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def rows_batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """Rows as one Arrow batch of the named types."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage that every executor can read again."""
     shared_folder(df.sparkSession)

@@ -98,6 +98,41 @@ def test_chat_masks(spark):
     assert [r.conv_id for r in chat.digest(conversations.limit(0)).collect()] == [-1]
 
 
+@given(st.text(alphabet="ab1 \n\t<|\u00e9\u6f22\U0001f600.'s", max_size=400), st.integers(1, 30))
+@settings(max_examples=200, deadline=None)
+def test_pieces_encode_as_the_whole(text, most):
+    """Cut anywhere that is allowed, ids and offsets are those of one encoding."""
+    encoder = chat._tokenizer(chat.default_vocabulary())
+    text = chat.render([("user", text), ("assistant", text)])[0]
+    whole = encoder.encode(text, add_special_tokens=False)
+    ids, offsets = chat.encode(encoder, text, most)
+    assert ids.tolist() == whole.ids and [tuple(x) for x in offsets.tolist()] == whole.offsets
+
+
+def test_long_conversations(spark):
+    """One conversation of 12,000 turns, one of a single turn of 4 MB, and short ones between; all as brute force says."""
+    word = "lorem ipsum <|im_end|> dolor 漢字 "
+    rows = [(5, i, "assistant" if i % 2 else "user", f"{i} " + word * (i % 20)) for i in range(12_000)]
+    rows += [(7, 0, "user", "q"), (9, 1, "assistant", "a")] + [(100 + i, 0, "assistant", word) for i in range(50)]
+    small = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    huge = spark.range(1).selectExpr("8L as conv_id", "0L as turn", "'assistant' as role", "repeat('word and <|im_start|> ', 180000) as text")
+    found = {r.conv_id: r for r in chat.digest(small.unionByName(huge)).collect()}
+    told: dict = {}
+    for conv, _, role, text in [*rows, (8, 0, "assistant", "word and <|im_start|> " * 180_000)]:
+        told.setdefault(conv, []).append((role, text))
+    for conv, turns in told.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        r = found[conv]
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in turns).encode()).hexdigest()
+        assert r.formatted_chars == sum(len(x) for x in (chat.render([t])[0] for t in turns))
+    assert set(found) == {*told, -1}
+    whole = chat.format_conversations(small.filter("conv_id = 5")).first()
+    turns = told[5]
+    assert whole.formatted == chat.render(turns)[0] and len(whole.ids) == len(whole.mask)
+    assert "".join(whole.formatted[s.start : s.stop] for s in whole.loss_spans) == "".join(chat.escape(t) for r, t in turns if r == "assistant")
+
+
 # --- HTML
 
 
