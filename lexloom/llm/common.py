@@ -19,6 +19,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """``row``, a struct of the input's columns, beside named expressions on them, so that no names can clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in more.items()))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``row`` again, some replaced."""
+    return df.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; null counts as empty."""
     blanks = F.translate(F.coalesce(text, F.lit("")), SPACE[1:], " " * len(SPACE[1:]))

@@ -10,24 +10,30 @@ documents of a source are open (the landing problem), and those are rounded by a
 Every move keeps the expectation of each coordinate, and draws are keyed by seed, source, level and chunk with
 rows in a fixed order, so a rerun gives the same sample.
 
+Equal rows (of id, source, size and text) are counted before anything moves and then numbered, so that a null or
+repeated id is dealt over all chunks of its source; :func:`mix` gives each of them its own number of copies without
+bringing them together.
+
 Defined results: null texts have size 0 and are taken 0 words; a null source is a source of its own, after all
 others; null doc_ids and repeated rows are documents like any other (equal rows may be taken differently, in a
 fixed order); a corpus without words has targets of 0; an empty table gives an empty table; extra columns pass
-through :func:`mix`.
+through :func:`mix`, whatever their names.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexloom.llm.common import durable
+from lexloom.llm.common import durable, packed, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -160,17 +166,18 @@ def _fly(last: bool, level: int, seed: int):
 
 
 def take(sized: DataFrame, targets: DataFrame, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)`` per row of ``sized``.
+    """``(doc_id, source, size, source_size, target, copies)`` per row of ``sized``, and ``th`` if it has that.
 
     ``targets`` comes from :func:`plan`. Chunks hold about ``chunk`` rows whatever a source's share of the corpus.
     """
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     facts = targets.select(F.col("source").alias("__source"), "source_size", "n_docs", "target", times.alias("times"))
-    joined = sized.join(F.broadcast(facts) if _few(facts) else facts, F.col("source").eqNullSafe(F.col("__source")))
+    units = [c for c in ("doc_id", "source", "size", "th") if c in sized.columns]
+    joined = _numbered(sized.select(*units)).join(F.broadcast(facts) if _few(facts) else facts, F.col("source").eqNullSafe(F.col("__source")))
     base = F.floor("times").cast("long")
     rows = joined.select(
-        "doc_id", "source", "size", "source_size", "target", "n_docs", base.alias("base"),
-        (F.col("times") - base).alias("prob"), F.xxhash64(F.lit(seed), "doc_id").alias("rank"),
+        *units, "source_size", "target", "n_docs", base.alias("base"), (F.col("times") - base).alias("prob"),
+        F.xxhash64(F.lit(seed), *(u for u in units if u not in ("source", "size")), "nth").alias("rank"),
     )
     schema = rows.schema.simpleString()[len("struct<") : -1]
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
@@ -191,7 +198,18 @@ def take(sized: DataFrame, targets: DataFrame, seed: int = SEED, chunk: int = CH
     for more in closed[1:]:
         out = out.unionAll(more)
     copies = (F.col("base") + F.round("prob").cast("long")).alias("copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies)
+    return out.select(*units, "source_size", "target", copies)
+
+
+BLOCK = 4096
+
+
+def _numbered(rows: DataFrame, out: str = "nth") -> DataFrame:
+    """The rows with a number that tells equal ones apart, from their counts; arrays stay short however many there are."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    blocks = counted.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BLOCK))))
+    last = F.least(F.col("__n") - 1, (F.col("__b") + 1) * BLOCK - 1)
+    return blocks.select(*rows.columns, F.explode(F.sequence(F.col("__b") * BLOCK, last)).alias(out))
 
 
 def _few(facts: DataFrame, bound: int = 10_000) -> bool:
@@ -199,8 +217,13 @@ def _few(facts: DataFrame, bound: int = 10_000) -> bool:
     return facts.limit(bound + 1).count() <= bound
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def sized_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    return durable(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")))
+    t = F.col(f"`{text}`")
+    return durable(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size_of(t).alias("size"), text_hash(t).alias("th")))
 
 
 def sample(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, **limits) -> DataFrame:
@@ -211,23 +234,39 @@ def sample(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, **limits) -> DataFrame:
     """The input's rows, each as many times as the mix takes it.
 
-    Rows of one doc_id and source and size are interchangeable here; they share out the copies drawn for them in
-    the order of a hash of the text.
+    Rows of one id, source and text are interchangeable here. Where they are not all taken equally often, whole rows
+    that are equal are counted, and each kind gets its part in the order of a hash of the row: only hashes and counts
+    of the kinds of one document meet, no texts.
     """
     taken = sample(docs, text, doc_id, source, seed, **limits)
-    by = ["__id", "__source", "__size"]
-    per = taken.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    per = durable(per.agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies")).filter(F.get("__copies", F.lit(0)) > 0))
-    keyed = docs.withColumns({"__i": F.col(doc_id), "__s": F.col(source), "__z": size_of(F.col(text))})
-    on = F.col("__i").eqNullSafe(F.col("__id")) & F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__z") == F.col("__size"))
-    joined = keyed.join(per, on)
-    if not per.filter(F.size("__copies") > 1).isEmpty():
-        nth = F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64(F.col(text)))) - 1
-        joined = joined.withColumn("__n", F.get("__copies", nth))
-    else:
-        joined = joined.withColumn("__n", F.get("__copies", F.lit(0)))
-    many = joined.withColumn("__rep", F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int"))))
-    return many.select(*(F.col(f"`{c}`") for c in docs.columns))
+    unit = ["doc_id", "source", "size", "th"]
+    per = taken.groupBy(*unit).agg(F.count("*").alias("m"), F.sum("copies").alias("c"), F.min("copies").alias("lo"), F.max("copies").alias("hi"))
+    per = durable(per.filter("hi > 0"))
+    whole = F.col(f"`{text}`")
+    keyed = packed(docs, i=F.col(f"`{doc_id}`"), s=F.col(f"`{source}`"), z=size_of(whole), t=text_hash(whole))
+    on = F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")) & (F.col("t") == F.col("th"))
+    even = keyed.join(per.filter("lo = hi"), on)
+    out = even.select("row", F.explode(F.array_repeat(F.lit(1), F.col("lo").cast("int"))))
+    uneven = per.filter("lo < hi")
+    if not uneven.isEmpty():
+        out = out.unionAll(_shared_out(keyed.join(uneven, on), unit))
+    return unpacked(out, docs.columns)
+
+
+def _shared_out(rows: DataFrame, unit: list[str]) -> DataFrame:
+    """Rows of units whose copies differ: ``c`` rows of each unit of ``m``, none more than ``hi`` times, none less than ``lo``."""
+    told = F.to_json("row")
+    kinds = rows.groupBy(*unit, "m", "c", "lo", F.xxhash64(told).alias("h1"), F.xxhash64(F.lit(1), told).alias("h2"))
+    kinds = durable(kinds.agg(F.count("*").alias("n"), F.first("row").alias("row")))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*unit).orderBy("h1", "h2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    extra = F.greatest(F.lit(0), F.least("n", F.col("c") - F.col("lo") * F.col("m") - before))
+    more = kinds.select(*(F.col(x).alias(f"own_{x}") for x in [*unit, "h1", "h2"]), extra.alias("more"))
+    same = [F.col(x).eqNullSafe(F.col(f"own_{x}")) for x in [*unit, "h1", "h2"]]
+    dealt = kinds.join(more, reduce(and_, same)).select("h1", "row", (F.col("lo") * F.col("n") + F.col("more")).alias("k")).filter("k > 0")
+    blocks = dealt.select("h1", "row", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / BLOCK))).alias("b"))
+    blocks = blocks.repartition(F.xxhash64("h1", "b"))
+    here = F.least(F.col("k") - F.col("b") * BLOCK, F.lit(BLOCK))
+    return blocks.select("row", F.explode(F.array_repeat(F.lit(1), here.cast("int"))))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def check_mix(docs, tolerance):
 
 def test_mix_meets_targets_and_repeats_itself(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    assert check_mix(docs, 0.04) == check_mix(docs.repartition(7), 0.04)
+    assert check_mix(docs, 0.01) == check_mix(docs.repartition(7), 0.01)
 
 
 def test_mix_in_chunks(spark):
@@ -209,6 +209,26 @@ def test_mix_repeats_rows_as_drawn(spark):
     assert {k: v for k, v in got.items() if k in drawn} == {k: v for k, v in drawn.items() if v}
 
 
+def test_mix_of_one_repeated_id(spark):
+    """A third of all rows have one id: they are dealt over chunks, and each kind of row gets its share."""
+    docs = spark.range(30_000).selectExpr(
+        "case when id % 3 = 0 then null else id end as doc_id", "case when id % 3 = 0 then repeat('w ', 7) else repeat('v ', cast(1 + id % 20 as int)) end as text", "'en' as lang",
+        "'s' || cast(id % 2 as string) as source", "id % 6 as n_chars",
+    )
+    sized = mixing.sized_rows(docs)
+    ranks = mixing._numbered(sized.select("doc_id", "source", "size", "th"))
+    assert ranks.filter("doc_id is null").select("source", "nth").distinct().count() == 10_000
+    rows = mixing.digest(docs)
+    assert rows.count() == 30_000
+    sums = rows.groupBy("target").agg({"taken": "sum"}).collect()
+    assert all(abs(r["sum(taken)"] - r.target) < 0.002 * r.target for r in sums)
+    want = rows.filter("doc_id is null").selectExpr("sum(taken div size) as n").first().n
+    mixed = mixing.mix(docs)
+    assert mixed.filter("doc_id is null").count() == want and mixed.columns == docs.columns
+    per = {r.n_chars: r["count"] for r in mixed.filter("doc_id is null").groupBy("n_chars").count().collect()}
+    assert set(per) == {0, 3} and all(abs(n - 5000 * r.target / r.source_size) < 100 for n, r in zip(sorted(per.values()), sorted(rows.select("target", "source_size").distinct().collect(), key=lambda r: r.target / r.source_size), strict=True))
+
+
 def test_flight_keeps_expectations():
     sizes, probs = [50, 9, 9, 7, 3, 2, 1, 1], [0.3] * 8
     sums = np.zeros(8)
