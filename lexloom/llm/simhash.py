@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import LOWER, UPPER, durable
+from lexloom.llm.common import LOWER, UPPER, durable, packed, unpacked
 from lexloom.llm.components import connected_components
 
 SHINGLE = 4
 LIMIT = 4
 SEED = 42
 CELL_ROWS = 4096
+SALTS = 16
 
 _LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -74,7 +75,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def text_hash(text: str = "text"):
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
 def embed(fp):
@@ -254,10 +255,12 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limi
     rows = durable(fingerprints(docs, text, doc_id))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = durable(connected_components(links(nodes.select("fp"), limit)))
-    rooted = nodes.join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    rooted = durable(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(named, "root").select("fp", "root", "component_id")
+    linked = durable(stars.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "least"))
+    # Only prints with links have a root to ask; those of one root are dealt over SALTS tasks.
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    told = salted.join(named, ["root", "salt"]).select("fp", "root", "component_id")
+    labels = nodes.join(told, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return rows.join(labels, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
@@ -267,13 +270,12 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     equal = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     first = durable(equal.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("x")))
     repeats = not first.filter("x.n > 1").isEmpty()
-    first = first.select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th"))
-    keyed = docs.withColumn("__h", text_hash(text))
-    match = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
-    kept = keyed.join(first, match)
+    first = first.select(F.col("x.doc_id").alias("own_i"), F.col("x.th").alias("own_t"))
+    keyed = packed(docs, i=F.col(f"`{doc_id}`"), t=text_hash(text))
+    kept = keyed.join(first, F.col("i").eqNullSafe(F.col("own_i")) & (F.col("t") == F.col("own_t")))
     if repeats:  # else every chosen row is alone, and the texts need no second shuffle
-        kept = kept.dropDuplicates(["__id", "__h"])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+        kept = kept.dropDuplicates(["own_i", "own_t"])
+    return unpacked(kept, docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
