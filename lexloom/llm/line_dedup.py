@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import SPACE, durable, let, lower_ascii
+from lexloom.llm.common import SPACE, durable, let, lower_ascii, packed, unpacked
 
 MIN_DOCUMENTS = 10
 MIN_KEY = 1
@@ -35,7 +35,7 @@ def _keys(text: Column, min_key: int) -> Column:
 
 def common_keys(df: DataFrame, text: str = "text", min_documents: int = MIN_DOCUMENTS, min_key: int = MIN_KEY) -> DataFrame:
     """Hashes of the keys found in at least ``min_documents`` rows."""
-    one_each = df.select(F.explode(F.array_compact(F.array_distinct(_keys(F.col(text), min_key)))).alias("k"))
+    one_each = df.select(F.explode(F.array_compact(F.array_distinct(_keys(F.col(f"`{text}`"), min_key)))).alias("k"))
     counted = one_each.groupBy(F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")).agg(F.count("*").alias("n"))
     return counted.filter(F.col("n") >= min_documents).select("h1", "h2")
 
@@ -43,20 +43,17 @@ def common_keys(df: DataFrame, text: str = "text", min_documents: int = MIN_DOCU
 def mark_lines(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_documents: int = MIN_DOCUMENTS, min_key: int = MIN_KEY
 ) -> DataFrame:
-    """The input with ``__gone``: the sorted positions of the lines that go (null if none)."""
-    identity = [F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__th")]
+    """``row`` (the input's columns) and ``gone``: the sorted positions of the lines that go (null if none)."""
+    whole = F.col(f"`{text}`")
+    identity = {"i": F.col(f"`{doc_id}`"), "t": F.xxhash64(F.coalesce(whole, F.lit("")))}
     # A finished table: the join below then has two plain shuffles, of which adaptive execution can split the
     # partition of a very common line.
     common = durable(common_keys(df, text, min_documents, min_key))
-    placed = df.select(*identity, F.posexplode(_keys(F.col(text), min_key)).alias("pos", "k")).filter("k is not null")
-    placed = placed.select("__id", "__th", "pos", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
-    hits = placed.join(common, ["h1", "h2"], "left_semi")
-    gone = hits.groupBy(F.col("__id").alias("__gid"), F.col("__th").alias("__gth")).agg(
-        F.sort_array(F.collect_set("pos")).alias("__gone")
-    )
-    keyed = df.withColumns({"__id": identity[0], "__th": identity[1]})
-    joined = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left")
-    return joined.select(*(F.col(f"`{c}`") for c in df.columns), "__gone")
+    placed = df.select(*(c.alias(n) for n, c in identity.items()), F.posexplode(_keys(whole, min_key)).alias("pos", "k")).filter("k is not null")
+    hits = placed.select("i", "t", "pos", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")).join(common, ["h1", "h2"], "left_semi")
+    gone = hits.groupBy(F.col("i").alias("gi"), F.col("t").alias("gt")).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    joined = packed(df, **identity).join(gone, F.col("i").eqNullSafe(F.col("gi")) & (F.col("t") == F.col("gt")), "left")
+    return joined.select("row", "gone")
 
 
 def _kept(lines: Column, gone: Column) -> Column:
@@ -87,13 +84,13 @@ def _rebuilt(text: Column, gone: Column) -> Column:
 def drop_common_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **limits) -> DataFrame:
     """The input's rows and columns with the common lines gone from ``text``; a null text stays null."""
     marked = mark_lines(df, text, doc_id, **limits)
-    new = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(_rebuilt(F.col(f"`{text}`"), F.col("__gone"))["text"])
-    return marked.select(*((new if c == text else F.col(f"`{c}`")).alias(c) for c in df.columns))
+    whole = F.col("row").getField(text)
+    return unpacked(marked, df.columns, **{text: F.when(F.col("gone").isNull(), whole).otherwise(_rebuilt(whole, F.col("gone"))["text"])})
 
 
 def digest(docs: DataFrame) -> DataFrame:
     marked = mark_lines(docs.select("doc_id", "text"))
-    out = marked.select("doc_id", F.explode(F.array(_rebuilt(F.col("text"), F.col("__gone")))).alias("r"))
+    out = marked.select("row.doc_id", F.explode(F.array(_rebuilt(F.col("row.text"), F.col("gone")))).alias("r"))
     return out.select("doc_id", "r.n_lines", "r.n_dropped", F.sha2(F.col("r.text"), 256).alias("kept_sha256"))
 
 

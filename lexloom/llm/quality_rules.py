@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import SPACE, let, words
+from lexloom.llm.common import SPACE, let, packed, unpacked, words
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -107,7 +107,7 @@ def _without(text: Column, characters: str) -> Column:
 
 def measure(df: DataFrame, text: str = "text", output: str = "quality") -> DataFrame:
     """The input with one struct column of counts, replacing any of its name; built-in expressions, no shuffle."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     forms = stop_forms()
 
     def lines_of(x: Column) -> Column:
@@ -139,13 +139,13 @@ def measure(df: DataFrame, text: str = "text", output: str = "quality") -> DataF
         lines_of(t).alias("l"),
     )
     # A generator gives one evaluation of the struct whatever reads its fields later.
-    out = df.select("*", F.explode(F.array(stats)).alias("__s"))
-    s = F.col("__s")
+    out = packed(df, s=F.explode(F.array(stats)))
+    s = F.col("s")
     fields = [s["word_chars"], s["n_symbols"], s["n_upper"], *(s["w"][x] for x in ("n_words", "n_stop", "n_repeat_words"))]
     names = ["word_chars", "n_symbols", "n_upper", "n_words", "n_stop", "n_repeat_words"]
     lines = ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")
     quality = F.struct(*(f.alias(n) for f, n in zip(fields, names, strict=True)), *(s["l"][x].alias(x) for x in lines))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != output), quality.alias(output))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != output), quality.alias(output))
 
 
 def _on_struct(sql: str, output: str = "quality") -> str:
@@ -164,8 +164,8 @@ def score(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 
 def filter_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows of the input that pass, with the input's columns."""
-    measured = measure(df, text, "__quality")
-    return measured.filter(_on_struct(verdict_sql(rules), "__quality")).select(*(F.col(f"`{c}`") for c in df.columns))
+    measured = measure(packed(df, text=F.col(f"`{text}`")))
+    return unpacked(measured.filter(_on_struct(verdict_sql(rules))), df.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for their results or inside; an input may have them too.
-EXTRA = "pos int, quality string, kept string, fp string, root string, ids string, media string, size string, h1 string"
+EXTRA = "pos int, quality string, kept string, fp string, root string, ids string, media string, size string, h1 string, row string, s string, t string, i string, __s string, __id string, __th string, __h string, __i string, __n string, __z string, __rep string, __gone string, __quality string, th string, salt string, nth string, own_i string"
 
 
 def clashing(docs):
