@@ -5,12 +5,14 @@ into the longest phrases that the automaton holds (the sequential parsing of Ziv
 needs the fewest phrases, weighted with log2 of its reference's length as in the cross-entropy estimate, wins.
 
 Greedy parsing restarts at the root, so automaton and restart fold into one table of (state, symbol) -> (state,
-phrases ended). Texts are cut into rows of ``ROW`` symbols, whole texts always, and numpy walks thousands of rows
-through all languages at once.
+phrases ended). numpy walks many texts through all languages at once, one symbol of each text a step, longest texts
+first; when few texts are left their rest is walked one by one. Whole texts, and no phrase is ever cut.
 
-Learning sees a bounded sample: per language the ``DOCUMENTS`` labelled documents with the least hash of their id, the
-first ``LONGEST`` code points of each, until ``REFERENCE`` symbols. Every letter of the sample is a symbol of its own;
-the table is dense for the ``ALPHABET`` most frequent and sparse for the others. Only text and label are used. Driver and workers hold the sample, a few hundred kilobytes per language; workers build the tables.
+Learning sees a bounded sample: per language at most ``DOCUMENTS`` labelled documents, those with the least hashes of
+id among the least of ``CLASSES`` classes, the first ``LONGEST`` code points of each and ``CHARACTERS`` of all, until
+``REFERENCE`` symbols. Repeated documents count once. Every letter of the sample is a symbol of its own; the table is
+dense for the ``ALPHABET`` most frequent and sparse for the others. Only text and label are used. Driver and workers
+hold the sample, a few hundred kilobytes per language; workers build the tables.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; without labelled text every
 language is ``und``; with one language known its score is 1; ties go to the first language by code point; rows
@@ -32,13 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-DOCUMENTS, LONGEST, REFERENCE = 64, 50_000, 60_000
+DOCUMENTS, LONGEST, CHARACTERS, REFERENCE = 64, 50_000, 240_000, 60_000
+CLASSES = 256
 ALPHABET = 61
-ROW, ROWS_AT_ONCE = 256, 4096
+#: Symbols walked together, and the number of texts below which they are walked singly.
+AT_ONCE, FEW = 1 << 22, 12
+#: Languages up to which the picked ids are broadcast.
+MANY_LANGUAGES = 1000
 SEED = 11
 UNKNOWN = "und"
-#: Symbols: 0 closes a row, 1 is any run of non-letters, 2 any letter that the references lack.
-CLOSE, GAP, RARE = 0, 1, 2
+#: Symbols: 1 is any run of non-letters, 2 any letter that the references lack; letters follow.
+GAP, RARE = 1, 2
 
 
 def held_out(doc_id):
@@ -50,10 +56,16 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """Sample texts per language, from labelled rows that are not held out."""
     told = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     told = told.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    told = told.filter(F.length("text") >= 1).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = told.select("lang", "doc_id", "h").withColumn("n", place).filter(F.col("n") <= DOCUMENTS).select("lang", "doc_id")
-    rows = told.join(F.broadcast(picked.distinct()), ["lang", "doc_id"]).select("lang", "h", F.substring("text", 1, LONGEST).alias("text")).collect()
+    told = told.filter(F.length("text") >= 1).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("th", F.xxhash64("text"))
+    # The least of each class, so repeated rows meet map-side and a language ships CLASSES short rows a task at most.
+    least = told.groupBy("lang", F.pmod("h", F.lit(CLASSES)).alias("class")).agg(F.min(F.struct("h", "doc_id", "th", F.length("text").alias("n"))).alias("x"))
+    order = W.partitionBy("lang").orderBy("x.h", "x.doc_id", "x.th")
+    before = F.coalesce(F.sum(F.least("x.n", F.lit(LONGEST))).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    picked = least.withColumn("place", F.row_number().over(order)).withColumn("before", before).filter((F.col("place") <= DOCUMENTS) & (F.col("before") < CHARACTERS))
+    picked = picked.select("lang", "x.doc_id", "x.h", "x.th")
+    few = picked.select("lang").distinct().count() <= MANY_LANGUAGES
+    rows = told.drop("h").join(F.broadcast(picked) if few else picked, ["lang", "doc_id", "th"])
+    rows = rows.groupBy("lang", "h", "th").agg(F.first(F.substring("text", 1, LONGEST)).alias("text")).collect()
     found: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
         if row["text"] not in (own := found.setdefault(row["lang"], [])):
@@ -118,6 +130,7 @@ class Parser:
             base += len(table)
             tables.append(table)
         self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+        self.sparse = sparse
         self.keys = np.array(sorted(sparse), np.int64)
         self.moves = np.array([sparse[k] for k in self.keys.tolist()], np.int32)
 
@@ -125,7 +138,6 @@ class Parser:
         """4 * next state + phrases ended, for every state and symbol."""
         table = np.zeros((len(steps), self.size), np.int32)
         first = np.full(self.size, 4 * base + 1, np.int32)  # a symbol unknown here is a phrase of its own
-        first[CLOSE] = 4 * base
         for s, to in steps[0].items():
             if s < self.size:
                 first[s] = 4 * (base + to)
@@ -163,35 +175,59 @@ class Parser:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Languages x texts: the number of phrases."""
         counts = np.zeros((len(self.languages), len(texts)), np.int64)
-        rows, owner = [], []
-        for k, symbols in enumerate(texts):
-            n = -(-len(symbols) // ROW)
-            padded = np.zeros(n * ROW, np.int32)
-            padded[: len(symbols)] = symbols
-            rows.append(padded.reshape(n, ROW))
-            owner.append(np.full(n, k))
-        if not rows:
-            return counts
-        every, owners = np.concatenate(rows), np.concatenate(owner)
-        for at in range(0, len(every), ROWS_AT_ONCE):
-            part = np.ascontiguousarray(every[at : at + ROWS_AT_ONCE].T)
-            state = np.repeat(np.array(self.root, np.int32)[:, None], part.shape[1], axis=1)
-            ended = np.zeros(state.shape, np.int32)
-            beyond = (part >= self.size).any(axis=1)
-            for symbols, some in zip(part, beyond, strict=True):
-                if some:
-                    high = symbols >= self.size
-                    moved = self.table[state * self.size + np.where(high, RARE, symbols)]
-                    moved[:, high] = self._rare_moves(state[:, high], symbols[high])
-                else:
-                    moved = self.table[state * self.size + symbols]
-                ended += moved & 3
-                state = moved >> 2
-            ended += state != np.array(self.root, np.int32)[:, None]  # the row closes
-            for l in range(len(self.languages)):
-                counts[l] += np.bincount(owners[at : at + ROWS_AT_ONCE], ended[l], len(texts)).astype(np.int64)
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        at = 0
+        while at < len(order) and len(texts[order[at]]) and self.languages:
+            block, size = [], 0
+            while at < len(order) and (not block or size + len(texts[order[at]]) <= AT_ONCE):
+                block.append(order[at])
+                size += len(texts[order[at]])
+                at += 1
+            counts[:, block] = self._walk([texts[k] for k in block])
         return counts
 
+    def _walk(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Of texts whose lengths descend."""
+        lengths = np.array([len(t) for t in texts])
+        flat = np.concatenate(texts)
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        root = np.array(self.root, np.int32)[:, None]
+        state = np.repeat(root, len(texts), axis=1)
+        ended = np.zeros(state.shape, np.int64)
+        rare = bool((flat >= self.size).any())
+        together = int(lengths[FEW - 1]) if len(texts) >= FEW else 0
+        n = len(texts)
+        for step in range(together):
+            while lengths[n - 1] <= step:
+                n -= 1
+            symbols = flat[starts[:n] + step]
+            own = state[:, :n]
+            high = symbols >= self.size if rare else None
+            if rare and high.any():
+                moved = self.table[own * self.size + np.where(high, RARE, symbols)]
+                moved[:, high] = self._rare_moves(own[:, high], symbols[high])
+            else:
+                moved = self.table[own * self.size + symbols]
+            ended[:, :n] += moved & 3
+            state[:, :n] = moved >> 2
+        table, size, most, sparse = memoryview(self.table), self.size, self.most, self.sparse
+        for k in range(min(len(texts), FEW)):
+            rest = texts[k][together:].tolist()
+            for l, top in enumerate(self.root):
+                now, count = int(state[l, k]), 0
+                for s in rest:
+                    if s < size:
+                        move = table[now * size + s]
+                    else:
+                        move = sparse.get(now * most + s)
+                        if move is None:
+                            move = sparse.get(top * most + s, 4 * top + 1) + (now != top)
+                    count += move & 3
+                    now = move >> 2
+                state[l, k] = now
+                ended[l, k] += count
+        return ended + (state != root)  # the last phrase
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         symbols = [self.symbols(t) if t else np.empty(0, np.int32) for t in texts]
         lettered = [bool((s != GAP).any()) for s in symbols]
@@ -227,8 +263,8 @@ def predict(docs: DataFrame, samples: dict[str, list[str]], text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(frozen)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 names, scores = parser.predict(part.column(text).to_pylist())
                 kept = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n not in ("lang_pred", "score")]
                 yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(n for n, _ in kept), "lang_pred", "score"])

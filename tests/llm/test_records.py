@@ -273,6 +273,52 @@ def test_phrases_match_greedy_parsing():
         assert got == [greedy_phrases(s[0], text) for _, s in samples], text
 
 
+def test_phrases_of_long_and_many_texts():
+    """Walked together or singly, phrases of any length are those of the plain greedy parsing."""
+    import random
+
+    rng = random.Random(3)
+    reference = "".join(rng.choice("abcdefgh ") for _ in range(2000)).strip()
+    other = "".join(rng.choice("abcxyz ") for _ in range(1500)).strip()
+    parser = langid.Parser((("a", (reference,)), ("b", (other,))))
+    texts = [reference[:900] + other[:900], reference * 2, other[100:1400], "q" * 300] + [reference[i : i + 40 + i] for i in range(60)]
+    texts = [" ".join(t.split()) for t in texts]
+    want = [[greedy_phrases(" ".join(s.split()), t) for s in (reference, other)] for t in texts]
+    for some in (texts, texts[:5], texts[1:2]):
+        assert parser.phrases([parser.symbols(t) for t in some]).T.tolist() == [want[texts.index(t)] for t in some]
+    assert parser.phrases([parser.symbols(" ".join(reference.split()))])[0, 0] == 1
+
+
+def test_language_sample_is_bounded(make_docs):
+    """One id repeated many times is one document of the sample."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = make_docs([f"der hund {i} " + "x" * (i % 7) for i in range(3000)] + ["die katze im haus " * 40] * 500 + ["the dog"] * 3, ids=ids[:1] * 3000 + ids[1:2] * 500 + ids[2:5], langs=["de"] * 3500 + ["en"] * 3)
+    samples = langid.learn(docs)
+    assert set(samples) == {"de", "en"} and all(len(t) <= langid.DOCUMENTS for t in samples.values())
+
+
+@pytest.mark.parametrize("name", ["documents"])
+def test_language_against_plain_parsing(spark, name):
+    """Predictions on a whole table, by substring search instead of automata."""
+    import math
+
+    docs = table(spark, SMALL, name).filter("length(text) < 3000")
+    samples = langid.learn(docs)
+    parser = langid.Parser(tuple((n, tuple(samples[n])) for n in sorted(samples)))
+    back = lambda symbols: "".join(chr(0x100 + s) for s in symbols.tolist())
+    references = {}
+    for n in sorted(samples):
+        whole = np.concatenate([parser.symbols(t) for t in samples[n]])[: langid.REFERENCE]
+        references[n] = (back(whole), math.log2(len(whole)))
+    got = {r.doc_id: r for r in langid.digest(docs).collect()}
+    for r in docs.collect():
+        text = back(parser.symbols(r.text)) if r.text else ""
+        if got[r.doc_id].lang_pred == "und":
+            continue
+        cost = {n: greedy_phrases(ref, text) * bits for n, (ref, bits) in references.items()}
+        assert cost[got[r.doc_id].lang_pred] == min(cost.values())
+
+
 def test_scripts_of_many_letters():
     """Languages that differ in letters beyond the frequent ones only; phrases as in the plain greedy parsing."""
     import random
