@@ -237,14 +237,68 @@ def test_template_text_may_miss_on_any_page(spark, without):
     assert [found[i] for i in range(8)] == [" ".join([f"own{i}"] * 30) for i in range(8)]
 
 
-def test_html_against_plain_parser(spark):
+def article(source):
     from html import unescape
 
-    def article(source):
-        inner = source[source.index("<article>") + 9 : source.index("</article>")]
-        blocks = [" ".join(unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:h1|p)>", inner)]
-        return "\n\n".join(b for b in blocks if b)
+    inner = source[source.index("<article>") + 9 : source.index("</article>")]
+    blocks = [" ".join(unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:h1|p)>", inner)]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_induction_decides_without_names(spark):
+    """Pages whose boxes are all plain div, with text that varies everywhere: the hosts' pages tell which box it is."""
+    from pyspark.sql import functions as F
+
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    plain = F.regexp_replace(F.regexp_replace("html", "<(/?)(?:article|nav|footer)>", "<$1div>"), '<div class="ad">', "<div>")
+    wanted = {r.page_id: article(r.html) for r in pages.collect()}
+    wrong = {}
+    for induced in (True, False):
+        got = html_extract.extract_pages(pages.withColumn("html", plain), induced=induced).collect()
+        wrong[induced] = sum(r.text != wanted[r.page_id] for r in got)
+    assert wrong[False] > 50 and wrong[True] == 0, wrong
+
 
+def test_wrapper_of_a_host(spark):
+    """The slot that most pages propose wins where a page's own notice is longer; menus are told by their links."""
+    rows = []
+    for i in range(20):
+        story = " ".join(f"s{i}x{j}" for j in range(4 if i % 5 == 0 else 60))
+        side = " ".join(f"n{i}x{j}" for j in range(30))
+        menu = "".join(f"<li><a href=/{i}/{j}>link {i} {j}</a></li>" for j in range(9))
+        rows.append((i, f"http://w.example/{i}", page(f"<div><ul>{menu}</ul></div><div>{side}</div><div><h2>Head {i}</h2><p>{story}</p><ul>{menu}</ul></div>")))
+    found = _induced(spark, rows)
+    for i in range(20):
+        assert found[i] == f"Head {i}\n\n" + " ".join(f"s{i}x{j}" for j in range(4 if i % 5 == 0 else 60))
+
+
+def test_hosts_in_salted_parts(spark):
+    """Past the bound of broadcasts a host is dealt over parts, with the same rows."""
+    pages = table(spark, SMALL, "pages")
+    one = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert {r.page_id: r.text for r in html_extract.extract_pages(pages, 0).collect()} == one
+
+
+def test_matched_nodes_share_a_slot():
+    """Simple tree matching never pairs what slots keep apart."""
+    import random
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        return (rng.choice("abc"), tuple(tree(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ())
+
+    def paths(t, top=""):
+        own = f"{top}/{t[0]}"
+        return [own] + [p for c in t[1] for p in paths(c, own)]
+
+    for _ in range(200):
+        a, b = ("#", tree(3)[1]), ("#", tree(3)[1])
+        left, right = paths(a), paths(b)
+        assert all(left[i] == right[j] for i, j in html_extract.tree_match(a, b))
+
+
+def test_html_against_plain_parser(spark):
     pages = table(spark, SMALL, "pages")
     wanted = {r.page_id: article(r.html) for r in pages.collect()}
     got = html_extract.digest(pages).collect()
