@@ -40,13 +40,22 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only a session that names none (tests) gets one of its own."""
+    """The cluster's ``spark.checkpoint.dir``; a session of one machine that names none gets a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexloom-"))
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def rows_batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     """Rows as one Arrow batch of the named types."""
     columns = zip(*rows, strict=True) if rows else [()] * len(kinds)

@@ -4,7 +4,8 @@ Decoders read binary PBM, PGM and PPM (P4, P5, P6), their plain forms (P1, P2, P
 and 32 bits. Resizing averages exact areas from an integral image, so a fractional pixel border counts in part.
 
 :func:`store_texts` keeps a text losslessly as pixels: its UTF-8 bytes, padded with 255 to a positive multiple of
-576, are rows of 192 RGB samples, in a PPM when the number of rows is odd and in a 24-bit BMP when it is even.
+576, are rows of 192 RGB samples, in a PPM when the number of rows is odd and in a 24-bit BMP when it is even. The
+images are written as a table in shared storage; features and tiles come from what is read back.
 
 Defined results: a null text counts as empty (one row of padding); media that cannot be decoded give null features;
 repeated rows give equal results; a clashing output column is replaced; an empty table gives an empty table.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import shared_folder
+
 BLOCK = 576
 WIDTH = BLOCK // 3
 TILE = 32
@@ -198,9 +202,16 @@ def tiles(df: DataFrame, media: str = "media", side: int = TILE) -> DataFrame:
     return _mapped(df, {"width", "height", "npy", "dhash"}, {"width": "int", "height": "int", "npy": "binary", "dhash": "string"}, make)
 
 
-def read_payloads(df: DataFrame, media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
-    """From stored texts: digests of the payload and of the stored form, and the features, without the media."""
-    new = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+def at_rest(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in shared storage, read back."""
+    out = f"{shared_folder(df.sparkSession)}/media-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def read_payloads(df: DataFrame, media: str = "media") -> DataFrame:
+    """From stored texts: digests of the payload and of the stored form, the features and the NPY tile, without the media."""
+    new = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "npy": "binary"}
 
     def make(b):
         rows = []
@@ -209,14 +220,16 @@ def read_payloads(df: DataFrame, media: str = "media", n_bytes: str = "n_bytes")
             image = decode(stored)
             payload = np.ascontiguousarray(image).tobytes()
             plane = grey(image)
-            tile = hashlib.sha256(npy_tile(plane)).hexdigest()[:16]
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{difference_hash(plane)}:{tile}"))
+            tile = npy_tile(plane)
+            feature = f"{difference_hash(plane)}:{hashlib.sha256(tile).hexdigest()[:16]}"
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, tile))
         columns = list(zip(*rows, strict=True)) or [()] * len(new)
-        return {n: pa.array(c, pa.int64() if k == "long" else pa.string()) for (n, k), c in zip(new.items(), columns, strict=True)}
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        return {n: pa.array(c, kinds[k]) for (n, k), c in zip(new.items(), columns, strict=True)}
 
     return _mapped(df, {media, *new}, new, make)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
-    return read_payloads(store_texts(docs.select("doc_id", size.alias("n_bytes"), "text")))
+    return read_payloads(at_rest(store_texts(docs.select("doc_id", size.alias("n_bytes"), "text"))))

@@ -466,6 +466,8 @@ def test_stored_texts(make_docs):
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
         stored = media.store_text(texts[r.doc_id])
+        tile = np.load(io.BytesIO(bytes(r.npy)))
+        assert tile.shape == (32, 32) and (tile == np.load(io.BytesIO(media.npy_tile(media.grey(media.decode(stored)))))).all()
         assert r.media_bytes == len(stored) and r.media_sha256 == hashlib.sha256(stored).hexdigest()
     assert media.digest(make_docs([])).count() == 0
 
