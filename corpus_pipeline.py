@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing, byte-level BPE.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; :func:`run` writes each
-stage's rows as Parquet to the shared folder and reads them back as the next stage's input. All stages but the last
-return the columns of ``documents``; the mix repeats the rows that it takes twice.
+stage's rows as Parquet to the shared folder, reads them back as the next stage's input and, once that stage is
+written, deletes them. All stages but the last return the columns of ``documents``; the mix repeats the rows that it
+takes twice.
 """
 
 from __future__ import annotations
@@ -58,8 +59,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before is not None:  # what the finished stage was made from
+            common.remove(spark, before)
+        before = out
     return docs
