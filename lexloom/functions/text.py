@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -10,9 +11,17 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import fixed
 
-#: Letters with a diacritic and their base letter, for the Latin script.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüýÿñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÑÇ"
-UNACCENTED = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
+def _accents() -> tuple[str, str]:
+    """Letters that decompose into one base character and combining marks, and those base characters."""
+    found = {}
+    for code in range(0x80, 0x10000):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all(unicodedata.category(m) == "Mn" for m in marks) and unicodedata.category(base) != "Mn":
+            found[chr(code)] = base
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, UNACCENTED = _accents()
 
 
 def rx(pattern: str) -> str:
@@ -123,7 +132,8 @@ def remove_footnote_numbers(text: Column) -> Column:
     A look-ahead for the number comes first, so that only words before numbers pay for the look-behind.
     """
     letter, words = f"[{fixed.LETTERS}]", "|".join(fixed.CITATION_WORDS)
-    cited = rf"(?<!(?i:{words})\s{{0,{fixed.FOOTNOTE_LOOKBACK - 14}}})"
+    near = "|".join(rf"{w}\s{{0,{fixed.FOOTNOTE_LOOKBACK - len(w)}}}" for w in fixed.CITATION_WORDS)
+    cited = rf"(?<!(?i:{near}))"
     run = lambda ahead: rf"(?<!{letter})(?={letter}{{2,}}+{ahead}){cited}(?!(?i:{words})(?!{letter}))({letter}{{2,}}+)"
     text = F.regexp_replace(text, rx(rf"{run('\\d')}\d{{1,2}}\b(?!\d)"), "$1")
     text = F.regexp_replace(text, rx(rf"{run('\\s+\\d')}\s+(?:[0-4]?\d|5[0-5])(?=\s|[.,;:!?\)\]\"']|$)"), "$1")

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,37 +106,63 @@ def with_retries(call: Callable, tries: int = 3, base: float = 2.0, sleep: Calla
             sleep(base * 2**n)
 
 
-def generate(df: DataFrame, prompt: str, output: str, provider: Provider | None = None, calls_per_minute: int | None = None, batch: int = 32) -> DataFrame:
+def lanes(calls_per_minute: int, at_once: int) -> int:
+    """Into how many lanes a rate is split: as many as may run at once, each with the same whole number of calls."""
+    return max(n for n in range(1, max(1, min(calls_per_minute, at_once)) + 1) if calls_per_minute % n == 0)
+
+
+def generate(
+    df: DataFrame, prompt: str, output: str, provider: Provider | None = None, calls_per_minute: int | None = None, batch: int = 32, tries: int = 1, backoff: float = 2.0
+) -> DataFrame:
     """Adds ``output`` (null on failure) and ``<output>_error``.
 
-    The rate holds for the whole job: the tasks that may run at once share it, so each gets its part.
+    Prompts go in batches; where a batch fails, its prompts go one by one, each up to ``tries`` times. A rate holds for
+    the whole job: rows are dealt over a few partitions, each a lane that makes one call at a time in its own time slot,
+    so no minute sees more calls than stated however many tasks there are. A task that runs again calls again.
     """
     service = provider or OfflineProvider()
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
-    at_once = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    split = lanes(calls_per_minute, df.sparkSession.sparkContext.defaultParallelism) if calls_per_minute else 1
+    period = 60.0 * split / calls_per_minute if calls_per_minute else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limiter = RateLimiter(calls=1, period=60.0 * at_once / calls_per_minute) if calls_per_minute else None
+        limiter = None
+        if calls_per_minute:
+            limiter = RateLimiter(calls=1, period=period)
+            time.sleep(period * (TaskContext.get().partitionId() % split) / split)
+
+        def one(text: str) -> str:
+            if limiter:
+                limiter.wait()
+            return service.generate([text])[0]
+
+        def told(texts: list[str]) -> list[tuple[str | None, str | None]]:
+            if not limiter and len(texts) > 1:
+                try:
+                    return [(reply, None) for reply in service.generate(texts)]
+                except Exception:  # one of them: find out which
+                    pass
+            out: list[tuple[str | None, str | None]] = []
+            for text in texts:
+                try:
+                    out.append((with_retries(lambda text=text: one(text), tries, backoff), None))
+                except Exception as e:  # a failed call marks its row
+                    out.append((None, f"{type(e).__name__}: {e}"[:500]))
+            return out
+
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                replies, errors = [], []
-                for text in part.column(prompt).to_pylist():
-                    if limiter:
-                        limiter.wait()
-                    try:
-                        replies.append(service.generate([text or ""])[0])
-                        errors.append(None)
-                    except Exception as e:  # a failed call marks its row
-                        replies.append(None)
-                        errors.append(f"{type(e).__name__}: {e}"[:500])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], [*part.schema.names, output, f"{output}_error"])
-
-    return df.mapInArrow(run, ", ".join([*fields, f"`{output}` string", f"`{output}_error` string"]))
-
-
-def embed(df: DataFrame, text: str, output: str = "embedding", provider: Provider | None = None, batch: int = 64) -> DataFrame:
-    """Adds the embedding of ``text`` as an array of floats."""
+                rows = told([text or "" for text in part.column(prompt).to_pylist()])
+                made = [pa.array([r[k] for r in rows], pa.string()) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, output, f"{output}_error"])
+
+    dealt = df.repartition(split) if calls_per_minute else df
+    return dealt.mapInArrow(run, ", ".join([*fields, f"`{output}` string", f"`{output}_error` string"]))
+
+
+def embed(df: DataFrame, text: str, output: str = "embedding", provider: Provider | None = None, batch: int = 64, tries: int = 3, backoff: float = 2.0) -> DataFrame:
+    """Adds the embedding of ``text`` as an array of floats; a batch that fails is tried again, with growing waits."""
     service = provider or OfflineProvider()
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != output]
 
@@ -143,7 +170,8 @@ def embed(df: DataFrame, text: str, output: str = "embedding", provider: Provide
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                made = service.embed([t or "" for t in part.column(text).to_pylist()])
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                made = with_retries(lambda texts=texts: service.embed(texts), tries, backoff)
                 kept = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n != output]
                 yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(made, pa.list_(pa.float32()))], [*(n for n, _ in kept), output])
 
@@ -161,11 +189,11 @@ def json_text(reply: Column) -> Column:
 CHUNK_FACTS = "struct<summary:string,keywords:array<string>,entities:array<struct<type:string,text:string>>>"
 
 
-def enrich_chunks(chunks: DataFrame, provider: Provider | None = None, calls_per_minute: int | None = None, text: str = "page_content") -> DataFrame:
+def enrich_chunks(chunks: DataFrame, provider: Provider | None = None, calls_per_minute: int | None = None, text: str = "page_content", tries: int = 1) -> DataFrame:
     """Adds ``summary, keywords, entities``; null where the call or its reply fails."""
     meta = F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("source", "title", "section_name", "section_heading") if c in chunks.columns))
     asked = chunks.withColumn("__prompt", F.concat_ws("\n\n", meta, F.col(text)))
-    told = generate(asked, "__prompt", "__reply", provider, calls_per_minute)
+    told = generate(asked, "__prompt", "__reply", provider, calls_per_minute, tries=tries)
     facts = F.from_json(json_text(F.col("__reply")), CHUNK_FACTS)
     return told.withColumn("__f", facts).select(*chunks.columns, "__f.summary", "__f.keywords", "__f.entities", F.col("__reply_error").alias("enrich_error"))
 

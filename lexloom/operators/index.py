@@ -12,6 +12,10 @@ from lexloom.functions import fixed
 from lexloom.functions.text import base_name, embedding_text, rx, strip
 
 
+#: Distinct query tokens up to which they are broadcast.
+MANY_TOKENS = 100_000
+
+
 def tokens(text):
     """White-space tokens as they are, not lower-cased."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), rx(r"\s+"), -1), lambda t: t != "")
@@ -34,10 +38,14 @@ class Bm25Index:
 
     def hits(self, asked: DataFrame) -> DataFrame:
         """``asked(query_id, token, w)`` with the postings of its tokens."""
+        wanted = asked.select("token").distinct()
         if self.occurrences is None:
             return self.postings.join(asked, "token")
-        found = self.occurrences.join(asked, "token").groupBy("query_id", "doc_id", "token", "w", "dl")
-        return found.agg(F.count("*").alias("tf"))
+        # Tokens of a checked number go to the occurrences, so that only theirs are counted and shuffled, once.
+        few = wanted.limit(MANY_TOKENS + 1).count() <= MANY_TOKENS
+        near = self.occurrences.join(F.broadcast(wanted) if few else wanted, "token", "left_semi")
+        counted = near.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
+        return counted.join(asked, "token")
 
     def write(self, path: str, buckets: int = 256) -> None:
         """The four tables under ``path``; postings in folders by a hash of the token."""

@@ -270,21 +270,22 @@ def chunk_coverage(spark, sf_dir):
 
 # --- Images: the features come from line items, a document being an order.
 
-_FEATURES = """SELECT l_orderkey AS doc_id, (CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 1000000 + l_suppkey AS pos, CAST(l_quantity * 16 AS INTEGER) AS width, CAST((l_suppkey * 37) % 700 AS INTEGER) AS height,
-    CAST(l_partkey % 7 AS VARCHAR) AS md5, l_extendedprice / 100 AS variance, l_returnflag = 'A' AS has_context FROM lineitem"""
+_FEATURES = (
+    "l_orderkey AS doc_id", "(CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 1000000 + l_suppkey AS pos", "CAST(l_quantity * 16 AS INTEGER) AS width",
+    "CAST((l_suppkey * 37) % 700 AS INTEGER) AS height", "CAST(l_partkey % 7 AS VARCHAR(20)) AS md5", "l_extendedprice / 100 AS variance", "l_returnflag = 'A' AS has_context",
+)
 
 
 @query(
     "image_filter",
-    f"""WITH f AS (SELECT *, width < 350 AND height < 350 AS small, width::BIGINT * height AS area FROM ({_FEATURES})),
+    f"""WITH f AS (SELECT *, width < 350 AND height < 350 AS small, width::BIGINT * height AS area FROM (SELECT {', '.join(_FEATURES)} FROM lineitem)),
     n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, md5, small ORDER BY pos) AS nth FROM f),
     r AS (SELECT *, CASE WHEN small THEN 'too_small' WHEN nth > 1 THEN 'duplicate_hash' WHEN variance < 100 THEN 'low_variance' WHEN NOT has_context AND area < 250000 THEN 'no_semantic_context' END AS reason FROM n),
     l AS (SELECT *, bool_and(reason IS NOT NULL) OVER (PARTITION BY doc_id) AS lost, row_number() OVER (PARTITION BY doc_id ORDER BY area DESC, pos) AS place FROM r)
     SELECT doc_id, pos, CASE WHEN NOT (lost AND area >= 160000 AND place <= 2) THEN reason END AS remove_reason FROM l""",
 )
 def image_filter(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lexloom_lineitem")
-    features = spark.sql(_FEATURES.replace("VARCHAR", "STRING").replace("FROM lineitem", "FROM lexloom_lineitem"))
+    features = table(spark, sf_dir, "lineitem").selectExpr(*_FEATURES)
     return images.filter_images(features).select("doc_id", "pos", "remove_reason")
 
 
@@ -294,14 +295,24 @@ def image_refs(spark, sf_dir):
     return docs.select("doc_id", "pos", F.col("r.ref").alias("ref"))
 
 
+#: Composed and decomposed forms of one name.
+_NFC, _NFD = "plano ni\u00f1o.png", "plano nin\u0303o.png"
+
+
 @query(
     "image_files",
-    f"""SELECT doc_id, unnest(range(len(ts)))::INTEGER AS pos, '/store/PLANO UNO.png' AS file FROM (SELECT doc_id, regexp_extract_all(text, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1) AS ts FROM ({documents_sql()}))""",
+    f"""WITH r AS (SELECT doc_id, unnest(range(len(ts)))::INTEGER AS pos FROM (SELECT doc_id, regexp_extract_all(text, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1) AS ts FROM ({documents_sql()})))
+    SELECT doc_id, pos, CASE doc_id % 6 WHEN 0 THEN '/data/img/plano uno.png' WHEN 2 THEN '/data/img/{_NFD}' WHEN 3 THEN '/data/img/b/{_NFC}' WHEN 4 THEN '/data/other/plano uno.png' END AS file FROM r""",
 )
 def image_files(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", F.posexplode(images.image_refs(F.regexp_replace("text", "plano uno", "plano%20uno"))).alias("pos", "r"))
-    stored = spark.createDataFrame([("/store/PLANO UNO.png",), ("/store/otro.png",)], "path string")
-    return images.locate(docs.select("doc_id", "pos", F.col("r.ref").alias("ref")), stored).select("doc_id", "pos", "file")
+    """The file of each reference: found as written, not in another case, in the other composition, in the own folder only."""
+    text = F.when(F.col("doc_id") % 6 == 1, F.replace("text", F.lit("plano uno"), F.lit("PLANO%20UNO"))).when(F.col("doc_id") % 6 == 2, F.replace("text", F.lit("plano uno.png"), F.lit(_NFC)))
+    text = text.when(F.col("doc_id") % 6 == 3, F.replace("text", F.lit("/data/img/plano uno.png"), F.lit(_NFD))).when(F.col("doc_id") % 6 >= 4, F.replace("text", F.lit("/data/img/plano uno"), F.lit("../other/plano%20uno")))
+    folder = F.when(F.col("doc_id") % 6 == 3, "/data/img/b").when(F.col("doc_id") % 6 == 5, "/data/img/b").otherwise("/data/img")
+    docs = documents(spark, sf_dir)
+    refs = docs.select("doc_id", folder.alias("folder"), F.posexplode(images.image_refs(F.coalesce(text, F.col("text")))).alias("pos", "r")).select("doc_id", "folder", "pos", F.col("r.ref").alias("ref"))
+    stored = ["/data/img/plano uno.png", f"/data/img/{_NFD}", f"/data/img/b/{_NFC}", "/data/other/plano uno.png", "/data/img/plano dos.png"]
+    return images.locate(refs, spark.createDataFrame([(x,) for x in stored], "path string")).select("doc_id", "pos", "file")
 
 
 _PARTS = "SELECT doc_id, (doc_id % 101)::DOUBLE AS p, (doc_id % 97)::DOUBLE AS f, (doc_id % 89)::DOUBLE AS o, (doc_id % 83)::DOUBLE AS c, (doc_id % 79)::DOUBLE AS s, (doc_id % 73)::DOUBLE AS e FROM documents"

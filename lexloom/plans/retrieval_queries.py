@@ -36,7 +36,11 @@ K = 10
 
 def shared_folder(spark: SparkSession) -> str:
     """Where driver and executors both write: the checkpoint folder that the cluster names, or one for tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lexloom-")
     return f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
 
 
@@ -82,7 +86,13 @@ _FUSED = """fu AS (SELECT query_id, doc_id, round(sum(part), 12) AS score, min(s
     rk AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, doc_id) AS rank FROM fu)"""
 
 
-@query("bm25_stats", f"WITH {_BM25} SELECT token, df, round(idf, 6) AS idf FROM tm")
+@query(
+    "bm25_stats",
+    f"""WITH t AS (SELECT {_TOKENS.format('text')} AS ts FROM documents), st AS (SELECT count(*) AS n FROM t),
+    df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS token FROM t) GROUP BY token),
+    rw AS (SELECT token, df, round(ln(n - df + 0.5) - ln(df + 0.5), 9) AS raw FROM df, st), mn AS (SELECT round(avg(raw), 9) AS mean FROM rw)
+    SELECT token, df, round(CASE WHEN raw < 0 THEN round(0.25 * mean, 9) ELSE raw END, 6) AS idf FROM rw, mn""",
+)
 def bm25_stats(spark, sf_dir):
     return bm25(spark, sf_dir).terms.select("token", "df", F.round("idf", 6).alias("idf"))
 

@@ -7,13 +7,14 @@ import os
 import shutil
 import subprocess
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import answer as A, enrich as E, evaluate as V, index as I, retrieve as R
+from lexloom.operators import answer as A, enrich as E, evaluate as V, images, index as I, retrieve as R
 from lexloom.sources import files
 from lexloom.streaming import ingest
 
@@ -163,6 +164,77 @@ def test_rate_limiter_and_retries():
         E.with_retries(lambda: int("x"), tries=2, sleep=slept.append)
 
 
+def test_rate_of_a_whole_job(spark):
+    """One-row tasks share the rate: whatever the number of partitions, calls keep their distance."""
+
+    class Clock(E.OfflineProvider):
+        def generate(self, prompts):
+            return [str(time.time()) for _ in prompts]
+
+    assert [E.lanes(9, 8), E.lanes(60, 4), E.lanes(7, 4), E.lanes(1, 8)] == [3, 4, 1, 1]
+    df = spark.range(24).selectExpr("cast(id as string) as p").repartition(24)
+    at = sorted(float(r.r) for r in E.generate(df, "p", "r", Clock(), calls_per_minute=240).collect())
+    assert len(at) == 24
+    assert all(b - a >= 0.95 for a, b in zip(at, at[4:], strict=False))  # four lanes of one call a second
+
+
+def test_retries_and_batches(spark, tmp_path):
+    class Flaky(E.OfflineProvider):
+        def generate(self, prompts):
+            mark = tmp_path / str(hash(tuple(prompts)))
+            if len(prompts) > 1 or not mark.exists():
+                mark.touch()
+                raise OSError("again")
+            return super().generate(prompts)
+
+    df = spark.createDataFrame([(f"prompt {i}",) for i in range(6)], "p string").coalesce(1)
+    assert [r.r_error for r in E.generate(df, "p", "r", Flaky(), tries=1).collect()] == ["OSError: again"] * 6
+    assert [r.r_error for r in E.generate(df, "p", "r", Flaky(), tries=2, backoff=0.0).collect()] == [None] * 6
+
+
+def test_image_paths(spark):
+    composed, decomposed = "ni\u00f1o.png", "nin\u0303o.png"
+    stored = ["/d/img/A\u00f1o.png", "/d/img/ano.png", "/d/b/fig.png", "/d/a/fig.png", f"/d/{decomposed}", f"/e/{composed}"]
+    asked = [("/d", "img/ano.png", "/d/img/ano.png"), ("/d", "img/ANO.png", None), ("/d/a", "fig.png", "/d/a/fig.png"), ("/d/c", "fig.png", None), ("/d/c", "../b/./fig.png", "/d/b/fig.png")]
+    asked += [("/d", composed, f"/d/{decomposed}"), ("/e", decomposed, f"/e/{composed}"), ("/e", "<ni%C3%B1o.png>", f"/e/{composed}"), (None, "/d/b/fig.png", "/d/b/fig.png"), ("/d", None, None)]
+    refs = spark.createDataFrame([(i, folder, ref, "x") for i, (folder, ref, _) in enumerate(asked)], "i int, folder string, ref string, c0 string")
+    files_ = spark.createDataFrame([(x,) for x in stored * 2], "path string")
+    got = {r.i: r.file for r in images.locate(refs, files_).collect()}
+    assert got == {i: wanted for i, (_, _, wanted) in enumerate(asked)}
+
+
+def test_image_features(spark):
+    import hashlib
+    import statistics
+    import struct
+    import zlib
+
+    def png(kind, rows, filters):
+        """Filters as the format states them, byte by byte."""
+        depth = {0: 1, 2: 3, 6: 4}[kind]
+        body, above = b"", [0] * len(rows[0])
+        for row, f in zip(rows, filters, strict=True):
+            line = []
+            for x, v in enumerate(row):
+                a, b, c = (row[x - depth] if x >= depth else 0), above[x], (above[x - depth] if x >= depth else 0)
+                p = a + b - c
+                near = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+                line.append((v - (0, a, b, (a + b) // 2, near)[f]) % 256)
+            body += bytes([f, *line])
+            above = row
+        chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+        head = struct.pack(">IIBBBBB", len(rows[0]) // depth, len(rows), 8, kind, 0, 0, 0)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+    rows = {kind: [[(7 * x * x + 31 * y * x + kind) % 256 for x in range(6 * depth)] for y in range(5)] for kind, depth in ((0, 1), (2, 3), (6, 4))}
+    data = [(f"p{k}", bytearray(png(k, r, [0, 1, 2, 3, 4]))) for k, r in rows.items()] + [("bad", bytearray(b"no")), ("null", None)]
+    got = {r.path: r for r in images.image_features(spark.createDataFrame(data, "path string, content binary")).collect()}
+    for k, r in rows.items():
+        assert got[f"p{k}"].md5 == hashlib.md5(bytes(v for row in r for v in row)).hexdigest() and (got[f"p{k}"].width, got[f"p{k}"].height) == (6, 5)
+    assert got["p0"].variance == pytest.approx(statistics.variance([v for row in rows[0] for v in row]))
+    assert got["bad"].md5 is None and got["null"].width is None
+
+
 def test_provider_choice():
     assert E.choose_provider([("a", lambda: None), ("b", E.OfflineProvider)]).name == "offline"
     with pytest.raises(LookupError):

@@ -74,51 +74,55 @@ def texts(separator: str, pieces: list[str], n: int = 400, longest: int = 14) ->
     return [separator.join(draw.choice(pieces) for _ in range(draw.randint(0, longest))) for _ in range(n)]
 
 
-def greedy(parts, should):
-    """Left to right; a merged pair is not looked at again."""
-    out, i = [], 0
-    while i < len(parts):
-        if i + 1 < len(parts) and should(parts[i], parts[i + 1]):
-            out.append(parts[i].strip() + " " + parts[i + 1].strip())
-            i += 2
-        else:
-            out.append(parts[i])
-            i += 1
-    return out
-
-
-def test_layout_merging_is_greedy(apply):
-    def should(a, b):
-        a, b = a.strip(), b.strip()
-        special = lambda x: re.match(fixed.ENUMERATION, x) or re.match(fixed.DECISION_START, x)
-        return bool(a and b and a[0] not in "#-*•" and not special(a) and not special(b) and a[-1] not in ".;:!?\"')" and b[0].islower())
-
-    cases = texts("\n", ["abc", "Def.", "", "ghi jkl ", "# h", "a) x", "resuelve", "- li", "Mayor,", "ñu"])
-    wanted = ["\n".join(greedy(c.splitlines(), should)) for c in cases]
-    assert apply(C.repair_layout_breaks, cases) == wanted
-
-
-def test_paragraph_merging_is_greedy_thrice(apply):
-    barred = (lambda a, b: "#" in (a[0], b[0]), lambda a, b: re.match(rf"- \?|[*\-]\s+[{fixed.UPPER_LETTERS}]|\d[.)]", b), lambda a, b: re.search(r"[.;:?!]['’”\"]\s*$", a[-3:]))
-    open_end = lambda a: a[-1] not in ".;:?!\"')»"
-    joins = (
-        lambda a, b: b[0].islower() and (open_end(a) or a[-1] == ","),
-        lambda a, b: open_end(a) and re.match(rf"-\s+[{fixed.LOWER_LETTERS}]", b),
-        lambda a, b: re.search(fixed.DANGLING_TAIL, a),
-    )
-
-    def should(a, b):
-        a, b = a.strip(), b.strip()
-        return any(j(a, b) for j in joins) and not any(x(a, b) for x in barred)
-
-    cases = texts("\n\n", ["abc", "Def.", "", "El caso de la", "sigue, ", "# h", "2. x", "- otro", "- Otro", 'dijo."', "podrá", "  ñu  "])
-    wanted = []
-    for c in cases:
-        parts = [p for p in c.split("\n\n") if p.strip()]
-        for _ in range(3):
-            parts = greedy(parts, should)
-        wanted.append("\n\n".join(parts))
-    assert apply(C.reconstruct_paragraphs, cases) == wanted
+#: Two lines that follow each other, and whether they are one sentence broken by the layout.
+LINE_PAIRS = [
+    ("El hecho", "sigue aquí", True), ("El hecho", "ñandú", True), ("jkl ", "  mno", True), ("El hecho", "Sigue aquí", False), ("El hecho", "7 días", False),
+    ("El hecho.", "sigue", False), ("a saber:", "sigue", False), ("uno;", "sigue", False), ("¿cómo?", "sigue", False), ("¡ya!", "sigue", False), ('dijo "sí"', "sigue", False),
+    ("(nota)", "sigue", False), ("Mayor,", "sigue", True), ("# Título", "sigue", False), ("- punto", "sigue", False), ("* punto", "sigue", False), ("• punto", "sigue", False),
+    ("a) primero", "sigue", False), ("El hecho", "b) segundo", False), ("resuelve", "confirmar", False), ("El hecho", "resuelve confirmar", False), ("", "sigue", False),
+]
+#: The same of paragraphs.
+PARAGRAPH_PAIRS = [
+    ("El juez", "decidió así", True), ("El juez", "Decidió así", False), ("El juez.", "decidió", False), ("lo dicho,", "decidió", True), ("lo dicho,", "Decidió", False),
+    ("en síntesis:", "decidió", False), ("«cita»", "decidió", False), ("(nota)", "decidió", False), ("El caso de la", "Corte Suprema", True), ("lo que", "Pide", True),
+    ("El juez", "- otro punto", True), ("El juez", "- Otro punto", False), ("El juez.", "- otro punto", False), ("El juez", "2. segundo", False), ("El juez", "2) segundo", False),
+    ("# Título", "sigue", False), ("El juez", "# Título", False), ('dijo."', "sigue", False), ("dijo.'", "sigue", False), ("El caso de la", "- ?", False), ("  El juez  ", "  ñoño ", True),
+]
+
+
+def test_which_lines_are_joined(apply):
+    got = apply(C.repair_layout_breaks, [f"{a}\n{b}" for a, b, _ in LINE_PAIRS])
+    assert got == [f"{a.strip()} {b.strip()}" if joined else f"{a}\n{b}" for a, b, joined in LINE_PAIRS]
+
+
+def test_which_paragraphs_are_joined(apply):
+    got = apply(lambda t: C.reconstruct_paragraphs(t, 1), [f"{a}\n\n{b}" for a, b, _ in PARAGRAPH_PAIRS])
+    assert got == [f"{a.strip()} {b.strip()}" if joined else f"{a}\n\n{b}" for a, b, joined in PARAGRAPH_PAIRS]
+
+
+def pairs_taken(flags: list[bool]) -> list[int]:
+    """Greedy from the left: the first of each pair, given for every two neighbours whether they may join."""
+    taken = []
+    for i, may in enumerate(flags):
+        if may and (not taken or taken[-1] < i - 1):
+            taken.append(i)
+    return taken
+
+
+def test_merging_is_greedy(apply):
+    """A word in lower case may join what stands before it, so a text's flags are those of its words' cases."""
+    draw = random.Random(5)
+    cases = [[draw.random() < 0.6 for _ in range(draw.randint(1, 14))] for _ in range(300)]
+    words = [["Inicio", *(f"w{i}" if low else f"W{i}" for i, low in enumerate(flags))] for flags in cases]
+    for expr, gap, passes in ((C.repair_layout_breaks, "\n", 1), (C.reconstruct_paragraphs, "\n\n", 3)):
+        wanted = []
+        for parts in words:
+            parts = list(parts)
+            for _ in range(passes):
+                for i in reversed(pairs_taken([p[0].islower() for p in parts[1:]])):
+                    parts[i : i + 2] = [f"{parts[i]} {parts[i + 1]}"]
+            wanted.append(gap.join(parts))
+        assert apply(expr, [gap.join(parts) for parts in words]) == wanted
 
 
 def test_citation_blocks(apply):
