@@ -9,7 +9,8 @@ Any ``agree`` finds the same links; a larger one makes more and emptier cells, a
 number of points, so that a point meets a bounded number of chance neighbours.
 
 Distinct fingerprints are the nodes, so copies cost nothing. A cell yields a spanning forest of its links, never
-all pairs; cells above ``cell_rows`` points are cut into chunks whose pairs are visited by separate tasks.
+all pairs. In cells above ``cell_rows`` points every point first links to the pivots near it; what this joins is then
+compared only with what it leaves out, in chunks that separate tasks visit (see :func:`_by_pivots`).
 
 Defined results: null and empty texts and texts without words have fingerprint zero and link like any other;
 null doc_ids are kept and count only when a whole component has no other; repeated rows share fingerprint and
@@ -34,7 +35,7 @@ SHINGLE = 4
 LIMIT = 4
 SEED = 42
 CELL_ROWS = 4096
-SALTS = 16
+SALTS, PIVOTS = 16, 64
 
 _LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -236,18 +237,41 @@ def links(prints: DataFrame, limit: int = LIMIT, cell_rows: int = CELL_ROWS, agr
     cells = F.array(*(F.struct(F.lit(k).alias("k"), F.col("p").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)))
     placed = point.select("fp", F.explode(cells).alias("c")).select("c.k", "c.cell", "fp")
     large = durable(placed.groupBy("k", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows))
+    search = lambda rows: rows.repartition("k", "cell", "a", "b").sortWithinPartitions("k", "cell", "a", "b").mapInArrow(_link_batches(limit), "u long, v long")
+    alone = [F.lit(0).alias("a"), F.lit(0).alias("b"), "fp"]
     if large.isEmpty():
-        dealt = placed.select("k", "cell", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
-    else:
-        # Every two chunks of a large cell meet in one task, so no link inside the cell is lost.
-        parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) * 2 / cell_rows).cast("int")
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        sized = placed.join(large, ["k", "cell"], "left").withColumn("parts", parts).withColumn("own", own)
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        pairs = sized.select("k", "cell", "fp", "own", other.alias("other"))
-        dealt = pairs.select("k", "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-    dealt = dealt.repartition("k", "cell", "a", "b").sortWithinPartitions("k", "cell", "a", "b")
-    return dealt.mapInArrow(_link_batches(limit), "u long, v long")
+        return search(placed.select("k", "cell", *alone))
+    sized = placed.join(large, ["k", "cell"], "left")
+    spokes, rest = _by_pivots(sized.filter("n is not null"), limit, cell_rows)
+    return search(sized.filter("n is null").select("k", "cell", *alone).unionAll(rest)).unionAll(spokes)
+
+
+def _by_pivots(members: DataFrame, limit: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of large cells ``(k, cell, fp, n)``: links to pivots, and rows whose chunks are still to be searched.
+
+    About ``PIVOTS`` prints of a cell are pivots, and every print links to those near it. Prints that this joins need
+    no comparing: of each cell the largest class found so far is compared only with what is outside it, in chunks that
+    meet chunk by chunk, so no link between classes is lost and a dense cell costs about as much as it has rows.
+    """
+    members = durable(members)
+    every = F.ceil(F.col("n") / PIVOTS)
+    pivots = members.filter(F.pmod(F.xxhash64("fp", "k"), every) == 0).groupBy("k", "cell").agg(F.sort_array(F.collect_list("fp")).alias("pivots"))
+    near = F.filter("pivots", lambda p: F.bit_count(F.col("fp").bitwiseXOR(p)) <= limit)
+    spread = members.join(pivots, ["k", "cell"]).select("fp", near.alias("near")).filter(F.size("near") > 0)
+    first = F.get("near", F.lit(0))
+    joined = spread.filter(F.size("near") > 1).select(first.alias("u"), F.explode(F.slice("near", F.lit(2), F.size("near"))).alias("v")).distinct()
+    spokes = durable(spread.select(F.col("fp").alias("u"), first.alias("v")).filter("u <> v").distinct().unionAll(joined))
+    roots = durable(connected_components(spokes))
+    classed = members.join(roots, F.col("fp") == F.col("node"), "left").select("k", "cell", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    largest = classed.groupBy("k", "cell", "n", "root").agg(F.count("*").alias("m")).groupBy("k", "cell", "n").agg(F.max(F.struct("m", "root")).alias("top"))
+    half = cell_rows / 2
+    largest = largest.select("k", "cell", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.m")) / half).cast("int").alias("outside"), F.ceil(F.col("top.m") / half).cast("int").alias("inside"))
+    told = classed.join(largest.filter("outside > 0"), ["k", "cell"])
+    is_top, h = F.col("root") == F.col("top"), F.xxhash64("fp", "cell")
+    own = F.when(is_top, F.col("outside") + F.pmod(h, F.col("inside"))).otherwise(F.pmod(h, F.col("outside"))).cast("int")
+    last = F.when(is_top, F.col("outside") - 1).otherwise(F.col("outside") + F.col("inside") - 1)
+    pairs = told.select("k", "cell", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return spokes, pairs.select("k", "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT) -> DataFrame:

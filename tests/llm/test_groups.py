@@ -91,7 +91,7 @@ def near_prints(n: int, seed: int) -> list[int]:
     return sorted(out)[:n]
 
 
-@pytest.mark.parametrize(("cell_rows", "agree"), [(4096, 2), (16, 2), (4096, 3), (4096, 5)])
+@pytest.mark.parametrize(("cell_rows", "agree"), [(4096, 2), (16, 2), (200, 2), (16, 4), (4096, 3), (4096, 5)])
 def test_links_span_all_components(spark, cell_rows, agree):
     """Also where cells are cut into chunks, and on finer grids."""
     prints = near_prints(700, 9)
@@ -108,6 +108,31 @@ def test_links_span_all_components(spark, cell_rows, agree):
     assert any(len(g) > 20 for g in got.values())
 
 
+def test_one_dense_cell(spark):
+    """50,000 prints within two bits of one centre, a few chains that leave it, and loose prints."""
+    draw = random.Random(2)
+    centre = draw.getrandbits(64)
+    dense = {centre}
+    while len(dense) < 50_000:
+        x = centre
+        for b in draw.sample(range(64), 4):
+            x ^= 1 << b
+        dense.add(x)
+    chain, at = [], centre ^ 0xFF  # eight bits off the centre, then ever farther in steps of four
+    for step in range(2, 6):
+        chain.append(at)
+        at ^= 0xF << (4 * step)
+    loose = [draw.getrandbits(64) for _ in range(200)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in [*dense, *chain, *loose]]
+    df = spark.createDataFrame([(s,) for s in signed], "fp long").repartition(4)
+    stars = {r.node: r.root for r in components.connected_components(simhash.links(df)).collect()}
+    groups: dict = {}
+    for s in signed:
+        groups.setdefault(stars.get(s, s), set()).add(s)
+    sizes = sorted(map(len, groups.values()))
+    assert sizes[-1] == 50_000 + len(chain) and sizes[:-1] == [1] * 200
+
+
 def test_grid_grows_with_the_points():
     assert [simhash.grid_for(n, 4) for n in (0, 10**5, 2 * 10**6, 10**8)] == [2, 2, 3, 6]
     assert len(simhash.subspace_masks(4, 2)) == 15 and len(set(simhash.subspace_masks(4, 3))) == 35
