@@ -246,7 +246,7 @@ _CITED_WHOLE = _CITED.replace("left(text, 40)", "text")
 @query(
     "citation_link_whole",
     f"""WITH {_RANKED}, a AS (SELECT conv_id, string_agg({_CITED_WHOLE}, chr(10) ORDER BY turn) AS answer FROM conversations GROUP BY conv_id),
-    d AS (SELECT DISTINCT conv_id AS query_id, conv_id % {len(QUESTIONS)} + 1 AS question, n::INTEGER AS n FROM (SELECT conv_id, unnest(regexp_extract_all(answer, '\[doc(\d+)\]', 1)) AS n FROM a))
+    d AS (SELECT DISTINCT conv_id AS query_id, conv_id % {len(QUESTIONS)} + 1 AS question, n::INTEGER AS n FROM (SELECT conv_id, unnest(regexp_extract_all(answer, '\\[doc(\\d+)\\]', 1)) AS n FROM a))
     SELECT d.query_id, d.n, r.doc_id, r.doc_id IS NULL AS missing FROM d LEFT JOIN r ON r.query_id = d.question AND r.rank = d.n""",
 )
 def citation_link_whole(spark, sf_dir):
