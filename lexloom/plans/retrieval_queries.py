@@ -356,7 +356,12 @@ def chat_state(spark, sf_dir):
     return rows.select("conv_id", shown.alias("messages"), "n_messages")
 
 
-@query("enrich_chunks")
+@query(
+    "enrich_chunks",
+    r"""WITH p AS (SELECT doc_id, source, list_filter(string_split_regex(concat_ws(chr(10) || chr(10), 'source: ' || source, text), '\s+'), lambda x: x <> '') AS ts FROM documents)
+    SELECT doc_id, source, array_to_string(ts[1:12], ' ') AS summary, list_transform(list_sort(list_transform(list_distinct(ts), lambda w: {'n': -length(w), 'w': w}))[1:5], lambda x: x.w) AS keywords,
+    NULL::VARCHAR AS entities, NULL::VARCHAR AS enrich_error FROM p""",
+)
 def enrich_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("page_content"))
     return E.enrich_chunks(docs).drop("page_content")
