@@ -36,9 +36,9 @@ class Bm25Index:
     docs: DataFrame
     occurrences: DataFrame | None = None
 
-    def hits(self, asked: DataFrame) -> DataFrame:
-        """``asked(query_id, token, w)`` with the postings of its tokens."""
-        wanted = asked.select("token").distinct()
+    def hits(self, asked: DataFrame, wanted: DataFrame) -> DataFrame:
+        """``asked(query_id, token, w)`` with the postings of its tokens; ``wanted(token)`` holds those at least."""
+        wanted = wanted.distinct()
         if self.occurrences is None:
             return self.postings.join(asked, "token")
         # Tokens of a checked number go to the occurrences, so that only theirs are counted and shuffled, once.

@@ -27,7 +27,7 @@ def bm25_parts(queries: DataFrame, index: Bm25Index, k1: float = fixed.BM25_K1,
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     weighed = asked.join(index.terms, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("w"))
-    hits = index.hits(weighed).crossJoin(F.broadcast(index.stats))  # stats: one row
+    hits = index.hits(weighed, asked.select("token")).crossJoin(F.broadcast(index.stats))  # stats: one row
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("w") * (tf * (k1 + 1)) / (tf + k1 * (F.lit(1 - b) + F.lit(b) * dl / F.col("avgdl")))
     return hits.select("query_id", "doc_id", part.alias("part"))
