@@ -404,6 +404,25 @@ def furniture_removed(spark, sf_dir):
     return found.select("doc_id", cleanup.remove_furniture(F.col("text"), F.col("f")).alias("result"))
 
 
-@query("adaptive_cleanup")
+def cleanup_sql() -> str:
+    """The steps of :data:`lexloom.operators.cleanup.STEPS`, each oracle reading the rows of the one before it.
+
+    Steps that regroup rows lose empty texts, which the last step takes up again.
+    """
+    page, whole, broken = (documents_sql(chr(10)), documents_sql(), f"SELECT doc_id, {_SHORT_LINES} AS text FROM ({documents_sql()})")
+    steps = (
+        (rowwise(_FRONT), whole), (rowwise(_ocr_sql()), whole), (rowwise(_NOISY), whole), (ORACLES["layout_merge"], _SOFT),
+        (ORACLES["internal_ref_filter"], page), (ORACLES["citation_block_removal"], whole), (ORACLES["figure_legend_filter"], broken),
+        (_paragraphs_sql().replace(_PARTS, "text"), whole), (rowwise(_footnotes_sql()), whole), (ORACLES["repeated_blocks"], whole),
+        (ORACLES["markdown_clean"], whole),
+    )
+    ctes, before = [], whole
+    for at, (sql, source) in enumerate(steps):
+        ctes.append(f"s{at} AS MATERIALIZED ({sql.replace(source, before)})")
+        before = f"SELECT doc_id, coalesce(result, '') AS text FROM documents LEFT JOIN s{at} USING (doc_id)"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, coalesce(result, '') AS result FROM s{len(steps) - 1}"
+
+
+@query("adaptive_cleanup", cleanup_sql())
 def adaptive_cleanup(spark, sf_dir):
     return cleanup.adaptive_cleanup(documents(spark, sf_dir)).select("doc_id", F.col("clean").alias("result"))
