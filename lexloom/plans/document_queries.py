@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import fixed, text as T
 from lexloom.operators import cleanup, images, profile as P, sections as S
 from lexloom.plans.adapter import documents, documents_sql
-from lexloom.plans.text_queries import HEADING, _PARA_ROWS, _classify_sql, _reference_sql, count, full_paras, lines, paras, q, strip
+from lexloom.plans.text_queries import HEADING, _PARA_ROWS, _classify_sql, _reference_sql, cleanup_sql, count, full_paras, lines, paras, q, strip
 from lexloom.session import table
 
 QUERIES: dict = {}
@@ -214,10 +214,39 @@ def paragraph_score(spark, sf_dir):
     return docs.select("doc_id", F.round(P.paragraph_score(F.col("text"), F.col("clean")), 6).alias("result"))
 
 
-@query("quality_report")
+def quality_sql() -> str:
+    """The scores of the parts over originals and cleaned texts; documents without paragraphs or entities score as if they had none."""
+    own, clean = documents_sql(), "SELECT doc_id, result AS text FROM cl"
+    on_clean = lambda sql, source=own: sql.replace(source, clean)
+    varied = f"SELECT doc_id, regexp_replace(text, '(?m)^2\\. ', '2   ', 'g') AS text FROM ({documents_sql(chr(10))})"
+    broken = f"SELECT doc_id, replace(text, '.' || chr(10) || chr(10), '. ') AS text FROM ({own})"
+    headings = ORACLES["heading_consistency"].replace(_VARIED, "text").replace(documents_sql(chr(10)), own)
+    terms = f"{count('text', TERMS)} / greatest(1.0, {WORDS} / 100.0)"
+    return f"""WITH cl AS MATERIALIZED ({cleanup_sql()}), o AS (SELECT doc_id, ({_NOISE}) AS noise, {terms} AS density FROM ({own})),
+    b AS MATERIALIZED ({on_clean(_classified_sql())}), e AS MATERIALIZED ({on_clean(_entities_sql())}),
+    pa AS ({ORACLES["paragraph_score"].replace(broken, clean)}), he AS ({headings}), fc AS ({on_clean(ORACLES["footer_citation_scores"], varied)}),
+    se AS (SELECT doc_id, least(100.0, count(DISTINCT section_type) / 8 * 50 + avg(score) * 30 + least(0.2, count(*) FILTER (WHERE relevance > 0.1) / count(*)) * 100) AS score FROM b GROUP BY doc_id),
+    sc AS (SELECT doc_id, string_agg(section_type || ':' || n, ',' ORDER BY section_type) AS section_counts FROM (SELECT doc_id, section_type, count(*) AS n FROM b GROUP BY ALL) GROUP BY doc_id),
+    ec AS (SELECT doc_id, count(DISTINCT type) AS types, count(*) AS n, count(DISTINCT type) FILTER (WHERE type IN {tuple(fixed.KEY_ENTITIES)}) AS keys FROM e GROUP BY doc_id),
+    j AS (SELECT o.doc_id, pa.result AS p, he.result * 100 AS h, CASE WHEN noise <= 0.05 THEN 100.0 ELSE greatest(20.0, 100.0 - (noise - 0.05) * 200) END AS oc,
+        coalesce(footer, 50.0) AS f, coalesce(citation, 100.0) AS c, coalesce(se.score, 0.0) AS s, coalesce(section_counts, '') AS section_counts, coalesce(ec.n, 0) AS n,
+        CASE WHEN types IS NULL THEN 0.0 ELSE least(100.0, (least(1.0, types / greatest(1.0, density * 50)) * 40 + least(1.0, ec.n / 10.0) * 30 + keys / 5.0 * 30) * 100) END AS e
+        FROM o LEFT JOIN pa USING (doc_id) LEFT JOIN he USING (doc_id) LEFT JOIN fc USING (doc_id) LEFT JOIN se USING (doc_id) LEFT JOIN sc USING (doc_id) LEFT JOIN ec USING (doc_id))
+    SELECT doc_id, round(p, 6)::DOUBLE AS paragraph_score, round(h, 6)::DOUBLE AS heading_score, round(oc, 6)::DOUBLE AS ocr_cleanup_score, round(f, 6)::DOUBLE AS footer_removal_score,
+        round(c, 6)::DOUBLE AS citation_cleanup_score, round(s, 6)::DOUBLE AS section_segmentation_score, round(e, 6)::DOUBLE AS entity_score,
+        round(p * 0.2 + f * 0.15 + oc * 0.15 + c * 0.1 + s * 0.2 + e * 0.2, 6)::DOUBLE AS final_quality, section_counts, n::INTEGER AS entity_count FROM j"""
+
+
+@query("quality_report", quality_sql())
 def quality_report(spark, sf_dir):
-    cleaned = cleanup.adaptive_cleanup(documents(spark, sf_dir))
-    return P.quality_report(cleaned, "text", "clean").drop("text", "clean")
+    """Scores to six places; the counts of sections as a list of ``type:n`` by type."""
+    report = P.quality_report(cleanup.adaptive_cleanup(documents(spark, sf_dir)), "text", "clean").drop("text", "clean")
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("section_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), ",")
+    return _rounded_to(report.withColumn("section_counts", listed), 6)
+
+
+def _rounded_to(df, places: int):
+    return df.select(*(F.round(n, places).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes))
 
 
 # --- Sections.
