@@ -67,7 +67,7 @@ def link_citations(answers: DataFrame, ranked: DataFrame, answer: str = "answer"
 
 
 def generate_answers(queries: DataFrame, retrieve, chunks: DataFrame, provider: enrich.Provider | None = None, k: int = 5, k_candidates: int = 10, limit_to_k: bool = False, enrich_first: bool = True) -> DataFrame:
-    """``query_id, question, expanded_query, answer, n_docs`` for a table of questions.
+    """``query_id, question, expanded_query, answer, n_docs, error`` for a table of questions.
 
     ``retrieve(queries, k)`` gives the fused union of ``k_candidates`` from each list; all of it is passed on unless
     ``limit_to_k`` asks for k.
@@ -84,7 +84,7 @@ def generate_answers(queries: DataFrame, retrieve, chunks: DataFrame, provider:
     replied = enrich.generate(rows, "__prompt", "__answer", service)
     empty = (F.coalesce(F.col("n_docs"), F.lit(0)) == 0) & (F.coalesce("__answer", F.lit("")) == "")
     answer = F.when(empty, F.lit(NO_ANSWER)).otherwise(clean_answer(F.coalesce("__answer", F.lit(""))))
-    return replied.select("query_id", "question", "expanded_query", answer.alias("answer"), F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"))
+    return replied.select("query_id", "question", "expanded_query", answer.alias("answer"), F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"), F.col("__answer_error").alias("error"))
 
 
 REQUEST = T.StructType(
@@ -108,18 +108,26 @@ def valid_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"k": k, "k_candidates": c, "error": error})
 
 
-def events(answers: DataFrame, ranked_sources: DataFrame, words: int = 1) -> Iterator[tuple[int, str, str]]:
+def events(answers: DataFrame, ranked_sources: DataFrame, words: int = 1) -> Iterator[tuple[int | None, str, str]]:
     """Per query, as a server would send them: ``token`` events, then ``sources``, then ``done``.
 
-    Rows come to the driver one partition at a time.
+    A query whose ``error`` is told, or that has no answer, gives one ``error`` event instead; where the job itself
+    fails, a last ``error`` event without a query ends the stream. Rows come to the driver one partition at a time.
     """
     listed = ranked_sources.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rank", "source", "title", "content")))).alias("sources"))
-    for row in answers.join(listed, "query_id", "left").orderBy("query_id").toLocalIterator():
-        parts = row["answer"].split(" ")
-        for at in range(0, len(parts), words):
-            yield row["query_id"], "token", " ".join(parts[at : at + words]) + (" " if at + words < len(parts) else "")
-        yield row["query_id"], "sources", row["sources"] or "[]"
-        yield row["query_id"], "done", ""
+    told = answers if "error" in answers.columns else answers.withColumn("error", F.lit(None).cast("string"))
+    try:
+        for row in told.join(listed, "query_id", "left").orderBy("query_id").toLocalIterator():
+            if row["error"] is not None or row["answer"] is None:
+                yield row["query_id"], "error", row["error"] or "no answer"
+                continue
+            parts = row["answer"].split(" ")
+            for at in range(0, len(parts), words):
+                yield row["query_id"], "token", " ".join(parts[at : at + words]) + (" " if at + words < len(parts) else "")
+            yield row["query_id"], "sources", row["sources"] or "[]"
+            yield row["query_id"], "done", ""
+    except Exception as e:  # whoever listens must learn that no more will come
+        yield None, "error", f"{type(e).__name__}: {e}"[:500]
 
 
 def chat_state(events_table: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions import fixed
 from lexloom.functions.text import strip
-from lexloom.operators.enrich import json_text
+from lexloom.operators.enrich import Provider, generate, json_text
+from lexloom.sources.files import write_text
 
 
 def dataset(answers: DataFrame, ranked: DataFrame, truths: DataFrame, n_contexts: int = 3, text: str = "page_content") -> DataFrame:
@@ -41,6 +45,27 @@ def repaired(reply: Column) -> Column:
     )
 
 
+def judge(rows: DataFrame, prompt: str, provider: Provider | None = None, calls_per_minute: int | None = fixed.JUDGE_CALLS_PER_MINUTE, tries: int = 1) -> DataFrame:
+    """Adds ``judged``, the repaired reply of a judge, and ``judge_error``; the pace holds for the whole job."""
+    told = generate(rows, prompt, "__reply", provider, calls_per_minute, tries=tries)
+    return told.select(*rows.columns, repaired(F.col("__reply")).alias("judged"), F.col("__reply_error").alias("judge_error"))
+
+
+def summary(scores: DataFrame, n_samples: int, decimals: int = 6) -> str:
+    """JSON of the sample count and each metric's mean; a metric without a number is null."""
+    names = scores.select("metric").distinct()
+    rows = names.join(metric_means(scores, decimals), "metric", "left").orderBy("metric").collect()  # a row a metric
+    return json.dumps({"n_samples": n_samples, "metrics": {r["metric"]: r["mean"] for r in rows}}, ensure_ascii=False, indent=2)
+
+
+def write_evaluation(samples: DataFrame, scores: DataFrame, folder: str) -> None:
+    """The data set as JSON lines in ``dataset`` and the means in ``summary.json``."""
+    spark = samples.sparkSession
+    samples.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/dataset")
+    written = spark.read.schema(samples.schema).json(f"{folder}/dataset").count()
+    write_text(spark, f"{folder}/summary.json", summary(scores, written))
+
+
 def metric_means(scores: DataFrame, decimals: int = 6) -> DataFrame:
     """``metric, mean, n`` over values that are numbers."""
     fit = scores.filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -65,4 +90,4 @@ def usage_summary(responses: DataFrame, by: tuple[str, ...] = ("model", "use_cas
     return told.groupBy(*by).agg(F.count("*").alias("calls"), shown("tokens_in").alias("tokens_in"), shown("tokens_out").alias("tokens_out"))
 
 
-__all__ = ["dataset", "metric_means", "repaired", "strip", "token_usage", "truth", "usage_summary", "verdict"]
+__all__ = ["dataset", "judge", "metric_means", "repaired", "summary", "token_usage", "truth", "usage_summary", "verdict", "write_evaluation"]

@@ -145,6 +145,17 @@ def progress(gold: DataFrame, index: DataFrame, key: str = "chunk_id", file: str
     return counts.withColumn("n_new", F.col("n_rows") - F.col("n_known"))
 
 
+def load_counts(docs: DataFrame, metadata: DataFrame, sections: DataFrame, key: str = "Archivo", source: str = "source", text: str = "page_content") -> DataFrame:
+    """One row: documents, metadata rows, documents that have such a row, sections, and sections with content."""
+    pdf = F.regexp_replace(base_name(F.col(source)), r"\.md$", ".pdf")
+    keys = metadata.select(F.col(key).alias("__key")).distinct()
+    found = docs.select(pdf.alias("__key")).join(keys.withColumn("__m", F.lit(1)), "__key", "left")
+    counted = found.agg(F.count("*").alias("documents"), F.count("__m").alias("matched"))
+    filled = sections.agg(F.count("*").alias("sections"), F.count(F.nullif(F.col(text), F.lit(""))).alias("sections_with_content"))
+    # Each side is one row.
+    return counted.crossJoin(keys.agg(F.count("*").alias("metadata_rows"))).crossJoin(filled)
+
+
 def append_index(rows: DataFrame, path: str, batch: int = fixed.INDEX_BATCH) -> None:
     rows.write.mode("append").option("maxRecordsPerFile", max(batch, 1) * 1000).parquet(path)
 

@@ -251,7 +251,7 @@ def _rounded_to(df, places: int):
 
 # --- Sections.
 
-_SECTION_SQL = f"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(## .)', chr(1) || '\\1', 'g'), chr(1)) AS ps FROM ({documents_sql()})),
+SECTION_SQL = f"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(## .)', chr(1) || '\\1', 'g'), chr(1)) AS ps FROM ({documents_sql()})),
     b AS (SELECT doc_id, unnest(range(len(ps))) AS pos, unnest(ps) AS body FROM t),
     h AS (SELECT *, regexp_extract(body, '^## (.+)', 1) AS h FROM b WHERE regexp_matches(body, '^## .')),
     k AS (SELECT *, coalesce({strip("list_filter(string_split(body, chr(10))[2:], lambda z: regexp_replace(z, '^\\s+|\\s+$', '', 'g') <> '' AND NOT starts_with(z, '#'))[1]")}, '') AS follow FROM h),
@@ -269,12 +269,12 @@ _SECTION_SQL = f"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '
     FROM s LEFT JOIN p ON s.doc_id = p.doc_id AND s.section_index = p.active LEFT JOIN f ON s.doc_id = f.doc_id AND s.section_index = f.section"""
 
 
-@query("split_sections", _SECTION_SQL)
+@query("split_sections", SECTION_SQL)
 def split_sections(spark, sf_dir):
     return S.split_documents(documents(spark, sf_dir))
 
 
-@query("section_first_heading", f"SELECT doc_id, section_index, section_heading FROM ({_SECTION_SQL}) WHERE section_heading <> ''")
+@query("section_first_heading", f"SELECT doc_id, section_index, section_heading FROM ({SECTION_SQL}) WHERE section_heading <> ''")
 def section_first_heading(spark, sf_dir):
     return S.split_documents(documents(spark, sf_dir)).select("doc_id", "section_index", "section_heading").filter("section_heading <> ''")
 

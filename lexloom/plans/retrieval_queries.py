@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed
-from lexloom.operators import answer as A, enrich as E, evaluate as V, index as I, retrieve as R
+from lexloom.operators import answer as A, enrich as E, evaluate as V, index as I, retrieve as R, sections as S
+from lexloom.plans.adapter import documents
+from lexloom.plans.document_queries import SECTION_SQL
 from lexloom.plans.text_queries import strip
 from lexloom.session import spread, table
 from lexloom.sources import files
@@ -411,6 +413,18 @@ def ingest_progress(spark, sf_dir):
     return I.progress(docs, docs.filter("doc_id % 3 = 0"), "doc_id")
 
 
+@query(
+    "load_counts",
+    f"""SELECT count(*) AS documents, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0)) AS matched,
+    (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id % 2 = 0) AS metadata_rows, 4 * count(*) AS sections,
+    (SELECT count(*) FROM ({SECTION_SQL}) WHERE page_content <> '') AS sections_with_content FROM documents""",
+)
+def load_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("caso_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"))
+    metadata = table(spark, sf_dir, "labels").filter("doc_id % 2 = 0").select(F.concat(F.lit("caso_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("Archivo"))
+    return I.load_counts(docs, metadata, S.split_documents(documents(spark, sf_dir)))
+
+
 @query(
     "prompt_build",
     f"""WITH {_RANKED}, c AS (SELECT query_id, string_agg(concat_ws(chr(10), '[doc' || rank || ' | source=' || source || ' | chunk_id=' || chunk_id || ']', 'Sección: ' || section_name, 'Resumen: ' || summary, page_content),

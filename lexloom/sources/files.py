@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,8 +22,42 @@ def list_keys(spark: SparkSession, prefix: str, suffix: str = "") -> DataFrame:
 
 
 def key_exists(spark: SparkSession, path: str) -> bool:
+    store, target = _file_system(spark, path)
+    return store.exists(target)
+
+
+def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One named object, replaced if it is there; for reports and sidecars, not for tables."""
+    store, target = _file_system(spark, path)
+    out = store.create(target, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode("utf-8"))
+
+
+def upload(spark: SparkSession, local: str, path: str) -> None:
+    """A local file of the driver, or a folder with all below it under the same relative names, to any store."""
+    store, target = _file_system(spark, path)
+    if not os.path.isdir(local):
+        store.copyFromLocalFile(False, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(local)}"), target)
+        return
+    for name in sorted(os.listdir(local)):
+        upload(spark, os.path.join(local, name), f"{path.rstrip('/')}/{name}")
+
+
+def download(spark: SparkSession, path: str, local: str) -> None:
+    store, source = _file_system(spark, path)
+    store.copyToLocalFile(False, source, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(local)}"), True)
 
 
 def read_texts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import shutil
@@ -14,7 +15,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import answer as A, enrich as E, evaluate as V, images, index as I, retrieve as R
+from lexloom.operators import answer as A, bronze, enrich as E, evaluate as V, images, index as I, retrieve as R
 from lexloom.sources import files
 from lexloom.streaming import ingest
 
@@ -143,6 +144,67 @@ def test_events(spark):
     assert sent[2][1] == "sources" and "a b" in sent[2][2] and sent[3][1] == "done"
 
 
+def test_events_of_failures(spark):
+    answers = spark.createDataFrame([(1, None, "TimeoutError: late"), (2, "bien", None), (3, None, None)], "query_id int, answer string, error string")
+    none = spark.createDataFrame([], "query_id int, rank int, source string, title string, content string")
+    assert list(A.events(answers, none)) == [(1, "error", "TimeoutError: late"), (2, "token", "bien"), (2, "sources", "[]"), (2, "done", ""), (3, "error", "no answer")]
+    broken = answers.withColumn("answer", F.raise_error(F.lit("lost")).cast("string"))
+    (last,) = A.events(broken, none)
+    assert last[0] is None and last[1] == "error" and "lost" in last[2]
+
+
+def test_failed_generation_is_an_error_event(spark):
+    class Failing(E.OfflineProvider):
+        def generate(self, prompts):
+            raise TimeoutError("late")
+
+    queries = spark.createDataFrame([(1, "q")], "query_id int, question string")
+    ranked = spark.createDataFrame([(1, 5, 1.0, 1)], "query_id int, doc_id long, score double, rank int")
+    chunks = spark.createDataFrame([(5, "a.txt", "texto")], "doc_id long, source string, page_content string")
+    answers = A.generate_answers(queries, lambda q, k: ranked, chunks, Failing())
+    assert [(k, t) for _, k, t in A.events(answers, A.sources(ranked.join(chunks, "doc_id")))] == [("error", "TimeoutError: late")]
+
+
+def test_judges_and_summaries(spark, tmp_path):
+    class Judge(E.OfflineProvider):
+        def generate(self, prompts):
+            return ["sin json" if "b" in p else '{"verdict": 0.7}' for p in prompts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, prompt string")
+    told = {r.id: r.judged for r in V.judge(rows, "prompt", Judge(), calls_per_minute=None).collect()}
+    assert (told[1].ok, told[1].verdict) == (True, 1) and (told[2].ok, told[2].verdict) == (False, 0)
+    scores = spark.createDataFrame([("relevancy", 0.5), ("relevancy", 1.0), ("relevancy", float("nan")), ("recall", None)], "metric string, value double")
+    V.write_evaluation(rows, scores, f"file://{tmp_path}/eval")
+    assert json.loads((tmp_path / "eval/summary.json").read_text(encoding="utf-8")) == {"n_samples": 2, "metrics": {"recall": None, "relevancy": 0.75}}
+    assert sorted(r.prompt for r in spark.read.json(f"file://{tmp_path}/eval/dataset").collect()) == ["a", "b"]
+
+
+def test_objects_and_folders(spark, tmp_path):
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/a.txt").write_text("uno", encoding="utf-8")
+    (tmp_path / "in/sub/ñ.bin").write_bytes(bytes(range(256)))
+    files.upload(spark, str(tmp_path / "in"), f"file://{tmp_path}/out/")
+    assert (tmp_path / "out/a.txt").read_text() == "uno" and (tmp_path / "out/sub/ñ.bin").read_bytes() == bytes(range(256))
+    files.write_text(spark, f"file://{tmp_path}/out/a.txt", "dós")
+    files.download(spark, f"file://{tmp_path}/out/a.txt", str(tmp_path / "back.txt"))
+    assert (tmp_path / "back.txt").read_text(encoding="utf-8") == "dós"
+    files.write_bytes(spark, f"file://{tmp_path}/empty", b"")
+    assert (tmp_path / "empty").read_bytes() == b""
+
+
+def test_bronze_run(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw/caso_1.pdf").write_bytes("## I. ANTECEDENTES\n\nLa playa de la bahía, según el tribunal.".encode())
+    (tmp_path / "raw/caso_2.pdf").write_bytes(b"\xff")
+    (tmp_path / "raw/other.txt").write_bytes(b"no")
+    bronze.build_bronze(spark, f"file://{tmp_path}/raw", f"file://{tmp_path}/bronze", lambda b: b.decode("utf-8"))
+    read = lambda name: spark.read.parquet(f"file://{tmp_path}/bronze/{name}").collect()
+    (doc,), (quality,), (failure,), (found,) = read("docs"), read("quality"), read("failures"), read("entities")
+    assert doc.stem == quality.stem == found.stem == "caso_1" and "La playa" in doc.page_content
+    assert 0 <= quality.final_quality <= 100 and quality.entity_count == sum(len(v) for v in found.entities.values())
+    assert failure.stem == "caso_2" and "UnicodeDecodeError" in failure.error
+
+
 def test_rate_limiter_and_retries():
     clock = [0.0]
     limiter = E.RateLimiter(3, 60, now=lambda: clock[0], sleep=lambda s: clock.__setitem__(0, clock[0] + s))
