@@ -260,3 +260,17 @@ CONTEXT_LINES = (
     ("Sección", ("section_name",)),
     ("Resumen", ("summary",)),
 )
+
+#: Numbers of footnotes after brackets, years and case numbers, in the order of their removal.
+FOOTNOTE_NUMBERS = (
+    r"([)\]’”'\"])\s+\d{1,2}(?=\s|[.,;:!?\)\]]|$)",
+    r"\b(1[89]\d\d|20\d\d)\d\b(?!\d)",
+    rf"(\b(?:1[89]\d\d|20\d\d))\s+\d{{1,2}}(?=\s*[.,;:!?\)\]]|\s+[{LOWER_LETTERS}]|\s*$)",
+    r"(\b[A-Z][\w-]*-\d{2,4})\s+\d{1,2}(?=\s|[.,;:!?\)\]]|$)",
+)
+
+#: Page numbers inside running titles.
+PAGE_NUMBERS = (r"(?i)\b(pág\.?|página|page)\s*\d+\b", r"\b\d{1,4}\s*$", r"^\s*\d{1,4}\s+")
+
+#: Source notes at the end of an answer.
+ANSWER_TAILS = (r"\s*\(fuente:[^)]+\)\s*$", r"\s*\((?:doc|chunk)[^)]*\)\s*$")

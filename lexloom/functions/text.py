@@ -137,10 +137,9 @@ def remove_footnote_numbers(text: Column) -> Column:
     run = lambda ahead: rf"(?<!{letter})(?={letter}{{2,}}+{ahead}){cited}(?!(?i:{words})(?!{letter}))({letter}{{2,}}+)"
     text = F.regexp_replace(text, rx(rf"{run('\\d')}\d{{1,2}}\b(?!\d)"), "$1")
     text = F.regexp_replace(text, rx(rf"{run('\\s+\\d')}\s+(?:[0-4]?\d|5[0-5])(?=\s|[.,;:!?\)\]\"']|$)"), "$1")
-    text = F.regexp_replace(text, rx(r"([)\]’”'\"])\s+\d{1,2}(?=\s|[.,;:!?\)\]]|$)"), "$1")
-    text = F.regexp_replace(text, rx(r"\b(1[89]\d\d|20\d\d)\d\b(?!\d)"), "$1")
-    text = F.regexp_replace(text, rx(rf"(\b(?:1[89]\d\d|20\d\d))\s+\d{{1,2}}(?=\s*[.,;:!?\)\]]|\s+[{fixed.LOWER_LETTERS}]|\s*$)"), "$1")
-    return F.regexp_replace(text, rx(r"(\b[A-Z][\w-]*-\d{2,4})\s+\d{1,2}(?=\s|[.,;:!?\)\]]|$)"), "$1")
+    for pattern in fixed.FOOTNOTE_NUMBERS:
+        text = F.regexp_replace(text, rx(pattern), "$1")
+    return text
 
 
 def split_heading_body(text: Column) -> Column:
@@ -181,9 +180,8 @@ def resolve_image_path(ref: Column) -> Column:
 
 
 def normalize_furniture_line(line: Column) -> Column:
-    line = F.regexp_replace(line, rx(r"(?i)\b(pág\.?|página|page)\s*\d+\b"), "")
-    line = F.regexp_replace(line, rx(r"\b\d{1,4}\s*$"), "")
-    line = F.regexp_replace(line, rx(r"^\s*\d{1,4}\s+"), "")
+    for pattern in fixed.PAGE_NUMBERS:
+        line = F.regexp_replace(line, rx(pattern), "")
     return F.lower(strip(F.regexp_replace(line, rx(r"\s+"), " ")))
 
 
@@ -192,8 +190,9 @@ def normalize_entity(entity: Column) -> Column:
 
 
 def clean_answer(answer: Column) -> Column:
-    answer = F.regexp_replace(answer, rx(r"\s*\(fuente:[^)]+\)\s*$"), "")
-    return strip(F.regexp_replace(answer, rx(r"\s*\((?:doc|chunk)[^)]*\)\s*$"), ""))
+    for pattern in fixed.ANSWER_TAILS:
+        answer = F.regexp_replace(answer, rx(pattern), "")
+    return strip(answer)
 
 
 def prepare_markdown(text: Column) -> Column:
