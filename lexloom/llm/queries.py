@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import bpe, chat, html_extract, langid, line_dedup, media, mixing, quality_rules, simhash, warc
+from lexloom.llm import bpe, chat, clustering, html_extract, infill, langid, line_dedup, media, mixing, quality_rules, simhash, warc
 from lexloom.session import table
 
 
@@ -50,6 +50,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat": op2_chat,
@@ -61,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
+    "op11_clustering": op11_clustering,
+    "op12_infill": op12_infill,
 }
 
 ORACLES: dict[str, str] = {
@@ -68,4 +78,6 @@ ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE,
     "op6_quality_rules": quality_rules.oracle(),
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_clustering": clustering.oracle(),
+    "op12_infill": infill.ORACLE,
 }
