@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import bpe, chat, clustering, html_extract, infill, langid, line_dedup, media, mixing, quality_rules, simhash, warc
+from lexloom.llm import bpe, chat, clustering, html_extract, infill, langid, line_dedup, media, minhash, mixing, quality_rules, simhash, warc
 from lexloom.session import table
 
 
@@ -58,6 +58,10 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat": op2_chat,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_clustering": op11_clustering,
     "op12_infill": op12_infill,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLES: dict[str, str] = {
@@ -80,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op10_line_dedup": line_dedup.ORACLE,
     "op11_clustering": clustering.oracle(),
     "op12_infill": infill.ORACLE,
+    "op13_minhash": minhash.ORACLE,
 }
