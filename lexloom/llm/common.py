@@ -74,3 +74,11 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are done.
+
+    It acts when the driver's memory is collected, which a small driver of a long iterative job seldom needs.
+    """
+    spark.sparkContext._jvm.System.gc()

@@ -144,8 +144,8 @@ def group_links(members: DataFrame, kind: Callable[..., Measure], cap: int, weig
     is_pivot = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("m") / PIVOTS)) == 0
     at = F.when(F.col("w").isNull(), F.array(F.lit(0))).when(is_pivot, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))
     first = told.select("key", "node", "size", "payload", F.explode(at).alias("a")).withColumn("b", F.col("a"))
-    near = durable(search(first))
-    roots = durable(connected_components(near))
+    roots = durable(connected_components(search(first)))
+    near = roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))  # they span the same
     classed = durable(slim.join(roots, "node", "left").select("key", "node", "own_w", "w", F.coalesce("root", "node").alias("root")))
     classes = classed.groupBy("key", "w", "root").agg(F.sum("own_w").alias("part"), F.count("*").alias("rows"))
     half = cap / 2

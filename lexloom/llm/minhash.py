@@ -265,7 +265,7 @@ def families(nodes: DataFrame, percent: int = PERCENT, cap: int = SKETCH_CAP) ->
     shared = spread_join(placed, held, ["key"], "m").select("key", "node")
     members = written(shared.join(nodes.select("node", F.col("n").alias("size"), F.col("marks").alias("payload")), "node"))
     measure = partial(SketchMeasure, percent=percent, least=least_agreement(COORDINATES, percent, MISS))
-    return durable(connected_components(durable(group_links(members, measure, cap))))
+    return durable(connected_components(group_links(members, measure, cap)))
 
 
 def links(docs: DataFrame, nodes: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, sketch_cap: int = SKETCH_CAP, set_cap: int = SET_CAP) -> DataFrame:
@@ -289,7 +289,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
         F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("marks").alias("marks"),
     )
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))  # numbers stand once they are written
-    stars = durable(connected_components(durable(links(docs, nodes, text, doc_id, percent, sketch_cap, set_cap))))
+    stars = durable(connected_components(links(docs, nodes, text, doc_id, percent, sketch_cap, set_cap)))
     linked = durable(stars.join(nodes.select("node", "rep_id"), "node"))
     # Nodes of one root are dealt over SALTS tasks.
     least = linked.groupBy("root").agg(F.min("rep_id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
