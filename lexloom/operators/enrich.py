@@ -8,9 +8,8 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
@@ -69,30 +68,21 @@ def choose_provider(candidates: Sequence[tuple[str, Callable[[], Provider | None
 
 
 @dataclass
-class RateLimiter:
-    """At most ``calls`` in any ``period`` seconds, with a little slack; the clock can be replaced for tests."""
+class Slots:
+    """One lane of a rate: times ``period`` seconds apart, each taken once; the clock can be replaced for tests."""
 
-    calls: int = fixed.CALLS_PER_MINUTE
-    period: float = 60.0
-    slack: float = 0.1
+    period: float
     now: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
-    _made: deque = field(default_factory=deque)
+    next: float = float("-inf")
 
-    def wait(self) -> float:
-        """Wait for a slot and take it; returns the seconds waited."""
-        self._forget()
-        waited = 0.0
-        if len(self._made) >= self.calls:
-            waited = max(0.0, self.period - (self.now() - self._made[0]) + self.slack)
-            self.sleep(waited)
-            self._forget()
-        self._made.append(self.now())
-        return waited
-
-    def _forget(self) -> None:
-        while self._made and self.now() - self._made[0] > self.period:
-            self._made.popleft()
+    def take(self) -> float:
+        """Sleep until the next free time, take it and return it."""
+        at = max(self.next, self.now())
+        self.next = at + self.period
+        while (ahead := at - self.now()) > 0:
+            self.sleep(ahead)
+        return at
 
 
 def with_retries(call: Callable, tries: int = 3, base: float = 2.0, sleep: Callable[[float], None] = time.sleep):
@@ -126,18 +116,18 @@ def generate(
     period = 60.0 * split / calls_per_minute if calls_per_minute else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limiter = None
+        slots = None
         if calls_per_minute:
-            limiter = RateLimiter(calls=1, period=period)
+            slots = Slots(period)
             time.sleep(period * (TaskContext.get().partitionId() % split) / split)
 
         def one(text: str) -> str:
-            if limiter:
-                limiter.wait()
+            if slots:
+                slots.take()
             return service.generate([text])[0]
 
         def told(texts: list[str]) -> list[tuple[str | None, str | None]]:
-            if not limiter and len(texts) > 1:
+            if not slots and len(texts) > 1:
                 try:
                     return [(reply, None) for reply in service.generate(texts)]
                 except Exception:  # one of them: find out which

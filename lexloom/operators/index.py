@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from lexloom.functions import fixed
 from lexloom.functions.text import base_name, embedding_text, rx, strip
+from lexloom.operators.postings import blocks, checked
+from lexloom.session import stored
 
 
 #: Distinct query tokens up to which they are broadcast.
@@ -25,8 +27,7 @@ def tokens(text):
 class Bm25Index:
     """``postings(token, doc_id, tf, dl)``, ``terms(token, df, idf)``, ``stats(n, avgdl)``, ``docs(doc_id, dl)``.
 
-    Postings are what a cluster would write bucketed by token, so that a query reads its tokens' buckets only. An
-    index that is not stored has ``occurrences(token, doc_id, dl)`` as well, from which a query takes its tokens
+    An index that is not stored has ``occurrences(token, doc_id, dl)`` as well, from which a query takes its tokens
     before anything is counted.
     """
 
@@ -35,31 +36,61 @@ class Bm25Index:
     stats: DataFrame
     docs: DataFrame
     occurrences: DataFrame | None = None
+    #: ``token`` once per document and token, of an index in memory.
+    raw: DataFrame | None = None
+    decimals: int = 9
 
-    def hits(self, asked: DataFrame, wanted: DataFrame) -> DataFrame:
-        """``asked(query_id, token, w)`` with the postings of its tokens; ``wanted(token)`` holds those at least."""
-        wanted = wanted.distinct()
+    #: Documents of stored segments that are deleted; an index in memory has none.
+    dead = None
+
+    def blocks(self, asked: DataFrame, avgdl: float) -> tuple[DataFrame, DataFrame]:
+        """The blocks of the tokens of ``asked(query_id, token, times)`` and ``query_id, token, w``.
+
+        Where nothing is stored, the tokens go to the occurrences and only theirs are counted and shuffled, once; the
+        corpus's mean idf, which needs all tokens, is counted only where a token's own is negative.
+        """
+        wanted = asked.select("token").distinct()
         if self.occurrences is None:
-            return self.postings.join(asked, "token")
-        # Tokens of a checked number go to the occurrences, so that only theirs are counted and shuffled, once.
-        few = wanted.limit(MANY_TOKENS + 1).count() <= MANY_TOKENS
-        near = self.occurrences.join(F.broadcast(wanted) if few else wanted, "token", "left_semi")
-        counted = near.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
-        return counted.join(asked, "token")
+            near = self.postings.join(checked(wanted, MANY_TOKENS), "token", "left_semi")
+            terms = self.terms.join(checked(wanted, MANY_TOKENS), "token", "left_semi")
+        else:
+            found = self.occurrences.join(checked(wanted, MANY_TOKENS), "token", "left_semi")
+            near = stored(found.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf")))
+            terms = self._terms_of(wanted)
+        terms = stored(terms.select("token", "df", "idf"))
+        weighed = asked.join(terms, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("w"))
+        return stored(blocks(near, terms, avgdl or 1.0)), weighed
+
+    def _terms_of(self, wanted: DataFrame) -> DataFrame:
+        n = self.stats.first()["n"]
+        counted = self.raw.join(checked(wanted, MANY_TOKENS), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+        told = stored(counted.withColumn("idf", raw_idf(F.lit(n), F.col("df"), self.decimals)))
+        return told if told.filter("idf < 0").isEmpty() else self.terms.join(checked(wanted, MANY_TOKENS), "token", "left_semi")
+
+    def ids(self) -> DataFrame:
+        return self.docs.select("doc_id")
+
+    def rows_an_id(self) -> int:
+        return self.docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
 
     def write(self, path: str, buckets: int = 256) -> None:
         """The four tables under ``path``; postings in folders by a hash of the token."""
         bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket")
-        self.postings.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.postings.select("*", bucket).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         for name in ("terms", "stats", "docs"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def read_bm25(spark: SparkSession, path: str) -> Bm25Index:
+    """An index that :meth:`Bm25Index.write` stored, whole; for pruned reads and upkeep see :mod:`lexloom.operators.segments`."""
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("terms", "stats", "docs")}
     return Bm25Index(spark.read.parquet(f"{path}/postings").drop("bucket"), **tables)
 
 
+def raw_idf(n, df, decimals: int = 9):
+    return F.round(F.log(n - df + 0.5) - F.log(df + 0.5), decimals)
+
+
 def bm25_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", epsilon: float = fixed.BM25_EPSILON, decimals: int = 9) -> Bm25Index:
     """One shuffle for postings, one for document frequencies; a negative idf becomes ``epsilon`` times the mean.
 
@@ -73,11 +104,11 @@ def bm25_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", epsi
     postings = exploded.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
     distinct = split.select(F.explode(F.array_distinct("tokens")).alias("token"))
     df = distinct.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.round(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5), decimals))
+    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", raw_idf(F.col("n"), F.col("df"), decimals))
     mean = raw.agg(F.round(F.avg("raw"), decimals).alias("mean"))  # a single row
     idf = F.when(F.col("raw") < 0, F.round(F.lit(epsilon) * F.col("mean"), decimals)).otherwise(F.col("raw"))
     terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))
-    return Bm25Index(postings, terms, stats, lengths, exploded)
+    return Bm25Index(postings, terms, stats, lengths, exploded, distinct, decimals)
 
 
 GOLD = T.StructType(
@@ -122,14 +153,27 @@ def sanitize(df: DataFrame) -> DataFrame:
 
 
 def only_new(gold: DataFrame, index: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Rows whose key the index lacks; of rows that share a key one is kept, the first by all its columns.
+    """Rows whose key the index lacks; of rows that share a key one is kept, that with the least digest of all columns.
 
-    Keeping one and appending once is deliberate: a retried batch must not index a chunk again.
+    Keeping one and appending once is deliberate: a retried batch must not index a chunk again. Columns may be maps,
+    whose entries count in the order of their keys. Rows without a key are left out: they could not be told apart from
+    those that are loaded.
     """
-    fresh = gold.join(index.select(key), key, "left_anti")
-    rest = [c for c in fresh.columns if c != key]
-    first = fresh.groupBy(key).agg(F.min(F.struct(*rest)).alias("__r"))
-    return first.select(key, "__r.*").select(*fresh.columns)
+    fresh = gold.filter(F.col(key).isNotNull()).join(index.select(key), key, "left_anti")
+    told = F.sha2(F.to_json(F.struct(*(_comparable(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fresh.schema))), 256)
+    least = fresh.groupBy(key).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in gold.columns)), told).alias("__r"))
+    return least.select("__r.*")
+
+
+def _comparable(value, kind: T.DataType):
+    """Maps as sorted arrays of entries, at any depth below arrays and structs of them."""
+    if isinstance(kind, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("k"), F.to_json(F.struct(_comparable(e["value"], kind.valueType).alias("v"))).alias("v"))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _comparable(x, kind.elementType))
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.struct(*(_comparable(value.getField(f.name), f.dataType).alias(f.name) for f in kind))
+    return value
 
 
 def skip_existing(silver: DataFrame, gold: DataFrame, file: str = "source") -> DataFrame:

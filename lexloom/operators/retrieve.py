@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import Window as W
 
 from lexloom.functions import fixed
 from lexloom.operators.index import Bm25Index, tokens
+from lexloom.operators.postings import Search, all_scores, without
+from lexloom.session import stored
 
 
 def top(df: DataFrame, order: list[Column], k: int, by: list[str], rank: str = "rank") -> DataFrame:
@@ -20,45 +23,35 @@ def top(df: DataFrame, order: list[Column], k: int, by: list[str], rank: str = "
     return df.withColumn(rank, place).filter(F.col(rank) <= k)
 
 
-def bm25_parts(queries: DataFrame, index: Bm25Index, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
-    """``query_id, doc_id, part``: what each common token adds; repeated query tokens repeat.
-
-    Query tokens are few and reach the postings first, so all but their postings are left out before the scores.
-    """
-    asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    weighed = asked.join(index.terms, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("w"))
-    hits = index.hits(weighed, asked.select("token")).crossJoin(F.broadcast(index.stats))  # stats: one row
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("w") * (tf * (k1 + 1)) / (tf + k1 * (F.lit(1 - b) + F.lit(b) * dl / F.col("avgdl")))
-    return hits.select("query_id", "doc_id", part.alias("part"))
-
-
-def _summed(parts: DataFrame, decimals: int) -> DataFrame:
-    return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), decimals).alias("score"))
-
-
-def bm25_scores(queries: DataFrame, index: Bm25Index, decimals: int = 9, **weights) -> DataFrame:
-    """``query_id, doc_id, score`` of documents that share a token with the query."""
-    return _summed(bm25_parts(queries, index, **weights), decimals)
-
-
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, decimals: int = 9, negative: bool = False, **weights) -> DataFrame:
     """``query_id, doc_id, score, rank``; documents without a common token have score 0 and are eligible.
 
-    Ties go by doc_id. Of the many at 0 only the 2k smallest distinct ids need to compete: if fewer than k documents
-    score above 0, at least k of those are at 0. They add nothing to the sums, so one pass scores all. Where a query
-    holds a token of negative idf (the mean is below 0), its scores may be below 0 and all documents compete; with
-    ``negative`` they do for every query.
+    Ties go by doc_id. Queries of weights from 0 on read blocks of postings as far as these can matter (see
+    :mod:`lexloom.operators.postings`); of the many documents at 0 only the 2k smallest distinct ids need to compete, as at
+    least k of these are at 0 where fewer than k score above it. Queries with a token of negative idf (the mean is
+    below 0), or all of them with ``negative``, are scored over all postings, and the k smallest ids without a score compete.
     """
-    ids, few = index.docs.select("doc_id"), queries.select("query_id")
-    if negative:
-        plain = ids.crossJoin(F.broadcast(few))
-    else:
-        asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token"))
-        below = asked.join(index.terms.filter("idf < 0"), "token").select("query_id").distinct()
-        plain = few.crossJoin(F.broadcast(ids.distinct().orderBy("doc_id").limit(2 * k))).unionByName(ids.crossJoin(F.broadcast(below)).select("query_id", "doc_id"))
-    scored = _summed(bm25_parts(queries, index, **weights).unionByName(plain.withColumn("part", F.lit(0.0))), decimals)
-    return top(scored, [F.col("score").desc(), F.col("doc_id").asc()], k, ["query_id"])
+    queries = queries.select("query_id", "question")
+    row = index.stats.first()
+    avgdl = float(row["avgdl"] or 0.0) if row is not None else 0.0
+    asked = stored(queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")))
+    held, weighed = index.blocks(asked, avgdl)
+    below = weighed.select("query_id").distinct() if negative else weighed.filter("w < 0").select("query_id").distinct()
+    free = queries.select("query_id")
+    scored = []
+    if negative or not below.isEmpty():
+        free = free.join(below, "query_id", "left_anti") if not negative else free.limit(0)
+        others = queries.select("query_id") if negative else below
+        full = stored(all_scores(weighed.join(below, "query_id", "left_semi"), held, avgdl, decimals, dead=index.dead, **weights))
+        scored += [full, without(others, full, index.ids(), k).withColumn("score", F.lit(0.0))]
+        weighed = weighed.join(below, "query_id", "left_anti")
+    if not negative:
+        scored.append(Search(weighed, held, avgdl, k, decimals, rows_an_id=index.rows_an_id(), dead=index.dead, **weights).scores())
+        scored.append(free.crossJoin(F.broadcast(index.ids().distinct().orderBy("doc_id").limit(2 * k))).withColumn("score", F.lit(0.0)))
+    kind = queries.schema["query_id"].dataType
+    both = reduce(DataFrame.unionByName, (s.select(F.col("query_id").cast(kind), "doc_id", "score") for s in scored))
+    best = both.groupBy("query_id", "doc_id").agg(F.max_by("score", F.abs("score")).alias("score"))  # a real score before the 0 of a filler
+    return top(best, [F.col("score").desc(), F.col("doc_id").asc()], k, ["query_id"])
 
 
 def squared_l2(a: Column, b: Column) -> Column:

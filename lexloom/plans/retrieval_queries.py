@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed
 from lexloom.operators import answer as A, enrich as E, evaluate as V, index as I, retrieve as R, sections as S
+from lexloom.operators.segments import SegmentedIndex
 from lexloom.plans.adapter import documents
 from lexloom.plans.document_queries import SECTION_SQL
 from lexloom.plans.text_queries import strip
-from lexloom.session import spread, table
-from lexloom.sources import files
+from lexloom.session import shared_folder, spread, table
+from lexloom.sources import commits, files
 from lexloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -36,16 +34,6 @@ QUESTIONS = ((1, "the and thanedble of", 0), (2, "der die und Nicht aulich", 7),
 K = 10
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both write: the checkpoint folder that the cluster names, or one for tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="lexloom-")
-    return f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
-
-
 def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUESTIONS), "query_id int, question string, vec_id long")
 
@@ -179,6 +167,17 @@ def hybrid_search_every50(spark, sf_dir):
     return found.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
+@query("bm25_segments_every50", _asking(ORACLES["bm25_topk"], _ASKED_DOCUMENTS).replace("AS ts FROM documents)", "AS ts FROM documents WHERE doc_id % 7 <> 3)", 1))
+def bm25_segments_every50(spark, sf_dir):
+    """All documents in three segments of a stored index, less those that are deleted from it, answer as a rebuild."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = SegmentedIndex(spark, f"{shared_folder(spark)}/bm25")
+    for part in range(3):
+        index.add(spread(docs.filter(F.pmod("doc_id", F.lit(3)) == part)))
+    index.delete(docs.filter("doc_id % 7 = 3"))
+    return R.bm25_topk(document_queries(spark, sf_dir), index, K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _ranked(spark, sf_dir) -> DataFrame:
     """The first five of the BM25 lists with the columns that context and sources read."""
     best = R.bm25_topk(questions(spark), bm25(spark, sf_dir), 5).select("query_id", "doc_id", "rank")
@@ -500,7 +499,23 @@ def streaming_ingest(spark, sf_dir):
     for n in range(2):
         rows = ingest.follow(spark, f"{folder}/in", docs.schema)
         ingest.index_new(rows, f"{folder}/index", f"{folder}/state{n}", "doc_id").awaitTermination()
-    return spark.read.parquet(f"{folder}/index").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+    return commits.collection(spark, f"{folder}/index", docs.schema).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+
+
+@query(
+    "gold_load_twice",
+    """SELECT DISTINCT CASE WHEN turn % 2 = 0 THEN 'k' || conv_id || '_' || turn ELSE 'g' || conv_id || '.jsonl_line_' || turn END AS chunk_id,
+    '["a","b' || turn || '"]' AS keywords FROM conversations""",
+)
+def gold_load_twice(spark, sf_dir):
+    """Whole gold records, maps included, in two loads that overlap and a repeated one."""
+    rows = table(spark, sf_dir, "conversations")
+    lines = rows.select(F.expr(_GOLD).alias("value"), F.concat(F.lit("/gold/g"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), F.col("turn").alias("position"))
+    gold, path = I.gold_records(lines), f"{shared_folder(spark)}/gold"
+    commits.load(gold.filter("length(page_content) % 3 <> 0"), path, "first")
+    for batch in ("second", "second"):
+        commits.load(gold, path, batch)
+    return commits.collection(spark, path, gold.schema).select("chunk_id", F.col("metadata").getItem("keywords").alias("keywords"))
 
 
 @query("streaming_progress", "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL")

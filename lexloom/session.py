@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -51,6 +52,24 @@ def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name where driver and executors both write: below the checkpoint folder that the cluster names."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="lexloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in shared storage, so that later passes read and do not compute them, by the columns they name."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package: once per application, unless PYTHONPATH carries it already.
 

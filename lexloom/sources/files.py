@@ -41,6 +41,27 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A new named object; False, and nothing written, if there is one already."""
+    store, target = _file_system(spark, path)
+    try:
+        out = store.create(target, False)
+    except Exception as e:
+        if store.exists(target):
+            return False
+        raise e
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, target = _file_system(spark, path)
+    store.delete(target, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     write_bytes(spark, path, text.encode("utf-8"))
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lexloom.operators.index import append_index, only_new
-from lexloom.sources.files import key_exists
+from lexloom.sources.commits import load
 
 
 def follow(spark: SparkSession, folder: str, schema: T.StructType, format: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -19,13 +18,13 @@ def follow(spark: SparkSession, folder: str, schema: T.StructType, format: str =
 
 
 def index_new(rows: DataFrame, index_path: str, checkpoint: str, key: str = "chunk_id", prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Append what the index lacks and stop when the backlog is done. A repeated batch adds nothing."""
+    """Load what the index lacks and stop when the backlog is done; :func:`lexloom.sources.commits.collection` reads it.
 
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        made = prepare(df)
-        known = spark.read.parquet(index_path).select(key) if key_exists(spark, index_path) else spark.createDataFrame([], made.select(key).schema)
-        append_index(only_new(made, known, key), index_path)
+    A micro-batch is a committed load, so a repeated one adds nothing, and reads the buckets of its own keys only.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        load(prepare(df), index_path, f"{checkpoint}#{number}", key)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
