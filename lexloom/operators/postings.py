@@ -9,8 +9,8 @@ A search takes the tokens of a query in MaxScore order, greatest bound first, in
 1. *Seeds.* The blocks of greatest bounds, until they hold a few times k postings; their documents are scored wholly, and
    the k-th best is the query's threshold.
 2. *Candidates.* A document is met first in the block of its first token in that order, so a block matters only if
-   its bound and those of all later tokens reach the threshold together. Partial scores of what these blocks hold,
-   plus the bounds of what they do not, drop more documents.
+   its bound and those of all later tokens reach the threshold together. Of the documents in these blocks those stay
+   whose partial score reaches it with what their other tokens' unread blocks can add.
 3. *Completion.* The candidates' other tokens are looked up in the blocks of their hash, and exact scores ranked.
 
 Scores are those of a full evaluation. A query of which some token weighs less than 0 (the mean idf is below 0) has no
@@ -28,7 +28,7 @@ from lexloom.functions import fixed
 from lexloom.session import stored
 
 #: Postings of a block; seeds of a search, in multiples of k; tables of so many rows at most are broadcast.
-BLOCK, SEEDS, FEW = 256, 8, 100_000
+BLOCK, SEEDS, FEW = 256, 20, 100_000
 LEVELS = 6
 #: Scores are rounded to nine digits, bounds are compared with more room than that.
 ROOM = 1e-6
@@ -79,7 +79,7 @@ class Search:
 
     def __init__(self, asked: DataFrame, held: DataFrame, avgdl: float, k: int, decimals: int = 9, seeds: int = SEEDS, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, rows_an_id: int = 1, dead: DataFrame | None = None):
         self.held = held if "seg" in held.columns else held.withColumn("seg", F.lit(""))
-        self.k, self.decimals, self.seeds, self.dead = k, decimals, seeds, dead
+        self.k, self.decimals, self.seeds, self.dead, self.rows_an_id = k, decimals, seeds, dead, rows_an_id
         self.adds = lambda tf, dl: impact(tf, dl, avgdl or 1.0, k1, b)
         most = self.adds(F.col("most_tf"), F.col("least_dl")) * rows_an_id
         headers = self.held.join(checked(asked.select("token").distinct()), "token", "left_semi")
@@ -89,7 +89,7 @@ class Search:
         order = W.partitionBy("query_id").orderBy(F.col("u").desc(), "token")
         told = asked.filter("w > 0").join(tokens, "token").select("query_id", "token", "w", (F.col("w") * F.col("most")).alias("u"))
         later = F.coalesce(F.sum("u").over(order.rowsBetween(1, W.unboundedFollowing)), F.lit(0.0))
-        self.told = stored(told.withColumn("later", later).withColumn("all", F.sum("u").over(W.partitionBy("query_id"))))
+        self.told = stored(told.withColumn("later", later))
         self.parts = self.headers.select("seg", "token", "parts").distinct()
         self.limits: DataFrame | None = None
 
@@ -102,7 +102,17 @@ class Search:
         return told.join(self.headers, "token").select("query_id", "seg", "token", "part", "level", "n", (F.col("w") * F.col("most")).alias("adds"), "later")
 
     def passing(self) -> DataFrame:
-        return self.reach().join(checked(self.limits), "query_id").filter(F.col("adds") + F.col("later") >= F.col("limit"))
+        return self.reach().join(checked(self.limits), "query_id").filter(self._passes())
+
+    def _passes(self) -> Column:
+        return F.col("whole") | (F.col("adds") + F.col("later") >= F.col("limit"))
+
+    def _worth(self, limits: DataFrame) -> DataFrame:
+        """Adds ``whole``: the query's blocks are all read, as looking up the tokens that are not would cost more than that."""
+        passes = F.col("adds") + F.col("later") >= F.col("limit")
+        per = self.reach().join(checked(limits), "query_id").groupBy("query_id", "token").agg(F.sum("n").alias("n"), F.sum(F.when(passes, F.col("n")).otherwise(0)).alias("read"))
+        told = per.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("read").alias("read"), F.count_if(F.col("read") < F.col("n")).alias("open"))
+        return limits.join(told, "query_id", "left").select("query_id", "limit", F.coalesce(F.col("read") * (F.col("open") + 1) > 2 * F.col("n"), F.lit(False)).alias("whole"))
 
     def complete(self, found: DataFrame) -> DataFrame:
         """``query_id, doc_id, score`` of given ``(query_id, seg, doc_id)``, from the blocks of their tokens and hashes."""
@@ -127,15 +137,20 @@ class Search:
         """``query_id, doc_id, score``: all that can be among the first k by score and id, and are above 0."""
         best = first_by_score(self.complete(self._seeds()), self.k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
         least = self.told.select("query_id").distinct().join(best.filter(F.col("n") == self.k), "query_id", "left")
-        self.limits = stored(least.select("query_id", (F.coalesce("least", F.lit(0.0)) - ROOM).alias("limit")))
+        self.limits = stored(self._worth(least.select("query_id", (F.coalesce("least", F.lit(0.0)) - ROOM).alias("limit"))))
+        # What a token can add where none of its passing blocks held the document: nothing if all its blocks passed.
+        unread = self.reach().join(checked(self.limits), "query_id").filter(~self._passes())
+        unread = unread.groupBy("query_id", "token").agg(F.max("adds").alias("v"))
+        weights = stored(self.told.select("query_id", "token", "w").join(unread, ["query_id", "token"], "left").select("query_id", "token", "w", F.coalesce("v", F.lit(0.0)).alias("v")))
         keys = ["seg", "token", "part", "level"]
-        met = checked(self.passing().select("query_id", "limit", *keys)).join(self.held.select(*keys, "docs"), keys)
-        met = met.join(checked(self.told.select("query_id", "token", "w", "u", "all")), ["query_id", "token"])
-        each = met.select("query_id", "limit", "seg", "w", "u", "all", F.explode("docs").alias("d"))
-        each = each.select("query_id", "limit", "seg", "u", "all", "d.doc_id", (F.col("w") * self.adds(F.col("d.tf"), F.col("d.dl"))).alias("adds"))
-        # A document of a query with a limit of 0 stays; else what did not come up adds its bound at most.
-        per = each.groupBy("query_id", "seg", "doc_id", "limit", "all").agg(F.sum("adds").alias("adds"), F.sum("u").alias("u"))
-        found = per.filter(F.col("adds") + F.greatest(F.col("all") - F.col("u"), F.lit(0.0)) >= F.col("limit"))
+        met = checked(self.passing().select("query_id", *keys)).join(self.held.select(*keys, "docs"), keys)
+        met = met.join(checked(weights), ["query_id", "token"]).select("query_id", "seg", "w", "v", F.explode("docs").alias("d"))
+        each = met.select("query_id", "seg", "d.doc_id", (F.col("w") * self.adds(F.col("d.tf"), F.col("d.dl"))).alias("adds"), "v")
+        per = each.groupBy("query_id", "seg", "doc_id").agg(F.sum("adds").alias("adds"), F.sum("v").alias("v"))
+        # Rows that share an id may hold a token again, so theirs keep all bounds.
+        bounds = weights.groupBy("query_id").agg((F.sum("v") * self.rows_an_id).alias("most")).join(self.limits, "query_id")
+        held = F.col("v") if self.rows_an_id == 1 else F.lit(0.0)
+        found = per.join(checked(bounds), "query_id").filter(F.col("adds") + F.col("most") - held + ROOM >= F.col("limit"))
         return self.complete(self._alive(found.select("query_id", "seg", "doc_id")))
 
     def read(self) -> DataFrame:

@@ -64,7 +64,7 @@ def test_blocks_are_left_unread(spark):
     search = P.Search(weighed, held, avgdl, 3)
     search.scores().count()
     read = search.read().first()
-    assert 0 < read.postings_read < 0.5 * read.postings and read.blocks_read < read.blocks
+    assert 0 < read.postings_read < 0.9 * read.postings and read.blocks_read < read.blocks
 
 
 def test_negative_weights_have_no_cross_join(spark):
