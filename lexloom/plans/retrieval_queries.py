@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed
-from lexloom.operators import answer as A, enrich as E, evaluate as V, index as I, retrieve as R, sections as S
+from lexloom.operators import answer as A, cells, enrich as E, evaluate as V, index as I, retrieve as R, sections as S
 from lexloom.operators.segments import SegmentedIndex
 from lexloom.plans.adapter import documents
 from lexloom.plans.document_queries import SECTION_SQL
@@ -149,6 +149,13 @@ def knn_topk_every50(spark, sf_dir):
     return R.knn_topk(vector_queries(spark, sf_dir), spread(vectors(spark, sf_dir)), K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("knn_cells_every50", _asking(ORACLES["knn_topk"], _ASKED_VECTORS))
+def knn_cells_every50(spark, sf_dir):
+    """The exact mode of an index in cells."""
+    index = cells.CellIndex.build(spread(vectors(spark, sf_dir)), f"{shared_folder(spark)}/cells")
+    return index.exact(vector_queries(spark, sf_dir), K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("bm25_topk_every50", _asking(ORACLES["bm25_topk"], _ASKED_DOCUMENTS))
 def bm25_topk_every50(spark, sf_dir):
     return R.bm25_topk(document_queries(spark, sf_dir), bm25(spark, sf_dir), K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
