@@ -131,7 +131,7 @@ def events(answers: DataFrame, ranked_sources: DataFrame, words: int = 1) -> Ite
 
 
 def chat_state(events_table: DataFrame) -> DataFrame:
-    """Fold of ``conv_id, turn, role, text``: messages in order, blank ones not shown, a failed last answer gone."""
+    """Fold of ``conv_id, turn, role, text``: messages in order, blank ones not shown; partial answers before an error stay."""
     shown = events_table.filter(F.coalesce("text", F.lit("")) != "")
     rows = shown.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
     return rows.withColumn("n_messages", F.size("messages"))
