@@ -147,7 +147,7 @@ def test_html_regions():
         "<p>One<br>two   <b>bold</b>&nbsp;x<p>Three <a href=x>link</a>.<script>var a='<p>no</p>';</script><!-- c --><ul><li>i1<li>i2</ul>"
         "<form>Sign up</form><aside>Advert</aside><footer>By me</footer><div class='comments'><p>First!</p></div></article></main><footer>&copy;</footer>"
     )
-    assert html_extract.extract(source) == "Title & more\n\nOne two bold x\n\nThree link.\n\ni1\n\ni2"
+    assert html_extract.extract(source) == "Title & more\n\nShare\n\nOne two bold x\n\nThree link.\n\ni1\n\ni2"
     assert html_extract.extract("plain &lt;text&gt; only") == "plain <text> only"
     assert html_extract.extract("") == ""
     assert html_extract.extract("<p>a<div>b</p>c</div><script>x") == "a\n\nb\n\nc"
@@ -164,11 +164,93 @@ def test_html_wrappers_named_after_neighbours():
     assert html_extract.extract(page("<div class=notice>Notice</div><div id=post><h2>T</h2><p>Body</p></div><div class=comments><p>No</p></div>")) == "T\n\nBody"
 
 
-def test_tree_matching():
-    a = ("#", (("div", ()), ("p", (("b", ()),)), ("ul", (("li", ()),))))
-    b = ("#", (("p", (("b", ()),)), ("ol", ()), ("ul", (("li", ()), ("li", ())))))
-    assert sorted(html_extract.tree_match(a, b)) == [(0, 0), (2, 1), (3, 2), (4, 4), (5, 5)] or len(html_extract.tree_match(a, b)) == 5
-    assert html_extract.tree_match(("x", ()), ("y", ())) == ()
+def test_article_keeps_links_and_class_words():
+    """Inside the article neither link share nor a class word drops text."""
+    menu, foot = "<nav><ul><li><a href=/>Menu</a></li></ul></nav>", "<footer>Foot</footer>"
+    linked = "<article><p>Text here.</p><p><a href=x>Annual report of the harbour office</a></p></article>"
+    assert html_extract.extract(page(menu + linked + foot)) == "Text here.\n\nAnnual report of the harbour office"
+    assert html_extract.extract(page(menu + "<article><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></article>" + foot)) == "One\n\nTwo"
+    named = "<article><p>Text.</p><p class='legal'>Law.</p><div class='banner-story'>Story.</div><div class=comments>First!</div></article>"
+    assert html_extract.extract(page(menu + named + foot)) == "Text.\n\nLaw.\n\nStory."
+
+
+def test_hosts_of_link_lists(spark):
+    """Articles that are lists of links stay on a host where all are; so does a paragraph that is a link on every page."""
+    items = lambda i: "".join(f"<li><a href=/{i}/{j}>item {i} {j}</a></li>" for j in range(9))
+    rows = [(i, f"http://l.example/{i}", page(f"<nav><a href=/>Home</a></nav><article><ul>{items(i)}</ul></article>")) for i in range(8)]
+    rows += [(20 + i, f"http://p.example/{i}", page(f"<article><p>{f'own{i} ' * 30}</p><p><a href=/{i}>Report {i}</a></p></article>")) for i in range(8)]
+    found = _induced(spark, rows)
+    assert all(found[i] == "\n\n".join(f"item {i} {j}" for j in range(9)) for i in range(8))
+    assert all(found[20 + i].endswith(f"own{i}\n\nReport {i}") for i in range(8))
+
+
+def best_matching(page_tree, tree):
+    """Nodes that a largest matching pairs, equal texts counted once more, by trying every alignment of children."""
+    from functools import cache
+
+    @cache
+    def lists(x, y):
+        if not x or not y:
+            return 0
+        return max(lists(x[1:], y), lists(x, y[1:]), score(x[0], y[0]) + lists(x[1:], y[1:]) if x[0][0] == y[0][0] else 0)
+
+    def score(x, y):
+        return 1 + (x[1] == y[1] != "") + lists(x[2], y[2])
+
+    return score(page_tree, tree)
+
+
+def shape_of(tree):
+    """A tree of (label, text, children) as one of the operator's."""
+    source = lambda t: f"<{t[0]}>{t[1]}{''.join(map(source, t[2]))}</{t[0]}>"
+    return html_extract.Shape.of(html_extract.Page("".join(map(source, tree[2]))))
+
+
+def test_tree_matching_against_all_alignments():
+    import random
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        return (rng.choice(("div", "section", "main")), rng.choice(("", "a", "b")), tuple(tree(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ())
+
+    for _ in range(200):
+        a, b = (("#", "", tree(3)[2]) for _ in range(2))
+        x, y = shape_of(a), html_extract.Wrapper()
+        y.grow(shape_of(b))
+        found = y.match(x)
+        parent = {c: k for k, own in enumerate(x.children) for c in own}
+        above = {c: k for k, own in enumerate(y.children) for c in own}
+        assert len(set(found.values())) == len(found) and all(x.labels[i] == y.labels[j] for i, j in found.items())
+        assert all(i == 0 or found[parent[i]] == above[j] for i, j in found.items())
+        for k in found:
+            own = [found[c] for c in x.children[k] if c in found]
+            assert own == sorted(own, key=y.children[found[k]].index)
+        worth = sum(1 + bool(x.texts[i] and x.texts[i][0] in y.texts[j]) for i, j in found.items())
+        assert worth == best_matching(a, b)
+
+
+def test_wrapper_grows_in_order():
+    """What a page has more is put where it stands; the page then matches whole."""
+    w = html_extract.Wrapper.grown([html_extract.Page(x) for x in ("<h1>t</h1><p>a</p><p>End</p>", "<h1>u</h1><div>n</div><p>b</p><ul><li>i</ul><p>End</p>", "<p>c</p><p>d</p><p>End</p>")])
+    assert [w.labels[k] for k in w.children[0]] == ["h1", "div", "p", "ul", "p", "p"] or [w.labels[k] for k in w.children[0]] == ["h1", "div", "p", "p", "ul", "p"]
+    for source in ("<h1>u</h1><div>n</div><p>b</p><ul><li>i</ul><p>End</p>", "<p>c</p><p>d</p><p>End</p>"):
+        shape = html_extract.Shape.of(html_extract.Page(source))
+        assert len(w.match(shape)) == len(shape.labels)
+    again = html_extract.Wrapper.loads(w.dumps())
+    assert again.children == w.children and again.texts == w.texts
+    assert html_extract.Wrapper.grown([]).match(shape) == {}
+
+
+def test_long_lists_of_children_match_in_order():
+    """Beyond the table's bound children pair in order; up to it, standing text finds its place."""
+    many = "".join(f"<p>own {j}</p>" for j in range(2300))
+    w = html_extract.Wrapper.grown([html_extract.Page(many)])
+    other = html_extract.Shape.of(html_extract.Page("<div>x</div>" + many.replace("own", "new")))
+    assert len(w.match(other)) == 2301
+    w = html_extract.Wrapper.grown([html_extract.Page("<p>a</p><p>House line</p>")])
+    found = w.match(html_extract.Shape.of(html_extract.Page("".join(f"<p>z{j}</p>" for j in range(3000)) + "<p>House line</p>")))
+    assert w.texts[found[3001]] == w.texts[2]
 
 
 def test_wrapper_induction(spark):
@@ -279,25 +361,6 @@ def test_hosts_in_salted_parts(spark):
     assert {r.page_id: r.text for r in html_extract.extract_pages(pages, 0).collect()} == one
 
 
-def test_matched_nodes_share_a_slot():
-    """Simple tree matching never pairs what slots keep apart."""
-    import random
-
-    rng = random.Random(4)
-
-    def tree(depth):
-        return (rng.choice("abc"), tuple(tree(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ())
-
-    def paths(t, top=""):
-        own = f"{top}/{t[0]}"
-        return [own] + [p for c in t[1] for p in paths(c, own)]
-
-    for _ in range(200):
-        a, b = ("#", tree(3)[1]), ("#", tree(3)[1])
-        left, right = paths(a), paths(b)
-        assert all(left[i] == right[j] for i, j in html_extract.tree_match(a, b))
-
-
 def test_html_against_plain_parser(spark):
     pages = table(spark, SMALL, "pages")
     wanted = {r.page_id: article(r.html) for r in pages.collect()}
