@@ -8,9 +8,10 @@ Greedy parsing restarts at the root, so automaton and restart fold into one tabl
 phrases ended). numpy walks many texts through all languages at once, one symbol of each text a step, longest texts
 first; when few texts are left their rest is walked one by one. Whole texts, and no phrase is ever cut.
 
-Learning sees a bounded sample: per language at most ``DOCUMENTS`` labelled documents, those with the least hashes of
-id among the least of ``CLASSES`` classes, the first ``LONGEST`` code points of each and ``CHARACTERS`` of all, until
-``REFERENCE`` symbols. Repeated documents count once. Every letter of the sample is a symbol of its own; the table is
+Learning sees a bounded sample of labelled rows, whole texts all of them: per language at most ``DOCUMENTS``, in order
+of the hashes of their ids (the least of each of ``CLASSES`` classes), of at most ``LONGEST`` code points each and
+``CHARACTERS`` together; a language with longer documents only is learned from its shortest one, whole, whose length is
+then the one bound on its table. Repeated documents count once. Every letter of the sample is a symbol of its own; the table is
 dense for the ``ALPHABET`` most frequent and sparse for the others. Only text and label are used. Driver and workers
 hold the sample, a few hundred kilobytes per language; workers build the tables.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-DOCUMENTS, LONGEST, CHARACTERS, REFERENCE = 64, 50_000, 240_000, 60_000
+DOCUMENTS, LONGEST, CHARACTERS = 64, 16_000, 64_000
 CLASSES = 256
 ALPHABET = 61
 #: Symbols walked together, and the number of texts below which they are walked singly.
@@ -57,15 +58,18 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     told = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     told = told.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     told = told.filter(F.length("text") >= 1).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("th", F.xxhash64("text"))
+    # Documents within the bound come first, by hash; beyond it, the shortest.
+    told = told.withColumn("n", F.length("text").cast("long")).withColumn("long", F.when(F.col("n") > LONGEST, F.col("n")).otherwise(0))
     # The least of each class, so repeated rows meet map-side and a language ships CLASSES short rows a task at most.
-    least = told.groupBy("lang", F.pmod("h", F.lit(CLASSES)).alias("class")).agg(F.min(F.struct("h", "doc_id", "th", F.length("text").alias("n"))).alias("x"))
-    order = W.partitionBy("lang").orderBy("x.h", "x.doc_id", "x.th")
-    before = F.coalesce(F.sum(F.least("x.n", F.lit(LONGEST))).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    picked = least.withColumn("place", F.row_number().over(order)).withColumn("before", before).filter((F.col("place") <= DOCUMENTS) & (F.col("before") < CHARACTERS))
+    least = told.groupBy("lang", F.pmod("h", F.lit(CLASSES)).alias("class")).agg(F.min(F.struct("long", "h", "doc_id", "th", "n")).alias("x"))
+    order = W.partitionBy("lang").orderBy("x.long", "x.h", "x.doc_id", "x.th")
+    place, upto = F.row_number().over(order), F.sum("x.n").over(order.rowsBetween(W.unboundedPreceding, 0))
+    fits = (F.col("place") <= DOCUMENTS) & (F.col("upto") <= CHARACTERS) & (F.col("x.long") == 0)
+    picked = least.withColumn("place", place).withColumn("upto", upto).filter((F.col("place") == 1) | fits)
     picked = picked.select("lang", "x.doc_id", "x.h", "x.th")
     few = picked.select("lang").distinct().count() <= MANY_LANGUAGES
-    rows = told.drop("h").join(F.broadcast(picked) if few else picked, ["lang", "doc_id", "th"])
-    rows = rows.groupBy("lang", "h", "th").agg(F.first(F.substring("text", 1, LONGEST)).alias("text")).collect()
+    rows = told.drop("h", "n", "long").join(F.broadcast(picked) if few else picked, ["lang", "doc_id", "th"])
+    rows = rows.groupBy("lang", "h", "th").agg(F.first("text").alias("text")).collect()
     found: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
         if row["text"] not in (own := found.setdefault(row["lang"], [])):
@@ -121,7 +125,7 @@ class Parser:
         sparse: dict[int, int] = {}
         base = 0
         for _, texts in samples:
-            reference = np.concatenate([self.symbols(t) for t in texts] or [np.empty(0, np.int32)])[:REFERENCE]
+            reference = np.concatenate([self.symbols(t) for t in texts] or [np.empty(0, np.int32)])
             steps = _automaton(reference.tolist())
             table = self._fold(steps, base)
             sparse.update(((base + state) * self.most + s, 4 * (base + to)) for state, moves in enumerate(steps) for s, to in moves.items() if s >= self.size)
