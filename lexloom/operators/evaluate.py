@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed
@@ -66,6 +67,40 @@ def write_evaluation(samples: DataFrame, scores: DataFrame, folder: str) -> None
     write_text(spark, f"{folder}/summary.json", summary(scores, written))
 
 
+def context_precision(verdicts: DataFrame) -> DataFrame:
+    """``query_id, metric, value`` from ``query_id, rank, verdict``: the mean, over the useful contexts, of the useful share up to each.
+
+    Nulls count as useless; 0 where no context is useful. A window holds one query's list of contexts.
+    """
+    useful = F.coalesce(F.col("verdict").cast("double"), F.lit(0.0))
+    upto = F.avg("v").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+    rows = verdicts.select("query_id", "rank", useful.alias("v")).withColumn("p", upto)
+    value = F.when(F.sum("v") > 0, F.sum(F.col("p") * F.col("v")) / F.sum("v")).otherwise(0.0)
+    return rows.groupBy("query_id").agg(value.alias("value")).select("query_id", F.lit("context_precision").alias("metric"), "value")
+
+
+def supported_share(statements: DataFrame, metric: str) -> DataFrame:
+    """``query_id, metric, value`` from ``query_id, statement_id, context_id, supported``: statements that some context supports.
+
+    Over statements of the answer this is ``faithfulness``, over those of the truth ``context_recall``; null is no support.
+    """
+    told = F.max(F.coalesce(F.col("supported").cast("int"), F.lit(0))).alias("s")
+    each = statements.groupBy("query_id", "statement_id").agg(told)
+    return each.groupBy("query_id").agg(F.avg("s").alias("value")).select("query_id", F.lit(metric).alias("metric"), "value")
+
+
+def answer_relevancy(generated: DataFrame) -> DataFrame:
+    """``query_id, metric, value`` from ``query_id, question, generated, noncommittal``: mean cosine of both vectors, evasive ones at 0.
+
+    A vector of length 0, or one that is null, has cosine 0.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
+    length = F.sqrt(dot("question", "question") * dot("generated", "generated"))
+    evasive = F.coalesce(F.col("noncommittal").cast("boolean"), F.lit(False))
+    cosine = F.when(~evasive & (length > 0), dot("question", "generated") / length).otherwise(0.0)
+    return generated.groupBy("query_id").agg(F.avg(cosine).alias("value")).select("query_id", F.lit("answer_relevancy").alias("metric"), "value")
+
+
 def metric_means(scores: DataFrame, decimals: int = 6) -> DataFrame:
     """``metric, mean, n`` over values that are numbers."""
     fit = scores.filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -90,4 +125,4 @@ def usage_summary(responses: DataFrame, by: tuple[str, ...] = ("model", "use_cas
     return told.groupBy(*by).agg(F.count("*").alias("calls"), shown("tokens_in").alias("tokens_in"), shown("tokens_out").alias("tokens_out"))
 
 
-__all__ = ["dataset", "judge", "metric_means", "repaired", "summary", "token_usage", "truth", "usage_summary", "verdict", "write_evaluation"]
+__all__ = ["answer_relevancy", "context_precision", "dataset", "judge", "metric_means", "repaired", "summary", "supported_share", "token_usage", "truth", "usage_summary", "verdict", "write_evaluation"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -343,6 +345,33 @@ def eval_metric_mean(spark, sf_dir):
     return V.metric_means(scores)
 
 
+_VERDICTS = "SELECT doc_id // 8 AS query_id, doc_id % 8 AS rank, coalesce(quality, 0)::DOUBLE AS v, coalesce(toxic, 0) AS t FROM labels"
+
+
+@query(
+    "eval_metrics",
+    f"""WITH l AS ({_VERDICTS}), p AS (SELECT *, avg(v) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS p FROM l),
+    s AS (SELECT query_id, rank % 4 AS statement_id, max(v) AS s, max(t) AS t FROM l GROUP BY ALL),
+    d AS (SELECT g.vec_id // 8 AS query_id, list_dot_product(q.embedding::DOUBLE[], g.embedding::DOUBLE[]) AS ab, sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(g.embedding::DOUBLE[], g.embedding::DOUBLE[])) AS n, g.vec_id
+      FROM embeddings g JOIN embeddings q ON q.vec_id = g.vec_id // 8 * 8),
+    m AS (SELECT query_id, 'context_precision' AS metric, CASE WHEN sum(v) > 0 THEN sum(p * v) / sum(v) ELSE 0 END AS value FROM p GROUP BY query_id
+      UNION ALL SELECT query_id, 'faithfulness', avg(s) FROM s GROUP BY query_id UNION ALL SELECT query_id, 'context_recall', avg(t) FROM s GROUP BY query_id
+      UNION ALL SELECT query_id, 'answer_relevancy', avg(CASE WHEN vec_id % 5 <> 0 AND n > 0 THEN ab / n ELSE 0 END) FROM d GROUP BY query_id)
+    SELECT metric, round(avg(value), 6) AS mean, count(*) AS n FROM m GROUP BY metric""",
+)
+def eval_metrics(spark, sf_dir):
+    """The four metrics, from judges' verdicts that the labels stand for and questions that the vectors stand for."""
+    eight = F.floor(F.col("doc_id") / 8).alias("query_id")
+    labels = table(spark, sf_dir, "labels").select(eight, (F.col("doc_id") % 8).alias("rank"), "quality", "toxic")
+    stated = lambda c: labels.select("query_id", (F.col("rank") % 4).alias("statement_id"), F.col("rank").alias("context_id"), F.col(c).alias("supported"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 8).alias("query_id"), "embedding")
+    asked = vectors.filter("vec_id % 8 = 0").select("query_id", F.col("embedding").alias("question"))
+    made = vectors.select("query_id", F.col("embedding").alias("generated"), (F.col("vec_id") % 5 == 0).alias("noncommittal")).join(asked, "query_id")
+    parts = [V.context_precision(labels.withColumnRenamed("quality", "verdict")), V.supported_share(stated("quality"), "faithfulness")]
+    parts += [V.supported_share(stated("toxic"), "context_recall"), V.answer_relevancy(made)]
+    return V.metric_means(reduce(DataFrame.unionByName, parts))
+
+
 @query(
     "eval_dataset",
     f"""WITH {_RANKED} SELECT v.query_id, v.question, 'respuesta' AS answer, list(page_content ORDER BY rank) AS contexts, CASE WHEN v.query_id <> 2 THEN 'verdad ' || v.query_id END AS ground_truth
