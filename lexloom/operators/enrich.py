@@ -179,13 +179,22 @@ def json_text(reply: Column) -> Column:
 CHUNK_FACTS = "struct<summary:string,keywords:array<string>,entities:array<struct<type:string,text:string>>>"
 
 
+def chunk_prompt(columns: Sequence[str], text: str = "page_content") -> Column:
+    """The metadata lines of a chunk and its text."""
+    meta = F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("source", "title", "section_name", "section_heading") if c in columns))
+    return F.concat_ws("\n\n", meta, F.col(text))
+
+
+def chunk_facts(told: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` and what ``__reply`` says of a chunk."""
+    facts = F.from_json(json_text(F.col("__reply")), CHUNK_FACTS)
+    return told.withColumn("__f", facts).select(*columns, "__f.summary", "__f.keywords", "__f.entities", F.col("__reply_error").alias("enrich_error"))
+
+
 def enrich_chunks(chunks: DataFrame, provider: Provider | None = None, calls_per_minute: int | None = None, text: str = "page_content", tries: int = 1) -> DataFrame:
     """Adds ``summary, keywords, entities``; null where the call or its reply fails."""
-    meta = F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("source", "title", "section_name", "section_heading") if c in chunks.columns))
-    asked = chunks.withColumn("__prompt", F.concat_ws("\n\n", meta, F.col(text)))
-    told = generate(asked, "__prompt", "__reply", provider, calls_per_minute, tries=tries)
-    facts = F.from_json(json_text(F.col("__reply")), CHUNK_FACTS)
-    return told.withColumn("__f", facts).select(*chunks.columns, "__f.summary", "__f.keywords", "__f.entities", F.col("__reply_error").alias("enrich_error"))
+    asked = chunks.withColumn("__prompt", chunk_prompt(chunks.columns, text))
+    return chunk_facts(generate(asked, "__prompt", "__reply", provider, calls_per_minute, tries=tries), chunks.columns)
 
 
 def expanded_query(reply: Column, question: Column) -> Column:

@@ -6,16 +6,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lexloom.functions import fixed
-from lexloom.operators import answer as A, cells, enrich as E, evaluate as V, index as I, retrieve as R, sections as S
+from lexloom.operators import answer as A, cells, enrich as E, evaluate as V, index as I, ledger, retrieve as R, sections as S
 from lexloom.operators.segments import SegmentedIndex
 from lexloom.plans.adapter import documents
 from lexloom.plans.document_queries import SECTION_SQL
 from lexloom.plans.text_queries import strip
 from lexloom.session import shared_folder, spread, table
 from lexloom.sources import commits, files
-from lexloom.streaming import ingest
+from lexloom.streaming import chat, ingest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -404,6 +406,17 @@ def enrich_chunks(spark, sf_dir):
     return E.enrich_chunks(docs).drop("page_content")
 
 
+@query("enrich_files", ORACLES["enrich_chunks"])
+def enrich_files(spark, sf_dir):
+    """The chunks of all documents, a file a document, in two runs: the second finds the first one's replies and files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("page_content"))
+    folder = shared_folder(spark)
+    ledger.enrich_files(docs.filter("length(page_content) % 2 = 0"), folder, file="doc_id", key="doc_id")
+    ledger.enrich_files(docs, folder, file="doc_id", key="doc_id")
+    done = ledger.enriched(spark, folder, docs.schema)
+    return done.select("doc_id", "source", "summary", "keywords", "entities", F.lit(None).cast("string").alias("enrich_error"))
+
+
 @query("embed_offline", "SELECT doc_id, 64 AS dimensions, CASE WHEN regexp_matches(text, '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
 def embed_offline(spark, sf_dir):
     made = E.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
@@ -559,3 +572,79 @@ def streaming_progress(spark, sf_dir):
     """The windowed counts of the stream, over the table's files as one backlog."""
     events = table(spark, sf_dir, "events").select("ts", "event_type")
     return ingest.progress(events).select("event_type", F.col("w.start").alias("start"), "n")
+
+
+@query(
+    "streaming_windows",
+    """SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""",
+)
+def streaming_windows(spark, sf_dir):
+    """Windowed counts in append mode: the windows that the watermark has passed when the backlog is done."""
+    schema = table(spark, sf_dir, "events").schema
+    folder = shared_folder(spark)
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("ts", "event_type")
+    ingest.backlog(ingest.closed_windows(events), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(T.StructType([schema["event_type"], T.StructField("start", schema["ts"].dataType), T.StructField("n", T.LongType())])).parquet(f"{folder}/out")
+
+
+@query(
+    "observed_load",
+    "SELECT count(*) AS n_rows, count(*) FILTER (length(trim(text)) > 0) AS with_text, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents",
+)
+def observed_load(spark, sf_dir):
+    """The figures of a streamed load, taken as its rows pass and told by a listener, summed over its batches."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder, figures = shared_folder(spark), "rows long, with_text long, chars long"
+    docs.write.parquet(f"{folder}/in")
+    log = ingest.ProgressLog(spark, f"{folder}/progress", "load")
+    spark.streams.addListener(log)
+    try:
+        rows = ingest.follow(spark, f"{folder}/in", docs.schema, files_per_batch=100)
+        told = ingest.counted(rows, "load", with_text=F.count_if(F.length(F.trim("text")) > 0), chars=F.sum(F.length(F.coalesce("text", F.lit("")))))
+        log.finish(ingest.backlog(told, f"{folder}/table", f"{folder}/state"))
+    finally:
+        spark.streams.removeListener(log)
+    return log.rows(figures).agg(F.sum("rows").alias("n_rows"), F.sum("with_text").alias("with_text"), F.sum("chars").alias("chars"))
+
+
+def chat_events(rows: DataFrame) -> DataFrame:
+    """Conversations as the events of a server: questions, then words, sources and an end, an error for every seventh length."""
+    said = rows.filter("role IN ('user', 'assistant')").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    words = F.split("text", " ", -1)
+    last = F.size(words) - 1
+    end = F.struct(F.when(F.length("text") % 7 == 0, "error").otherwise("done").alias("kind"), F.lit("no").alias("text"))
+    links = F.struct(F.lit("sources").alias("kind"), F.concat(F.lit("n"), F.length("text").cast("string")).alias("text"))
+    pieces = F.transform(words, lambda w, i: F.struct(F.lit("token").alias("kind"), F.when(i < last, F.concat(w, F.lit(" "))).otherwise(w).alias("text")))
+    told = F.when(F.col("role") == "user", F.array(F.struct(F.lit("user").alias("kind"), F.col("text").alias("text")))).otherwise(F.concat(pieces, F.array(links, end)))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    size = F.when(F.col("role") == "user", 1).otherwise(last + 3).cast("long")
+    start = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    events = said.withColumn("start", start).select("conv_id", "start", F.posexplode(told).alias("at", "e"))
+    return events.select("conv_id", (F.col("start") + F.col("at")).alias("seq"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("ts"), "e.kind", "e.text")
+
+
+_CHAT = r"""WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant') AND conv_id IS NOT NULL),
+    o AS (SELECT *, row_number() OVER w AS k, coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE len(string_split(text, ' ')) + 2 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seq
+        FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    x AS (SELECT *, lead(role) OVER w AS next, lead(text) OVER w AS reply FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+    s AS (SELECT *, CASE WHEN next IS NULL THEN 'expired' WHEN next = 'user' THEN 'cut' WHEN length(reply) % 7 = 0 THEN 'error' ELSE 'done' END AS status FROM x WHERE role = 'user')
+    SELECT conv_id, seq, text AS question, CASE status WHEN 'done' THEN reply WHEN 'cut' THEN '' END AS answer, CASE WHEN status = 'done' THEN 'n' || length(reply) END AS sources,
+    status, CASE WHEN status = 'error' THEN 'no' END AS detail FROM s"""
+
+
+@query("chat_fold", _CHAT)
+def chat_fold(spark, sf_dir):
+    return chat.fold_table(chat_events(table(spark, sf_dir, "conversations")))
+
+
+@query("chat_stream", f"SELECT * FROM ({_CHAT}) WHERE status <> 'expired'")
+def chat_stream(spark, sf_dir):
+    """The same events in two halves, each with every other event, the stream being started again between them."""
+    events = chat_events(table(spark, sf_dir, "conversations"))
+    folder = shared_folder(spark)
+    for half in range(2):
+        events.filter(F.col("seq") % 2 == 1 - half).write.mode("append").parquet(f"{folder}/in")
+        rows = ingest.follow(spark, f"{folder}/in", events.schema)
+        ingest.backlog(chat.fold_stream(rows), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(chat.fold_table(events).schema).parquet(f"{folder}/out")
