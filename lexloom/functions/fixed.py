@@ -13,7 +13,7 @@ OCR_CORRECTIONS = (
     (r"ci6n\b", "ción"),
     (r"([A-Za-záéíóúüñÁÉÍÓÚÜÑ])6n\b", "$1ón"),
     (r"([A-Za-záéíóúüñÁÉÍÓÚÜÑ])6s\b", "$1ós"),
-    (r"([a-záéíóúüñ])6([a-záéíóúüñ])", "$1ó$2"),
+    (r"([a-záéíóúüñ])6(?=[a-záéíóúüñ])", "$1ó"),
     (r"\b0([a-záéíóúüñ])", "o$1"),
     (r"([a-záéíóúüñ])0\b", "$1o"),
     (r"\bl([0O])s\b", "los"),

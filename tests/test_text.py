@@ -35,6 +35,7 @@ GOLDEN = [
     (T.classify_heading, "Puntualmente las conclusiones", None),
     (T.classify_heading, "RESUELVE:", 4),
     (T.fix_ocr_chars, "concesi6n raz6n interés6s l0s pr0ceso 0bra ![ci6n](a/ci6n.png) obligaci6nes", "concesión razón interésós los proceso obra ![ci6n](a/ci6n.png) obligaciones"),
+    (T.fix_ocr_chars, "token e6f6a b6c6d6e 6a6", "token eófóa bócódóe 6a6"),
     (T.remove_footnote_numbers, "jurisdicción14 contestó 6 a la ley 12 y el artículo 5, ley12", "jurisdicción contestó a la ley 12 y el artículo 5, ley12"),
     (T.remove_footnote_numbers, "INVEMAR) 13 en 20228 y 2021 32 , CPT-CAM-012-21 34", "INVEMAR) en 2022 y 2021 , CPT-CAM-012-21"),
     (T.remove_footnote_numbers, "valor 60 y 12345", "valor 60 y 12345"),
