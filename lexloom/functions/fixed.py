@@ -263,10 +263,10 @@ CONTEXT_LINES = (
 
 #: Numbers of footnotes after brackets, years and case numbers, in the order of their removal.
 FOOTNOTE_NUMBERS = (
-    r"([)\]’”'\"])\s+\d{1,2}(?=\s|[.,;:!?\)\]]|$)",
-    r"\b(1[89]\d\d|20\d\d)\d\b(?!\d)",
-    rf"(\b(?:1[89]\d\d|20\d\d))\s+\d{{1,2}}(?=\s*[.,;:!?\)\]]|\s+[{LOWER_LETTERS}]|\s*$)",
-    r"(\b[A-Z][\w-]*-\d{2,4})\s+\d{1,2}(?=\s|[.,;:!?\)\]]|$)",
+    (r"([)\]’”'\"])\s+\d{1,2}(\s|[.,;:!?\)\]]|$)", "$1$2", 2),
+    (r"\b(1[89]\d\d|20\d\d)\d\b(?!\d)", "$1", 1),
+    (rf"(\b(?:1[89]\d\d|20\d\d))\s+\d{{1,2}}(?=\s*[.,;:!?\)\]]|\s+[{LOWER_LETTERS}]|\s*$)", "$1", 1),
+    (r"((?:^|[^\pL\pN_])[A-Z][\w-]*-\d{2,4})\s+\d{1,2}(\s|[.,;:!?\)\]]|$)", "$1$2", 2),
 )
 
 #: Page numbers inside running titles.

@@ -165,6 +165,11 @@ FOOTNOTES = [
     ("caso123", "caso123"),
     ("(sala 7)", "(sala)"),
     ("sala 12, caso 3; fin", "sala, caso; fin"),
+    ("ver folio 12 22.249.23", "ver folio.249.23"),
+    ("caso 7 8 9 fin", "caso 9 fin"),
+    ("caso 7 60", "caso 60"),
+    ("ley 7 8 9", "ley 7 8 9"),
+    ("sala) 12 34 56, CPT-012-21 34 55.", "sala) 56, CPT-012-21."),
     ("numeral  7", "numeral  7"),
     ("caso  7 fin", "caso fin"),
     ("LEY12 Sala12", "LEY12 Sala"),
