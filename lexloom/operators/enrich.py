@@ -47,6 +47,8 @@ class OfflineProvider:
             for token in text.split():
                 h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
                 vector[h % self.dimensions] += 1.0 if h >> 63 else -1.0
+            if not any(vector) and text.strip("\t\n\f\r "):  # tokens that cancel out, or rarer white space only
+                vector[int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") % self.dimensions] = 1.0
             norm = sum(x * x for x in vector) ** 0.5 or 1.0
             out.append([x / norm for x in vector])
         return out

@@ -409,3 +409,8 @@ def test_plans_avoid_full_cross_joins(spark):
     for name in ("bm25_topk", "hybrid_search", "incremental_anti_join"):
         plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan
+
+
+def test_embedding_of_tokens_that_cancel_out():
+    made = E.OfflineProvider().embed(["g i", "\x0b", "uno dos", " \n", ""])
+    assert [round(sum(x * x for x in v), 6) for v in made] == [1, 1, 1, 0, 0]
