@@ -49,6 +49,15 @@ class Bm25Index:
         Where nothing is stored, the tokens go to the occurrences and only theirs are counted and shuffled, once; the
         corpus's mean idf, which needs all tokens, is counted only where a token's own is negative.
         """
+        near, terms, weighed = self._asked(asked)
+        return stored(blocks(near, terms, avgdl or 1.0)), weighed
+
+    def found(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The postings ``token, doc_id, tf, dl`` of the asked tokens, and ``query_id, token, w``."""
+        near, _, weighed = self._asked(asked)
+        return near, weighed
+
+    def _asked(self, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         wanted = asked.select("token").distinct()
         if self.occurrences is None:
             near = self.postings.join(checked(wanted, MANY_TOKENS), "token", "left_semi")
@@ -59,7 +68,7 @@ class Bm25Index:
             terms = self._terms_of(wanted)
         terms = stored(terms.select("token", "df", "idf"))
         weighed = asked.join(terms, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("w"))
-        return stored(blocks(near, terms, avgdl or 1.0)), weighed
+        return near, terms, weighed
 
     def _terms_of(self, wanted: DataFrame) -> DataFrame:
         n = self.stats.first()["n"]

@@ -13,6 +13,9 @@ A search takes the tokens of a query in MaxScore order, greatest bound first, in
    whose partial score reaches it with what their other tokens' unread blocks can add.
 3. *Completion.* The candidates' other tokens are looked up in the blocks of their hash, and exact scores ranked.
 
+Where queries are many, most postings are wanted by some query, and pairs of query and posting are what costs: then
+:func:`chunk_scores` deals documents into chunks, each meets all queries in one group and sends on the first k a query.
+
 Scores are those of a full evaluation. A query of which some token weighs less than 0 (the mean idf is below 0) has no
 upper bounds; it is scored over all its postings, and documents without any of its tokens, which score 0, come from the
 gaps between those that have some.
@@ -20,6 +23,10 @@ gaps between those that have some.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,6 +37,8 @@ from lexloom.session import stored
 #: Postings of a block; seeds of a search, in multiples of k; tables of so many rows at most are broadcast.
 BLOCK, SEEDS, FEW = 256, 20, 100_000
 LEVELS = 6
+#: Documents of a chunk at most, and least where there are cores for more chunks; queries that meet a chunk at once.
+CHUNK, SMALL_CHUNK, AT_ONCE = 32_768, 512, 100_000
 #: Scores are rounded to nine digits, bounds are compared with more room than that.
 ROOM = 1e-6
 
@@ -159,6 +168,73 @@ class Search:
         return self.reach().agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings")).crossJoin(read)
 
 
+def least(found: tuple[np.ndarray, ...], k: int, margin: float) -> tuple[np.ndarray, ...]:
+    """Of (query, distance, id) what can be among the first k by rounded distance and id, in order."""
+    q, d, ids = found
+    order = np.lexsort((ids, d, q))
+    q, d, ids = q[order], d[order], ids[order]
+    place = np.arange(len(q))
+    start = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], place, 0))
+    last = np.minimum(start + k - 1, len(q) - 1)
+    bound = np.where(q[last] == q, d[last] + margin, np.inf)
+    run = np.maximum.accumulate(np.where(np.r_[True, (q[1:] != q[:-1]) | (d[1:] != d[:-1])], place, 0))
+    keep = (d <= bound) & (place - run < k)
+    return q[keep], d[keep], ids[keep]
+
+
+def _best_of_chunk(k: int, margin: float):
+    """A chunk's postings ``t, doc_id, adds`` and queries ``query_id, own, w`` to what can be among a query's first k."""
+
+    def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        t, doc, adds = (postings[c].to_numpy() for c in ("t", "doc_id", "adds"))
+        ids, at = np.unique(doc, return_inverse=True)
+        order = np.lexsort((at, t))
+        t, at, adds = t[order], at[order], adds[order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (at[1:] != at[:-1])][: len(t)]
+        if not new.all():  # rows that share an id
+            adds, t, at = np.add.reduceat(adds, np.flatnonzero(new)), t[new], at[new]
+        names = asked["query_id"].combine_chunks().dictionary_encode()
+        query, own, w = names.indices.to_numpy(), asked["own"].to_numpy(), asked["w"].to_numpy()
+        order = np.lexsort((own, query))
+        query, own, w = query[order], own[order], w[order]
+        begin, end = np.searchsorted(t, own), np.searchsorted(t, own, "right")
+        found = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+        score, first = np.zeros(len(ids)), np.r_[np.flatnonzero(np.r_[True, query[1:] != query[:-1]][: len(query)]), len(query)]
+        for a, z in zip(first[:-1], first[1:], strict=True):
+            score[:] = 0.0
+            for j in range(a, z):
+                score[at[begin[j] : end[j]]] += w[j] * adds[begin[j] : end[j]]
+            bound = np.partition(score, len(score) - k)[len(score) - k] - margin if len(score) > k else 0.0
+            hit = np.flatnonzero((score >= bound) & (score > 0)) if bound > 0 else np.flatnonzero(score > 0)
+            found.append(least((np.full(len(hit), query[a]), -score[hit], ids[hit]), k, margin) if len(hit) > k else (np.full(len(hit), query[a]), -score[hit], ids[hit]))
+        q, d, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.Table.from_arrays([names.dictionary.take(pa.array(q, pa.int64())), pa.array(doc), pa.array(-d)], ["query_id", "doc_id", "score"])
+
+    return run
+
+
+def chunk_scores(asked: DataFrame, postings: DataFrame, n: int, avgdl: float, k: int, decimals: int = 9, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
+    """``query_id, doc_id, score``: all that can be among the first k by score and id, and are above 0, for many queries.
+
+    ``asked(query_id, token, w)``, no w below 0; ``postings(token, doc_id, tf, dl)`` of ``n`` documents with whole
+    numbers as ids. Chunks grow in number with the documents, not in size; a query sends at most k and its near ties from each.
+    """
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, math.ceil(n / CHUNK), min(4 * cores, math.ceil(n / SMALL_CHUNK)))
+    asked = stored(asked.filter("w > 0"))
+    parts = max(1, math.ceil(asked.select("query_id").distinct().count() / AT_ONCE))
+    names = stored(numbered(asked.select(F.col("token").alias("doc_id"))).select(F.col("doc_id").alias("token"), F.col("nth").alias("t")))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    adds = impact(F.col("tf"), F.col("dl"), avgdl or 1.0, k1, b)
+    own = postings.filter("doc_id IS NOT NULL").join(checked(names), "token").select("t", F.col("doc_id").cast("long").alias("doc_id"), adds.alias("adds"))
+    left = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).withColumn("part", every(parts))
+    right = asked.join(checked(names), "token").select("query_id", F.col("t").alias("own"), "w").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("chunk", every(chunks))
+    kind = asked.schema["query_id"].dataType.simpleString()
+    best = _best_of_chunk(k, 2 * 10.0**-decimals)
+    found = left.groupBy("chunk", "part").cogroup(right.groupBy("chunk", "part")).applyInArrow(best, f"query_id {kind}, doc_id long, score double")
+    return found.select("query_id", F.col("doc_id").cast(postings.schema["doc_id"].dataType).alias("doc_id"), F.round("score", decimals).alias("score"))
+
+
 def all_scores(asked: DataFrame, held: DataFrame, avgdl: float, decimals: int = 9, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, dead: DataFrame | None = None) -> DataFrame:
     """``query_id, doc_id, score`` over all postings, for weights of any sign."""
     held = held if "seg" in held.columns else held.withColumn("seg", F.lit(""))

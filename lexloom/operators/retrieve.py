@@ -13,10 +13,14 @@ from pyspark.sql import Window as W
 
 from lexloom.functions import fixed
 from lexloom.operators.index import Bm25Index, tokens
-from lexloom.operators.postings import Search, all_scores, without
+from lexloom.operators.postings import Search, all_scores, chunk_scores, least, without
 from lexloom.session import stored
 
 
+#: Queries up to which blocks of postings are read by bounds.
+FEW_QUERIES = 64
+
+
 def top(df: DataFrame, order: list[Column], k: int, by: list[str], rank: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank; partial limits run before the shuffle."""
     place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
@@ -26,7 +30,7 @@ def top(df: DataFrame, order: list[Column], k: int, by: list[str], rank: str = "
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, decimals: int = 9, negative: bool = False, **weights) -> DataFrame:
     """``query_id, doc_id, score, rank``; documents without a common token have score 0 and are eligible.
 
-    Ties go by doc_id. Queries of weights from 0 on read blocks of postings as far as these can matter (see
+    Ties go by doc_id. More than ``FEW_QUERIES`` queries meet the documents chunk by chunk. Fewer, of weights from 0 on, read blocks of postings as far as these can matter (see
     :mod:`lexloom.operators.postings`); of the many documents at 0 only the 2k smallest distinct ids need to compete, as at
     least k of these are at 0 where fewer than k score above it. Queries with a token of negative idf (the mean is
     below 0), or all of them with ``negative``, are scored over all postings, and the k smallest ids without a score compete.
@@ -35,18 +39,26 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, decimals: int = 9, n
     row = index.stats.first()
     avgdl = float(row["avgdl"] or 0.0) if row is not None else 0.0
     asked = stored(queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")))
-    held, weighed = index.blocks(asked, avgdl)
+    many = asked.select("query_id").distinct().limit(FEW_QUERIES + 1).count() > FEW_QUERIES and index.ids().schema["doc_id"].dataType.typeName() in ("long", "integer")
+    if many:
+        near, weighed = index.found(asked)
+        held, dead = near.select("token", F.array(F.struct("doc_id", "tf", "dl")).alias("docs")), None
+    else:
+        (held, weighed), dead = index.blocks(asked, avgdl), index.dead
     below = weighed.select("query_id").distinct() if negative else weighed.filter("w < 0").select("query_id").distinct()
     free = queries.select("query_id")
     scored = []
     if negative or not below.isEmpty():
         free = free.join(below, "query_id", "left_anti") if not negative else free.limit(0)
         others = queries.select("query_id") if negative else below
-        full = stored(all_scores(weighed.join(below, "query_id", "left_semi"), held, avgdl, decimals, dead=index.dead, **weights))
+        full = stored(all_scores(weighed.join(below, "query_id", "left_semi"), held, avgdl, decimals, dead=dead, **weights))
         scored += [full, without(others, full, index.ids(), k).withColumn("score", F.lit(0.0))]
         weighed = weighed.join(below, "query_id", "left_anti")
+    if not negative and many:
+        scored.append(chunk_scores(weighed, near, row["n"], avgdl, k, decimals, **weights))
+    elif not negative:
+        scored.append(Search(weighed, held, avgdl, k, decimals, rows_an_id=index.rows_an_id(), dead=dead, **weights).scores())
     if not negative:
-        scored.append(Search(weighed, held, avgdl, k, decimals, rows_an_id=index.rows_an_id(), dead=index.dead, **weights).scores())
         scored.append(free.crossJoin(F.broadcast(index.ids().distinct().orderBy("doc_id").limit(2 * k))).withColumn("score", F.lit(0.0)))
     kind = queries.schema["query_id"].dataType
     both = reduce(DataFrame.unionByName, (s.select(F.col("query_id").cast(kind), "doc_id", "score") for s in scored))
@@ -58,20 +70,6 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def _least(found: tuple[np.ndarray, ...], k: int, margin: float) -> tuple[np.ndarray, ...]:
-    """Of (query, distance, id) what can be among the first k by rounded distance and id, in order."""
-    q, d, ids = found
-    order = np.lexsort((ids, d, q))
-    q, d, ids = q[order], d[order], ids[order]
-    place = np.arange(len(q))
-    start = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], place, 0))
-    last = np.minimum(start + k - 1, len(q) - 1)
-    bound = np.where(q[last] == q, d[last] + margin, np.inf)
-    run = np.maximum.accumulate(np.where(np.r_[True, (q[1:] != q[:-1]) | (d[1:] != d[:-1])], place, 0))
-    keep = (d <= bound) & (place - run < k)
-    return q[keep], d[keep], ids[keep]
-
-
 def _nearest(asked: np.ndarray, k: int, margin: float):
     """Batches of ``doc_id, embedding`` to query number, id and exact distance of what can be among the first k.
 
@@ -96,7 +94,7 @@ def _nearest(asked: np.ndarray, k: int, margin: float):
                 for x in range(asked.shape[1]):
                     apart = block[v, x] - asked[q, x]
                     d += apart * apart
-                best = _least(tuple(np.concatenate(x) for x in zip(best, (q, d, ids[v]), strict=True)), k, margin)
+                best = least(tuple(np.concatenate(x) for x in zip(best, (q, d, ids[v]), strict=True)), k, margin)
         yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[2]), pa.array(best[1])], ["number", "doc_id", "score"])
 
     return run

@@ -123,6 +123,13 @@ class SegmentedIndex:
         weighed = asked.join(self.terms(wanted), "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("w"))
         return self.read_blocks(wanted), weighed
 
+    def found(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The living postings ``token, doc_id, tf, dl`` of the asked tokens, and ``query_id, token, w``."""
+        held, weighed = self.blocks(asked, 0.0)
+        near = held.join(checked(asked.select("token").distinct()), "token", "left_semi").select("seg", "token", F.explode("docs").alias("d")).select("seg", "token", "d.*")
+        near = near if self.dead is None else near.join(checked(self.dead), ["seg", "doc_id"], "left_anti")
+        return near.select("token", "doc_id", "tf", "dl"), weighed
+
     # --- Changes
 
     def _commit(self, record: dict) -> bool:

@@ -7,6 +7,7 @@ import re
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.operators import index as I, postings as P, retrieve as R
 from lexloom.operators.segments import SegmentedIndex
@@ -186,3 +187,19 @@ def test_every_50th_of_the_table(spark):
 
     queries = document_queries(spark, SMALL).select("query_id", "question")
     assert rows(catalog.QUERIES["bm25_topk_every50"](spark, SMALL)) == rows(every_posting(queries, index, 10))
+
+
+def test_many_queries_meet_documents_in_chunks(spark, monkeypatch):
+    """As by blocks and bounds, with copies, ties, repeated ids, null ids and texts, over several chunks."""
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.9)) % 90}" for _ in range(4000)]
+    rows = [(i // 2 if i < 20 else i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(1400)]
+    rows += [(2000 + i, "w1 w2 w3 w70") for i in range(40)] + [(None, "w1 w2"), (5000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=4))) for q in range(70)] + [(70, "unknown"), (71, ""), (72, "w1 w2 w3 w70")], "query_id long, question string")
+    told = lambda: [tuple(r) for r in R.bm25_topk(asked, I.bm25_index(docs), 5).select("query_id", "rank", "doc_id", F.round("score", 7)).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(R, "FEW_QUERIES", 1000)
+    by_bounds = told()
+    monkeypatch.setattr(R, "FEW_QUERIES", 64)
+    monkeypatch.delattr(R, "Search")
+    assert told() == by_bounds and len(by_bounds) == 73 * 5
