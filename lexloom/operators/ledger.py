@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.operators import enrich
+from lexloom.operators.postings import checked
 from lexloom.session import shared_folder, stored
 from lexloom.sources.commits import CommitLog, collection, load, read_loads
 
@@ -78,9 +79,9 @@ def enrich_files(chunks: DataFrame, path: str, provider: enrich.Provider | None
     spark, path = chunks.sparkSession, path.rstrip("/")
     named = F.coalesce(F.col(f"`{file}`").cast("string"), F.concat(F.lit("\0"), F.col(f"`{key}`").cast("string")))
     done = enriched(spark, path, chunks.schema).select(named.alias("__file")).distinct()
-    waiting = chunks.withColumn("__file", named).join(done, "__file", "left_anti")
+    waiting = chunks.withColumn("__file", named).join(checked(done), "__file", "left_anti")
     asked = generate_once(waiting.withColumn("__prompt", enrich.chunk_prompt(chunks.columns, text)), "__prompt", "__reply", f"{path}/replies", provider, parts, **how)
     told = stored(enrich.chunk_facts(asked, [*chunks.columns, "__file"]))
     failed = told.filter("enrich_error IS NOT NULL").select("__file").distinct()
-    whole = told.join(failed, "__file", "left_anti").drop("__file", "enrich_error")
+    whole = told.join(checked(failed), "__file", "left_anti").drop("__file", "enrich_error")
     return load(whole, f"{path}/gold", uuid.uuid4().hex, key)
