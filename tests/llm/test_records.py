@@ -361,6 +361,21 @@ def test_hosts_in_salted_parts(spark):
     assert {r.page_id: r.text for r in html_extract.extract_pages(pages, 0).collect()} == one
 
 
+def test_html_wrapper_counts_all_pages(spark):
+    """Each of eight layouts of five pages in 400 is in the host's wrapper, with as many paragraphs as any page has; no page is picked by chance."""
+    def source(k: int) -> str:
+        odd = f"<section class=odd{'abcdefgh'[k // 50]}>" + "<p>x</p>" * (k % 50 + 1) + "</section>" if k % 50 < 5 else ""
+        return page(f"<div class=menu>Menu</div>{odd}<article><p>Text {k}</p></article>")
+
+    rows = [(k, f"http://h/{k}", source(k)) for k in range(400)] + [(500 + k, f"http://few/{k % 3}", page(f"<p>{k % 3}</p>")) for k in range(9)]
+    pages = spark.createDataFrame(rows, PAGES)
+    told = {r.host: html_extract.Wrapper.loads(r.shape) for r in html_extract.shapes(pages).collect()}
+    assert set(told) == {"h"}  # the other host has three different pages
+    found = {told["h"].labels[k]: len(c) for k, c in enumerate(told["h"].children) if told["h"].labels[k].startswith("section")}
+    assert found == {f"section.odd{x}": 5 for x in "abcdefgh"}
+    assert html_extract.exemplars(pages).filter("host = 'h'").count() <= 20
+
+
 def test_html_against_plain_parser(spark):
     pages = table(spark, SMALL, "pages")
     wanted = {r.page_id: article(r.html) for r in pages.collect()}
