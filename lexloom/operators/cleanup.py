@@ -6,6 +6,8 @@ non-overlapping, left to right, which is what a global replacement does.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,21 +64,41 @@ def remove_figure_legends(text: Column) -> Column:
     return _joined(F.filter(paragraphs(text), kept), "\n\n")
 
 
-#: Every rule needs one of these, so a line without any has no points and is spared the rules.
-REFERENCE_HINT = r"(?i)ver\s|folio|cuaderno|archivo|expediente|http|drive|sharepoint|pdf|radicaci|demanda|ponente|magistrad|secretari|por\s+medio|p[aá]g|^\s*\d"
+#: Every rule needs one of these in its line, in lower case, or a number at the start, so a line without any is spared the rules.
+REFERENCE_HINTS = (
+    "ver", "folio", "cuaderno", "archivo", "expediente", "http", "drive", "sharepoint", "pdf", "radicaci", "demanda", "ponente",
+    "magistrad", "secretari", "medio", "pag", "pág",
+)
+#: Letters that equal an i, s or k without case, which lower case does not show.
+ODD_LETTERS = "[\u0130\u0131\u017f\u212a]"
+
+
+def _needed(pattern: str) -> str | None:
+    """A word that a rule with no anchor needs."""
+    if re.match(r"(\(\?i\))?\^", pattern) or "|" in pattern:
+        return None
+    return next((w for w in ("pdf", "folio", "archivo", "electr", "http") if w in pattern), None)
 
 
 def reference_score(line: Column) -> Column:
     """Points of the rules table, and one more for a short line that has any."""
 
-    def scored(s: Column) -> Column:
+    def scored(s: Column, low: Column, odd: Column) -> Column:
         points = F.lit(0)
         for pattern, value, stripped, below in fixed.REFERENCE_RULES:
             hit = (s if stripped else line).rlike(rx(pattern))
+            word = _needed(pattern)
+            hit = (low.contains(word) | odd) & hit if word else hit
             points = points + F.when(hit & (F.length(s) < below) if below else hit, value).otherwise(0)
         return let(points, lambda p: p + F.when((p > 0) & (F.length(s) < fixed.REFERENCE_SHORT_LINE), 1).otherwise(0))
 
-    return F.when(line.rlike(rx(REFERENCE_HINT)), let(strip(line), scored)).otherwise(F.lit(0))
+    def judged(low: Column, odd: Column) -> Column:
+        hinted = odd | line.rlike(rx(r"^\s*\d"))
+        for word in REFERENCE_HINTS:
+            hinted = hinted | low.contains(word)
+        return F.when(hinted, let(strip(line), lambda s: scored(s, low, odd))).otherwise(F.lit(0))
+
+    return let(F.lower(line), lambda low: let(line.rlike(ODD_LETTERS), lambda odd: judged(low, odd)))
 
 
 def is_internal_reference(line: Column) -> Column:
@@ -144,7 +166,7 @@ def _merge_pairs(parts: Column, should: "callable", merged: "callable") -> Colum
 
 
 def _starts_lower(text: Column) -> Column:
-    return text.rlike(r"^\p{javaLowerCase}")
+    return F.left(text, F.lit(1)).rlike(r"^\p{javaLowerCase}")
 
 
 def _last(text: Column) -> Column:
@@ -180,7 +202,7 @@ def reconstruct_paragraphs(text: Column, passes: int = 3) -> Column:
         lower = _starts_lower(b)
         joins = (
             (unended & lower)
-            | (unended & b.rlike(rx(rf"^-\s+[{fixed.LOWER_LETTERS}]")))
+            | (unended & b.startswith("-") & b.rlike(rx(rf"^-\s+[{fixed.LOWER_LETTERS}]")))
             | (a.endswith(",") & lower)
             | F.right(a, F.lit(DANGLING_WINDOW)).rlike(rx(fixed.DANGLING_TAIL))
         )
