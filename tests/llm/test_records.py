@@ -242,6 +242,20 @@ def test_wrapper_grows_in_order():
     assert html_extract.Wrapper.grown([]).match(shape) == {}
 
 
+def test_alignment_digests_only_what_the_wrapper_can_have_seen(monkeypatch):
+    """A text of the page's own costs one digest, its subtrees none, and all nodes get the partners of a full match."""
+    pages = ["".join(f"<div class=c><p>own {i} {j}</p><p>{'standing' if j % 5 == 0 else f'new {i} {j}'}</p></div>" for j in range(40 + i)) for i in range(4)]
+    w = html_extract.Wrapper.grown([html_extract.Page(x) for x in pages[:3]])
+    page = html_extract.Page(pages[3] + "<p>standing</p>")
+    whole = w.match(html_extract.Shape.of(page))
+    done, number = [], html_extract.number
+    monkeypatch.setattr(html_extract, "number", lambda *told: done.append(told) or number(*told))
+    page.align(w)
+    assert page.slots == [b"w%d" % whole[k] if k in whole else page.slots[k] for k in range(len(page.nodes))]
+    assert sum(x.startswith(b"w") for x in page.slots) == len(whole)
+    assert len(done) <= len(page.blocks) + 10  # blocks, and the subtrees of standing texts
+
+
 def test_long_lists_of_children_match_in_order():
     """Beyond the table's bound children pair in order; up to it, standing text finds its place."""
     many = "".join(f"<p>own {j}</p>" for j in range(2300))
