@@ -15,7 +15,7 @@ from lexloom.operators.segments import SegmentedIndex
 from lexloom.plans.adapter import documents
 from lexloom.plans.document_queries import SECTION_SQL
 from lexloom.plans.text_queries import strip
-from lexloom.session import shared_folder, spread, table
+from lexloom.session import shared_folder, spread, stored, table
 from lexloom.sources import commits, files
 from lexloom.streaming import chat, ingest
 
@@ -608,20 +608,34 @@ def observed_load(spark, sf_dir):
     return log.rows(figures).agg(F.sum("rows").alias("n_rows"), F.sum("with_text").alias("with_text"), F.sum("chars").alias("chars"))
 
 
-def chat_events(rows: DataFrame) -> DataFrame:
-    """Conversations as the events of a server: questions, then words, sources and an end, an error for every seventh length."""
+def chat_turns(rows: DataFrame) -> DataFrame:
+    """Questions and answers with the number of their first event, dealt by conversation over as many tasks as there are cores or more."""
     said = rows.filter("role IN ('user', 'assistant')").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    words = F.split("text", " ", -1)
-    last = F.size(words) - 1
-    end = F.struct(F.when(F.length("text") % 7 == 0, "error").otherwise("done").alias("kind"), F.lit("no").alias("text"))
-    links = F.struct(F.lit("sources").alias("kind"), F.concat(F.lit("n"), F.length("text").cast("string")).alias("text"))
-    pieces = F.transform(words, lambda w, i: F.struct(F.lit("token").alias("kind"), F.when(i < last, F.concat(w, F.lit(" "))).otherwise(w).alias("text")))
-    told = F.when(F.col("role") == "user", F.array(F.struct(F.lit("user").alias("kind"), F.col("text").alias("text")))).otherwise(F.concat(pieces, F.array(links, end)))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    size = F.when(F.col("role") == "user", 1).otherwise(last + 3).cast("long")
+    size = F.when(F.col("role") == "user", 1).otherwise(F.size(F.split("text", " ", -1)) + 2).cast("long")
     start = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    events = said.withColumn("start", start).select("conv_id", "start", F.posexplode(told).alias("at", "e"))
-    return events.select("conv_id", (F.col("start") + F.col("at")).alias("seq"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("ts"), "e.kind", "e.text")
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return said.repartition(tasks, "conv_id").select("conv_id", "role", "text", start.alias("start"))
+
+
+def turn_events(turns: DataFrame) -> DataFrame:
+    """Turns as the events of a server: questions, then words, sources and an end, an error for every seventh length."""
+    user, long, words = F.col("role") == "user", F.length("text"), F.split("text", " ", -1)
+    links, end = F.concat(F.lit("n"), long.cast("string")), F.when(long % 7 == 0, "error").otherwise("done")
+    told = F.when(user, F.array("text")).otherwise(F.concat(words, F.array(links, F.lit("no"))))
+    # Below the generator, so that a turn is split once and not for each of its words.
+    whole = turns.select("conv_id", "start", user.alias("user"), end.alias("end"), (F.size(words) - 1).alias("last"), told.alias("told"))
+    rows = whole.select("conv_id", "start", "user", "end", "last", F.posexplode("told").alias("at", "text"))
+    at, last = F.col("at"), F.col("last")
+    kind = F.when(F.col("user"), "user").when(at <= last, "token").when(at == last + 1, "sources").otherwise(F.col("end"))
+    text = F.when(~F.col("user") & (at < last), F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    return rows.select("conv_id", (F.col("start") + at).alias("seq"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("ts"), kind.alias("kind"), text.alias("text"))
+
+
+def chat_events(rows: DataFrame) -> DataFrame:
+    """Conversations as events."""
+    return turn_events(chat_turns(rows))
 
 
 _CHAT = r"""WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant') AND conv_id IS NOT NULL),
@@ -641,7 +655,7 @@ def chat_fold(spark, sf_dir):
 @query("chat_stream", f"SELECT * FROM ({_CHAT}) WHERE status <> 'expired'")
 def chat_stream(spark, sf_dir):
     """The same events in two halves, each with every other event, the stream being started again between them."""
-    events = chat_events(table(spark, sf_dir, "conversations"))
+    events = turn_events(stored(chat_turns(table(spark, sf_dir, "conversations"))))
     folder = shared_folder(spark)
     for half in range(2):
         events.filter(F.col("seq") % 2 == 1 - half).write.mode("append").parquet(f"{folder}/in")

@@ -164,3 +164,18 @@ def test_files_count_when_all_their_chunks_do(spark, tmp_path):
     assert ledger.enrich_files(chunks, path, Counting(notes), parts=2) == 3 and done() == {"a1", "a2", "b1", "c1", "c2"}
     assert sum((calls(notes) - before).values()) == 2
     assert ledger.enrich_files(chunks, path, Counting(notes), parts=2) == 0 and len(calls(notes)) == 5
+
+
+def test_a_turn_is_split_once_for_its_events(spark):
+    """Not once for each word, which is quadratic in the length of a turn; the events of a long answer give its text."""
+    from lexloom.plans.retrieval_queries import chat_events
+
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = spark.createDataFrame([(1, 0, "user", "a b"), (1, 1, "assistant", long), (1, 2, "assistant", None)], "conv_id long, turn long, role string, text string")
+    events = chat_events(rows)
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "split(" not in plan.split("Generate")[0]
+    found = sorted((r["seq"], r["kind"], r["text"]) for r in events.collect())
+    assert [s for s, _, _ in found] == list(range(1 + 20_002 + 3)) and found[0] == (0, "user", "a b")
+    assert "".join(t for _, k, t in found if k == "token") == long
+    assert found[20_001:] == [(20_001, "sources", f"n{len(long)}"), (20_002, "done" if len(long) % 7 else "error", "no"), (20_003, "token", ""), (20_004, "sources", "n0"), (20_005, "error", "no")]
