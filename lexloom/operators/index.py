@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +14,8 @@ from lexloom.operators.postings import blocks, checked
 from lexloom.session import stored
 
 
-#: Distinct query tokens up to which they are broadcast.
-MANY_TOKENS = 100_000
+#: Distinct query tokens up to which they are broadcast, and up to which they are looked for in the texts.
+MANY_TOKENS, FEW_TOKENS = 100_000, 1000
 
 
 def tokens(text):
@@ -39,10 +39,27 @@ class Bm25Index:
     #: ``token`` once per document and token, of an index in memory.
     raw: DataFrame | None = None
     decimals: int = 9
+    #: ``doc_id, dl, tokens`` once per document, of an index in memory.
+    texts: DataFrame | None = None
+    #: ``raw`` of the whole index, and the share of the mean idf that a negative one becomes.
+    whole: DataFrame | None = None
+    epsilon: float = fixed.BM25_EPSILON
 
     #: Documents of stored segments that are deleted; an index in memory has none.
     dead = None
 
+    def about(self, asked: DataFrame) -> Bm25Index:
+        """This index with the postings of few asked tokens only, all figures kept; the texts are read and split once.
+
+        What is kept stands as a table: a row per document with its length and its occurrences of these tokens.
+        ``terms`` and ``whole`` are those of the whole index.
+        """
+        wanted = [] if self.texts is None else [row["token"] for row in asked.select("token").distinct().limit(FEW_TOKENS + 1).collect()]
+        if not 0 < len(wanted) <= FEW_TOKENS:
+            return self
+        near = stored(self.texts.select("doc_id", "dl", F.filter("tokens", lambda t: t.isin(wanted)).alias("tokens")))
+        return replace(_index(near, self.terms, self.decimals), whole=self.whole, epsilon=self.epsilon)
+
     def blocks(self, asked: DataFrame, avgdl: float) -> tuple[DataFrame, DataFrame]:
         """The blocks of the tokens of ``asked(query_id, token, times)`` and ``query_id, token, w``.
 
@@ -74,7 +91,11 @@ class Bm25Index:
         n = self.stats.first()["n"]
         counted = self.raw.join(checked(wanted, MANY_TOKENS), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
         told = stored(counted.withColumn("idf", raw_idf(F.lit(n), F.col("df"), self.decimals)))
-        return told if told.filter("idf < 0").isEmpty() else self.terms.join(checked(wanted, MANY_TOKENS), "token", "left_semi")
+        if told.filter("idf < 0").isEmpty():
+            return told
+        each = self.whole.groupBy("token").agg(F.count("*").alias("df")).select(raw_idf(F.lit(n), F.col("df"), self.decimals).alias("raw"))
+        mean = each.agg(F.round(F.avg("raw"), self.decimals)).first()[0]
+        return told.withColumn("idf", F.when(F.col("idf") < 0, F.round(F.lit(self.epsilon) * F.lit(mean), self.decimals)).otherwise(F.col("idf")))
 
     def ids(self) -> DataFrame:
         return self.docs.select("doc_id")
@@ -106,17 +127,23 @@ def bm25_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", epsi
     Figures are rounded so that the order of summation cannot change ranks.
     """
     split = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    index = _index(split, None, decimals)
+    df = index.raw.groupBy("token").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(index.stats.select("n"))).withColumn("raw", raw_idf(F.col("n"), F.col("df"), decimals))
+    mean = raw.agg(F.round(F.avg("raw"), decimals).alias("mean"))  # a single row
+    idf = F.when(F.col("raw") < 0, F.round(F.lit(epsilon) * F.col("mean"), decimals)).otherwise(F.col("raw"))
+    terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))
+    return replace(index, terms=terms, texts=split, whole=index.raw, epsilon=epsilon)
+
+
+def _index(split: DataFrame, terms: DataFrame | None, decimals: int) -> Bm25Index:
+    """The tables of ``split(doc_id, dl, tokens)`` beside the given terms."""
     lengths = split.select("doc_id", "dl")
     stats = lengths.agg(F.count("*").alias("n"), F.round(F.avg("dl"), decimals).alias("avgdl"))
     # Terms are counted inside the row's own partition, so a posting leaves it once per term and document.
     exploded = split.select("doc_id", "dl", F.explode("tokens").alias("token"))
     postings = exploded.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
     distinct = split.select(F.explode(F.array_distinct("tokens")).alias("token"))
-    df = distinct.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", raw_idf(F.col("n"), F.col("df"), decimals))
-    mean = raw.agg(F.round(F.avg("raw"), decimals).alias("mean"))  # a single row
-    idf = F.when(F.col("raw") < 0, F.round(F.lit(epsilon) * F.col("mean"), decimals)).otherwise(F.col("raw"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))
     return Bm25Index(postings, terms, stats, lengths, exploded, distinct, decimals)
 
 

@@ -36,10 +36,12 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, decimals: int = 9, n
     below 0), or all of them with ``negative``, are scored over all postings, and the k smallest ids without a score compete.
     """
     queries = queries.select("query_id", "question")
-    row = index.stats.first()
-    avgdl = float(row["avgdl"] or 0.0) if row is not None else 0.0
     asked = stored(queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")))
     many = asked.select("query_id").distinct().limit(FEW_QUERIES + 1).count() > FEW_QUERIES and index.ids().schema["doc_id"].dataType.typeName() in ("long", "integer")
+    if not many and isinstance(index, Bm25Index):  # segments are stored, and read by token
+        index = index.about(asked)
+    row = index.stats.first()
+    avgdl = float(row["avgdl"] or 0.0) if row is not None else 0.0
     if many:
         near, weighed = index.found(asked)
         held, dead = near.select("token", F.array(F.struct("doc_id", "tf", "dl")).alias("docs")), None

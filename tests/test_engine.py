@@ -411,6 +411,26 @@ def test_plans_avoid_full_cross_joins(spark):
         assert "CartesianProduct" not in plan
 
 
+def test_a_search_of_few_tokens_splits_the_texts_once(spark):
+    """Once more where a token's idf is negative, for the mean."""
+    docs = spark.createDataFrame([(i, "c " * (i % 5 > 0) + f"w{i} x{i % 7}") for i in range(50)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "x3 w5"), (2, "c x1 zz")], "query_id int, question string")
+    whole = I.bm25_index(docs)
+    for question, splits in (("query_id = 1", 1), ("query_id = 2", 2)):
+        seen = spark.sparkContext.accumulator(0)
+
+        def passed(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        index = I.bm25_index(docs.mapInArrow(passed, "doc_id long, text string"))
+        got = R.bm25_topk(asked.filter(question), index, 5).collect()
+        assert seen.value == splits * 50
+        negative = R.bm25_topk(asked.filter(question), whole, 5, negative=True).collect()
+        assert sorted((r["rank"], r["doc_id"], round(r["score"], 8)) for r in got) == sorted((r["rank"], r["doc_id"], round(r["score"], 8)) for r in negative)
+
+
 def test_embedding_of_tokens_that_cancel_out():
     made = E.OfflineProvider().embed(["g i", "\x0b", "uno dos", " \n", ""])
     assert [round(sum(x * x for x in v), 6) for v in made] == [1, 1, 1, 0, 0]
