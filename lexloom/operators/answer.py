@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from lexloom.functions import fixed
 from lexloom.functions.text import clean_answer, source_preview, title
 from lexloom.operators import enrich
+from lexloom.operators.postings import checked
+from lexloom.session import stored
 
 NO_ANSWER = fixed.NO_ANSWER
 SYSTEM = "Responde solo con el contexto dado y cita cada afirmación como [docN]."
@@ -73,11 +75,13 @@ def generate_answers(queries: DataFrame, retrieve, chunks: DataFrame, provider:
     ``limit_to_k`` asks for k.
     """
     service = provider or enrich.OfflineProvider()
-    asked = enrich.enrich_queries(queries, service, enrich_first)
+    asked = stored(enrich.enrich_queries(queries, service, enrich_first))
     ranked = retrieve(asked.select("query_id", F.col("expanded_query").alias("question"), *(c for c in queries.columns if c not in ("query_id", "question"))), k_candidates)
     if limit_to_k:
         ranked = ranked.filter(F.col("rank") <= k)
-    told = context(ranked.join(chunks, "doc_id"))
+    ranked = stored(ranked)
+    # A few documents a question find their texts, which are not shuffled for them.
+    told = context(checked(ranked).join(chunks, "doc_id"))
     counts = ranked.groupBy("query_id").agg(F.count("*").alias("n_docs"))
     rows = asked.select("query_id", "question", "expanded_query").join(told, "query_id", "left").join(counts, "query_id", "left")
     rows = rows.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("__prompt", prompt(F.col("question"), F.col("context"), service.supports_system))
