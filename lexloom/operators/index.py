@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions import fixed
-from lexloom.functions.text import base_name, embedding_text, rx, strip
-from lexloom.operators.postings import blocks, checked
+from lexloom.functions.text import WHITE_SPACE, base_name, embedding_text, rx, strip
+from lexloom.operators.postings import blocks, checked, numbered
 from lexloom.session import stored
 
 
 #: Distinct query tokens up to which they are broadcast, and up to which they are looked for in the texts.
 MANY_TOKENS, FEW_TOKENS = 100_000, 1000
+#: Distinct query tokens up to which each task looks them up while it reads the texts; tokens a task counts before it passes them on.
+HELD_TOKENS, COUNTED = 1_000_000, 500_000
 
 
 def tokens(text):
@@ -23,6 +30,56 @@ def tokens(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), rx(r"\s+"), -1), lambda t: t != "")
 
 
+_BREAKS = re.compile(f"[{WHITE_SPACE}]+")
+
+
+def words(text: str | None) -> list[str]:
+    """:func:`tokens` of a text in Python, whose own split also breaks at four control characters."""
+    text = text or ""
+    return [w for w in _BREAKS.split(text) if w] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``text`` to ``token, df``; a row without a token has the number of documents and ``total``, that of all their tokens."""
+
+    def told(found: dict, total: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([total if t is None else 0 for t in found], pa.int64())], ["token", "df", "total"])
+
+    found, n, total = Counter(), 0, 0
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            own = words(text)
+            n, total = n + 1, total + len(own)
+            found.update(set(own))
+            if len(found) > COUNTED:
+                yield told(found, 0)
+                found = Counter()
+    yield told({None: n, **found}, total)
+
+
+def _looked_up(names):
+    """Batches of ``doc_id, text`` to ``doc_id, dl, t, tf`` of the documents that hold any of the broadcast tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = names.value
+        for batch in batches:
+            ids, lengths, ends, ts, tfs = [], [], [0], [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = words(text)
+                for w, n in Counter(own).items():
+                    if (t := number.get(w)) is not None:
+                        ts.append(t)
+                        tfs.append(n)
+                if len(ts) > ends[-1]:
+                    ids.append(doc_id)
+                    lengths.append(len(own))
+                    ends.append(len(ts))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(x, np.int32))) for x in (ts, tfs)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), *lists], ["doc_id", "dl", "t", "tf"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     """``postings(token, doc_id, tf, dl)``, ``terms(token, df, idf)``, ``stats(n, avgdl)``, ``docs(doc_id, dl)``.
@@ -44,6 +101,8 @@ class Bm25Index:
     #: ``raw`` of the whole index, and the share of the mean idf that a negative one becomes.
     whole: DataFrame | None = None
     epsilon: float = fixed.BM25_EPSILON
+    #: ``doc_id, text`` as given, of an index in memory.
+    given: DataFrame | None = None
 
     #: Documents of stored segments that are deleted; an index in memory has none.
     dead = None
@@ -87,14 +146,39 @@ class Bm25Index:
         weighed = asked.join(terms, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("w"))
         return near, terms, weighed
 
+    def read_for(self, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int, float] | None:
+        """For many queries over an index in memory: ``doc_id, dl, t, tf`` a document, ``token, t``, ``query_id, token, w``, n and avgdl.
+
+        Texts are split inside the tasks that read them, once to count documents by token and once for the asked tokens,
+        so that no occurrence is a row. None where the index is stored or more than ``HELD_TOKENS`` are asked.
+        """
+        if self.given is None:
+            return None
+        names = stored(numbered(asked.select(F.col("token").alias("doc_id"))).select(F.col("doc_id").alias("token"), F.col("nth").cast("int").alias("t")))
+        if names.count() > HELD_TOKENS:
+            return None
+        told = self.given.select("text").mapInArrow(_counted, "token string, df long, total long")
+        told = stored(told.groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
+        n, total = next(((r["df"], r["total"]) for r in told.filter("token IS NULL").collect()), (0, 0))
+        raw = told.filter("token IS NOT NULL").select("token", "df", raw_idf(F.lit(n), F.col("df"), self.decimals).alias("idf"))
+        terms = self._floored(stored(raw.join(checked(names), "token", "left_semi")), lambda: raw)
+        weighed = asked.join(terms, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("w"))
+        held = self.given.sparkSession.sparkContext.broadcast({r["token"]: r["t"] for r in names.collect()})
+        rows = self.given.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_looked_up(held), "doc_id long, dl int, t array<int>, tf array<int>")
+        return rows, names, weighed, n, round(total / n, self.decimals) if n else 0.0
+
     def _terms_of(self, wanted: DataFrame) -> DataFrame:
         n = self.stats.first()["n"]
         counted = self.raw.join(checked(wanted, MANY_TOKENS), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
         told = stored(counted.withColumn("idf", raw_idf(F.lit(n), F.col("df"), self.decimals)))
+        each = lambda: self.whole.groupBy("token").agg(F.count("*").alias("df")).select(raw_idf(F.lit(n), F.col("df"), self.decimals).alias("idf"))
+        return self._floored(told, each)
+
+    def _floored(self, told: DataFrame, each) -> DataFrame:
+        """Terms with a share of the mean of ``each()`` for a negative idf; the mean is taken only where there is one."""
         if told.filter("idf < 0").isEmpty():
             return told
-        each = self.whole.groupBy("token").agg(F.count("*").alias("df")).select(raw_idf(F.lit(n), F.col("df"), self.decimals).alias("raw"))
-        mean = each.agg(F.round(F.avg("raw"), self.decimals)).first()[0]
+        mean = each().agg(F.round(F.avg("idf"), self.decimals)).first()[0]
         return told.withColumn("idf", F.when(F.col("idf") < 0, F.round(F.lit(self.epsilon) * F.lit(mean), self.decimals)).otherwise(F.col("idf")))
 
     def ids(self) -> DataFrame:
@@ -133,7 +217,8 @@ def bm25_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", epsi
     mean = raw.agg(F.round(F.avg("raw"), decimals).alias("mean"))  # a single row
     idf = F.when(F.col("raw") < 0, F.round(F.lit(epsilon) * F.col("mean"), decimals)).otherwise(F.col("raw"))
     terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))
-    return replace(index, terms=terms, texts=split, whole=index.raw, epsilon=epsilon)
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return replace(index, terms=terms, texts=split, whole=index.raw, epsilon=epsilon, given=given)
 
 
 def _index(split: DataFrame, terms: DataFrame | None, decimals: int) -> Bm25Index:

@@ -182,55 +182,91 @@ def least(found: tuple[np.ndarray, ...], k: int, margin: float) -> tuple[np.ndar
     return q[keep], d[keep], ids[keep]
 
 
-def _best_of_chunk(k: int, margin: float):
-    """A chunk's postings ``t, doc_id, adds`` and queries ``query_id, own, w`` to what can be among a query's first k."""
+#: A token that more than one in so many documents of a chunk hold is added as a whole vector; documents in so many groups bound the k-th score.
+DENSE, GROUPS = 8, 64
+#: Documents found that are cut to the first k of their queries at a time.
+FOUND_AT_ONCE = 1_000_000
+
+
+def _flat(postings: pa.Table) -> tuple[np.ndarray, ...]:
+    """``t, doc_id, tf, dl`` of rows of one posting each, or of one document with lists of its postings."""
+    t, tf, doc, dl = (postings[c].combine_chunks() for c in ("t", "tf", "doc_id", "dl"))
+    if pa.types.is_list(t.type):
+        each = np.diff(t.offsets.to_numpy())
+        return t.flatten().to_numpy(), np.repeat(doc.to_numpy(), each), tf.flatten().to_numpy(), np.repeat(dl.to_numpy(), each)
+    return tuple(x.to_numpy() for x in (t, doc, tf, dl))
+
+
+def _summed(values: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys in order and the sums of the values of equal ones."""
+    new = np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in keys])][: len(values)]
+    return (values, *keys) if new.all() else (np.add.reduceat(values, np.flatnonzero(new)), *(x[new] for x in keys))
+
+
+def _best_of_chunk(k: int, margin: float, avgdl: float, k1: float, b: float):
+    """A chunk's postings ``t, doc_id, tf, dl`` and queries ``query_id, own, w`` to what can be among a query's first k."""
 
     def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
-        t, doc, adds = (postings[c].to_numpy() for c in ("t", "doc_id", "adds"))
+        t, doc, tf, dl = _flat(postings)
         ids, at = np.unique(doc, return_inverse=True)
-        order = np.lexsort((at, t))
-        t, at, adds = t[order], at[order], adds[order]
-        new = np.r_[True, (t[1:] != t[:-1]) | (at[1:] != at[:-1])][: len(t)]
-        if not new.all():  # rows that share an id
-            adds, t, at = np.add.reduceat(adds, np.flatnonzero(new)), t[new], at[new]
+        order = np.lexsort((dl, at, t))
+        tf, t, at, dl = _summed(*(x[order] for x in (tf, t, at, dl)))
+        adds, t, at = _summed((tf * (k1 + 1)) / (tf + k1 * ((1 - b) + b * dl / avgdl)), t, at)  # rows that share an id
         names = asked["query_id"].combine_chunks().dictionary_encode()
         query, own, w = names.indices.to_numpy(), asked["own"].to_numpy(), asked["w"].to_numpy()
         order = np.lexsort((own, query))
         query, own, w = query[order], own[order], w[order]
         begin, end = np.searchsorted(t, own), np.searchsorted(t, own, "right")
-        found = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
-        score, first = np.zeros(len(ids)), np.r_[np.flatnonzero(np.r_[True, query[1:] != query[:-1]][: len(query)]), len(query)]
+        done = found = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+        score, held = np.zeros(-(-len(ids) // GROUPS) * GROUPS), 0
+        whole: dict[int, np.ndarray] = {}
+        first = np.r_[np.flatnonzero(np.r_[True, query[1:] != query[:-1]][: len(query)]), len(query)]
         for a, z in zip(first[:-1], first[1:], strict=True):
             score[:] = 0.0
             for j in range(a, z):
-                score[at[begin[j] : end[j]]] += w[j] * adds[begin[j] : end[j]]
-            bound = np.partition(score, len(score) - k)[len(score) - k] - margin if len(score) > k else 0.0
-            hit = np.flatnonzero((score >= bound) & (score > 0)) if bound > 0 else np.flatnonzero(score > 0)
-            found.append(least((np.full(len(hit), query[a]), -score[hit], ids[hit]), k, margin) if len(hit) > k else (np.full(len(hit), query[a]), -score[hit], ids[hit]))
-        q, d, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+                if (end[j] - begin[j]) * DENSE > len(ids):
+                    if own[j] not in whole:
+                        whole[own[j]] = np.zeros(len(score))
+                        whole[own[j]][at[begin[j] : end[j]]] = adds[begin[j] : end[j]]
+                    score += w[j] * whole[own[j]]
+                else:
+                    score[at[begin[j] : end[j]]] += w[j] * adds[begin[j] : end[j]]
+            # The k-th of the groups' best is at most the k-th of all.
+            best = score.reshape(GROUPS, -1).max(axis=0)
+            bound = np.partition(best, len(best) - k)[len(best) - k] - margin if len(best) > k else 0.0
+            hit = np.flatnonzero(score >= bound) if bound > 0 else np.flatnonzero(score > 0)
+            found.append((np.full(len(hit), query[a]), -score[hit], ids[hit]))
+            held += len(hit)
+            if held > FOUND_AT_ONCE:
+                done.append(least(tuple(np.concatenate(x) for x in zip(*found, strict=True)), k, margin))
+                found, held = [], 0
+        if found is not done:
+            done += found
+        q, d, doc = least(tuple(np.concatenate(x) for x in zip(*done, strict=True)), k, margin)
         return pa.Table.from_arrays([names.dictionary.take(pa.array(q, pa.int64())), pa.array(doc), pa.array(-d)], ["query_id", "doc_id", "score"])
 
     return run
 
 
-def chunk_scores(asked: DataFrame, postings: DataFrame, n: int, avgdl: float, k: int, decimals: int = 9, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
+def chunk_scores(asked: DataFrame, postings: DataFrame, names: DataFrame, n: int, avgdl: float, k: int, decimals: int = 9, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
     """``query_id, doc_id, score``: all that can be among the first k by score and id, and are above 0, for many queries.
 
-    ``asked(query_id, token, w)``, no w below 0; ``postings(token, doc_id, tf, dl)`` of ``n`` documents with whole
-    numbers as ids. Chunks grow in number with the documents, not in size; a query sends at most k and its near ties from each.
+    ``asked(query_id, token, w)``, no w below 0; ``names(token, t)``; ``postings(t, tf, doc_id, dl)`` of ``n`` documents with
+    whole numbers as ids, a row a posting or, with lists, a row a document. Chunks grow in number with the documents, not in
+    size; a query sends at most k and its near ties from each.
     """
     cores = asked.sparkSession.sparkContext.defaultParallelism
     chunks = max(1, math.ceil(n / CHUNK), min(4 * cores, math.ceil(n / SMALL_CHUNK)))
     asked = stored(asked.filter("w > 0"))
     parts = max(1, math.ceil(asked.select("query_id").distinct().count() / AT_ONCE))
-    names = stored(numbered(asked.select(F.col("token").alias("doc_id"))).select(F.col("doc_id").alias("token"), F.col("nth").alias("t")))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    adds = impact(F.col("tf"), F.col("dl"), avgdl or 1.0, k1, b)
-    own = postings.filter("doc_id IS NOT NULL").join(checked(names), "token").select("t", F.col("doc_id").cast("long").alias("doc_id"), adds.alias("adds"))
+    own = postings.filter("doc_id IS NOT NULL").select("t", "tf", F.col("doc_id").cast("long").alias("doc_id"), "dl")
     left = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).withColumn("part", every(parts))
     right = asked.join(checked(names), "token").select("query_id", F.col("t").alias("own"), "w").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("chunk", every(chunks))
+    # As many partitions as chunks: few bytes hold much work, so that small ones are not joined into one task.
+    left, right = (df.repartition(chunks * parts, "chunk", "part") for df in (left, right))
     kind = asked.schema["query_id"].dataType.simpleString()
-    best = _best_of_chunk(k, 2 * 10.0**-decimals)
+    best = _best_of_chunk(k, 2 * 10.0**-decimals, avgdl or 1.0, k1, b)
     found = left.groupBy("chunk", "part").cogroup(right.groupBy("chunk", "part")).applyInArrow(best, f"query_id {kind}, doc_id long, score double")
     return found.select("query_id", F.col("doc_id").cast(postings.schema["doc_id"].dataType).alias("doc_id"), F.round("score", decimals).alias("score"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from lexloom.functions import fixed
 from lexloom.operators.index import Bm25Index, tokens
-from lexloom.operators.postings import Search, all_scores, chunk_scores, least, without
+from lexloom.operators.postings import CHUNK, Search, all_scores, checked, chunk_scores, least, numbered, without
 from lexloom.session import stored
 
 
@@ -40,24 +40,34 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, decimals: int = 9, n
     many = asked.select("query_id").distinct().limit(FEW_QUERIES + 1).count() > FEW_QUERIES and index.ids().schema["doc_id"].dataType.typeName() in ("long", "integer")
     if not many and isinstance(index, Bm25Index):  # segments are stored, and read by token
         index = index.about(asked)
-    row = index.stats.first()
-    avgdl = float(row["avgdl"] or 0.0) if row is not None else 0.0
-    if many:
-        near, weighed = index.found(asked)
-        held, dead = near.select("token", F.array(F.struct("doc_id", "tf", "dl")).alias("docs")), None
+    read = index.read_for(asked) if many and isinstance(index, Bm25Index) else None
+    if read is not None:
+        near, names, weighed, n, avgdl = read
+        dead = None
+        # Asked for where weights are below 0 only.
+        kept = lambda: index.found(asked)[0].select("token", F.array(F.struct("doc_id", "tf", "dl")).alias("docs"))
     else:
-        (held, weighed), dead = index.blocks(asked, avgdl), index.dead
+        row = index.stats.first()
+        n, avgdl = (row["n"], float(row["avgdl"] or 0.0)) if row is not None else (0, 0.0)
+        if many:
+            near, weighed = index.found(asked)
+            held, dead = near.select("token", F.array(F.struct("doc_id", "tf", "dl")).alias("docs")), None
+            names = stored(numbered(asked.select(F.col("token").alias("doc_id"))).select(F.col("doc_id").alias("token"), F.col("nth").alias("t")))
+            near = near.join(checked(names), "token")
+        else:
+            (held, weighed), dead = index.blocks(asked, avgdl), index.dead
+        kept = lambda: held
     below = weighed.select("query_id").distinct() if negative else weighed.filter("w < 0").select("query_id").distinct()
     free = queries.select("query_id")
     scored = []
     if negative or not below.isEmpty():
         free = free.join(below, "query_id", "left_anti") if not negative else free.limit(0)
         others = queries.select("query_id") if negative else below
-        full = stored(all_scores(weighed.join(below, "query_id", "left_semi"), held, avgdl, decimals, dead=dead, **weights))
+        full = stored(all_scores(weighed.join(below, "query_id", "left_semi"), kept(), avgdl, decimals, dead=dead, **weights))
         scored += [full, without(others, full, index.ids(), k).withColumn("score", F.lit(0.0))]
         weighed = weighed.join(below, "query_id", "left_anti")
     if not negative and many:
-        scored.append(chunk_scores(weighed, near, row["n"], avgdl, k, decimals, **weights))
+        scored.append(chunk_scores(weighed, near, names, n, avgdl, k, decimals, **weights))
     elif not negative:
         scored.append(Search(weighed, held, avgdl, k, decimals, rows_an_id=index.rows_an_id(), dead=dead, **weights).scores())
     if not negative:
@@ -106,7 +116,7 @@ def knn_topk(queries: DataFrame, vectors: DataFrame, k: int, decimals: int = 9,
     """``query_id, doc_id, score`` (squared distance) and ``rank``, exact; ties by doc_id.
 
     A stated set of queries meets all vectors. Up to ``most_queries``, checked first, go to every task, which returns
-    only what can be among the first k; larger sets are dealt out in blocks that each visit all vectors. Rows and
+    only what can be among the first k; larger sets are dealt out in blocks that each meet all vectors, chunk by chunk. Rows and
     queries without a vector have no neighbours. All vectors have one length.
     """
     queries, vectors = (df.filter(F.col("embedding").isNotNull()) for df in (queries, vectors))
@@ -121,6 +131,8 @@ def knn_topk(queries: DataFrame, vectors: DataFrame, k: int, decimals: int = 9,
         near = found.join(F.broadcast(named), "number").select("query_id", F.col("doc_id").cast(kind).alias("doc_id"), F.round("score", decimals).alias("score"))
         return top(near, [F.col("score").asc(), F.col("doc_id").asc()], k, ["query_id"])
     blocks = max(1, -(-count // most_queries))
+    if count and vectors.schema["doc_id"].dataType.typeName() in ("long", "integer"):
+        return top(_by_blocks(small, vectors, k, decimals, blocks), [F.col("score").asc(), F.col("doc_id").asc()], k, ["query_id"])
     small = small.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     dealt = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     pairs = dealt.join(small, "block")
@@ -128,6 +140,29 @@ def knn_topk(queries: DataFrame, vectors: DataFrame, k: int, decimals: int = 9,
     return top(near, [F.col("score").asc(), F.col("doc_id").asc()], k, ["query_id"])
 
 
+def _by_blocks(queries: DataFrame, vectors: DataFrame, k: int, decimals: int, blocks: int) -> DataFrame:
+    """``query_id, doc_id, score`` of what can be among the first k: each chunk of vectors meets each block of ``queries(query_id, q)`` in one group."""
+    session = vectors.sparkSession
+    chunks = max(session.sparkContext.defaultParallelism, -(-vectors.count() // CHUNK))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")).withColumn("block", every(blocks))
+    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("chunk", every(chunks))
+    left, right = (df.repartition(chunks * blocks, "chunk", "block") for df in (left, right))
+    margin = 2 * 10.0**-decimals
+
+    def run(near: pa.Table, asked: pa.Table) -> pa.Table:
+        number, ids, score = (pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.float64()))
+        if near.num_rows and asked.num_rows:
+            matrix = np.stack(asked["q"].combine_chunks().to_numpy(zero_copy_only=False)).astype(np.float64)
+            [found] = _nearest(matrix, k, margin)(iter(near.select(["doc_id", "embedding"]).combine_chunks().to_batches()))
+            number, ids, score = found.columns
+        return pa.Table.from_arrays([asked["query_id"].combine_chunks().take(number), ids, score], ["query_id", "doc_id", "score"])
+
+    kind, ids = (df.schema[c].dataType for df, c in ((queries, "query_id"), (vectors, "doc_id")))
+    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(run, f"query_id {kind.simpleString()}, doc_id long, score double")
+    return found.select("query_id", F.col("doc_id").cast(ids).alias("doc_id"), F.round("score", decimals).alias("score"))
+
+
 def fuse(lists: list[tuple[str, DataFrame, float]], c: int = fixed.RRF_C, decimals: int = 12) -> DataFrame:
     """Weighted reciprocal ranks of named ranked lists: ``query_id, doc_id, score, rank``.
 

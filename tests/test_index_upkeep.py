@@ -203,3 +203,36 @@ def test_many_queries_meet_documents_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(R, "FEW_QUERIES", 64)
     monkeypatch.delattr(R, "Search")
     assert told() == by_bounds and len(by_bounds) == 73 * 5
+
+
+def test_many_queries_read_texts_without_a_row_an_occurrence(spark, monkeypatch):
+    """As over counted postings, with repeated ids of one length and of two, null ids and texts, and rare white space."""
+    from dataclasses import replace
+
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.9)) % 90}" for _ in range(2000)]
+    made = [(i // 2 if i < 40 else i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(1200)]
+    made += [(3000, "w1 w2 w2"), (3000, "w2 w1 w3"), (None, "w1 w2"), (3001, None), (3002, "w1\x1cw2 w3\x85w4  w5\x1f")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    queries = spark.createDataFrame([(q, " ".join(rng.choices(words, k=4))) for q in range(80)] + [(80, "w1\x1cw2 w4"), (81, "unknown"), (82, "")], "query_id long, question string")
+    index = I.bm25_index(docs)
+    by_postings = rows(R.bm25_topk(queries, replace(index, given=None), 5))
+    nothing = index.occurrences.filter("1 / 0 = 1")
+    assert rows(R.bm25_topk(queries, replace(index, occurrences=nothing, postings=nothing), 5)) == by_postings and len(by_postings) == 83 * 5
+
+
+def test_words_are_tokens(spark):
+    texts = [f"a{chr(c)}b {chr(c)}" for c in (*range(1, 0x100), *range(0x1680, 0x1810), *range(0x2000, 0x2070), 0x3000, 0xFEFF)] + ["", None, "\x1c \x1d"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", I.tokens(F.col("t")).alias("w")).collect()
+    assert all(I.words(r.t) == r.w for r in found)
+
+
+def test_large_sets_of_vector_queries_meet_chunks_in_groups(spark, monkeypatch):
+    """Blocks of queries by matrix products, not pair by pair; ties by id, queries and rows without a vector."""
+    rng = random.Random(4)
+    made = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(300)] + [(300, None)]
+    vectors = spark.createDataFrame(made, "doc_id int, embedding array<float>")
+    queries = vectors.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "query_id")
+    by_all = rows(R.knn_topk(queries, vectors, 5))
+    monkeypatch.delattr(R, "squared_l2")
+    assert rows(R.knn_topk(queries, vectors, 5, most_queries=17)) == by_all and len(by_all) == 500
