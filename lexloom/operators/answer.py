@@ -15,6 +15,8 @@ from lexloom.operators.postings import checked
 from lexloom.session import stored
 
 NO_ANSWER = fixed.NO_ANSWER
+#: Ranked documents, a few numbers each, up to which they are broadcast to the texts.
+RANKED = 1_000_000
 SYSTEM = "Responde solo con el contexto dado y cita cada afirmación como [docN]."
 
 
@@ -81,7 +83,7 @@ def generate_answers(queries: DataFrame, retrieve, chunks: DataFrame, provider:
         ranked = ranked.filter(F.col("rank") <= k)
     ranked = stored(ranked)
     # A few documents a question find their texts, which are not shuffled for them.
-    told = context(checked(ranked).join(chunks, "doc_id"))
+    told = context(checked(ranked, RANKED).join(chunks, "doc_id"))
     counts = ranked.groupBy("query_id").agg(F.count("*").alias("n_docs"))
     rows = asked.select("query_id", "question", "expanded_query").join(told, "query_id", "left").join(counts, "query_id", "left")
     rows = rows.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("__prompt", prompt(F.col("question"), F.col("context"), service.supports_system))

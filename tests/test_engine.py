@@ -434,3 +434,21 @@ def test_a_search_of_few_tokens_splits_the_texts_once(spark):
 def test_embedding_of_tokens_that_cancel_out():
     made = E.OfflineProvider().embed(["g i", "\x0b", "uno dos", " \n", ""])
     assert [round(sum(x * x for x in v), 6) for v in made] == [1, 1, 1, 0, 0]
+
+
+def test_answers_broadcast_more_ranked_documents_than_a_search_does(spark, monkeypatch):
+    """The texts are not shuffled for a few numbers a ranked document."""
+    from lexloom.operators import answer as A, postings
+
+    monkeypatch.setattr(postings.checked, "__defaults__", (3,))
+    monkeypatch.setattr(A, "context", lambda told, own=A.context: plans.append(told._jdf.queryExecution().executedPlan().toString()) or own(told))
+    plans, at = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chunks = spark.createDataFrame([(i, "s", f"c{i}", f"texto {i}") for i in range(9)], "doc_id long, source string, chunk_id string, page_content string")
+        queries = spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, question string")
+        ranked = spark.createDataFrame([(q, d, 1.0, d + 1) for q in (1, 2) for d in range(4)], "query_id int, doc_id long, score double, rank int")
+        assert [r.n_docs for r in A.generate_answers(queries, lambda asked, k: ranked, chunks).collect()] == [4, 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+    assert "BroadcastHashJoin" in plans[0]
