@@ -261,3 +261,19 @@ def test_profile_computes_named_fields_only(spark):
     part = df.select(P.profile(F.col("x"), names=("term_density", "total_pages")).alias("p")).select("p.*")
     assert part.first().asDict() == {n: whole[n] for n in ("term_density", "total_pages")}
     assert "startswith" not in part._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_words_are_looked_for_before_patterns(spark):
+    """Texts without a word that a pattern needs are spared it; odd letters that equal others without case count as these."""
+    from lexloom.functions.text import count_of, quick, rx, shortest, starts
+    from lexloom.operators import profile
+
+    patterns = [p for ps in fixed.SECTION_PATTERNS.values() for p in ps]
+    assert all(starts(p) for p in patterns) and shortest(["playas", "playa", "mar"]) == ["mar", "playa"]
+    assert starts(r"\b(ab|words)\b") == () and starts(r"\b(colou?r|dimar)\b") == ("colo", "dimar")
+    texts = ["la ley y el decreto", "sentencia t-12 y corte  constitucional", "nada", "", None, "consejo de\nestado", "leyes", "tribunal\nsala"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(*(count_of(F.col("t"), p).alias(f"a{k}") for k, p in enumerate(patterns)), *(F.regexp_count("t", F.lit(rx(quick(p)))).alias(f"b{k}") for k, p in enumerate(patterns))).collect()
+    assert all(r[f"a{k}"] == r[f"b{k}"] for r in got for k in range(len(patterns)))
+    found = spark.createDataFrame([("Dİmar, PLAYAſ, Dimar",), ("Rısco y ErosiÓn",), (None,)], "t string").select(profile.entities(F.col("t")).alias("e")).collect()
+    assert sorted(found[0].e) == ["dimar", "playa"] and sorted(found[1].e) == ["acantilado", "erosion"] and found[2].e is None
